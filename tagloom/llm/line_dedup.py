@@ -8,8 +8,8 @@ comes back per document is a compressed bitmap of lines to drop: 64-line words,
 those without a dropped line left out. Text is joined to it once, at the end.
 
 Hot keys are settled beforehand by a count that is combined before its shuffle:
-only HEAVY_KEYS keys can be in over 1/HEAVY_KEYS of all (document, key) pairs, so
-the HEAVY_KEYS most frequent ones hold all of those, and a table of that proven
+only HEAVY_KEYS keys can be the key of over 1/HEAVY_KEYS of all lines, so the
+HEAVY_KEYS most frequent ones hold all of those, and a table of that proven
 size is broadcast. The limit there drops nothing; all other keys take the window.
 
 Only DataFrame functions are used.
@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import durable
+
 HEAVY_KEYS = 4096
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,11 +58,10 @@ def _lines(docs: DataFrame, text_col: str, id_col: str, min_chars: int) -> DataF
     return rows.select("doc", "th", "row", "pos", *_hashes(F.col("key")))
 
 
-def _heavy(docs: DataFrame, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
-    """The most frequent keys, HEAVY_KEYS at most: h1, h2, n_docs."""
-    keys = docs.select(F.explode(F.array_distinct(F.transform(lines_of(docs[text_col]), line_key))).alias("key")).where(F.char_length("key") >= min_chars)
-    tallies = keys.select(*_hashes(F.col("key"))).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"))
-    return tallies.where(F.col("n_docs") >= min_docs).orderBy(F.desc("n_docs"), "h1", "h2").limit(HEAVY_KEYS)
+def _heavy(lines: DataFrame, min_docs: int) -> DataFrame:
+    """The most frequent keys, HEAVY_KEYS at most: h1, h2, n."""
+    tallies = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    return tallies.where(F.col("n") >= min_docs).orderBy(F.desc("n"), "h1", "h2").limit(HEAVY_KEYS)
 
 
 def drop_bitmaps(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_chars: int = 1, min_docs: int = 10, keep: str = "none") -> DataFrame:
@@ -72,18 +73,19 @@ def drop_bitmaps(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """
     if keep not in ("none", "first") or min_docs < 1:
         raise ValueError("keep is 'none' or 'first'; min_docs is at least 1")
-    heavy = _heavy(docs, text_col, min_chars, min_docs)
-    marked = _lines(docs, text_col, id_col, min_chars).join(F.broadcast(heavy), ["h1", "h2"], "left")
+    lines = durable(_lines(docs, text_col, id_col, min_chars))
     place = F.struct("doc", "th", "pos")
+    marked = lines.join(F.broadcast(_heavy(lines, min_docs)), ["h1", "h2"], "left")
 
-    hot = marked.where(F.col("n_docs").isNotNull())
+    hot = marked.where(F.col("n").isNotNull()).drop("n")
+    known = hot.groupBy("h1", "h2").agg(F.count_distinct("row").alias("n_docs"), F.min(place).alias("first")).where(F.col("n_docs") >= min_docs)
+    hot = hot.join(F.broadcast(known), ["h1", "h2"])
     if keep == "first":
-        firsts = hot.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-        hot = hot.join(F.broadcast(firsts), ["h1", "h2"]).where(place != F.col("first"))
+        hot = hot.where(place != F.col("first"))
 
     by_key = Window.partitionBy("h1", "h2")
     in_order = by_key.orderBy("doc", "th", "row", "pos")
-    rest = marked.where(F.col("n_docs").isNull()).select("h1", "h2", "doc", "th", "row", "pos").repartitionByRange("h1", "h2")
+    rest = marked.where(F.col("n").isNull()).select("h1", "h2", "doc", "th", "row", "pos").repartitionByRange("h1", "h2")
     rest = rest.withColumns({"new_doc": F.coalesce((F.lag("row").over(in_order) != F.col("row")).cast("int"), F.lit(1)), "first": F.first(place).over(in_order)})
     rest = rest.withColumn("n", F.sum("new_doc").over(by_key)).where(F.col("n") >= min_docs)
     if keep == "first":
@@ -104,5 +106,6 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     n_dropped = F.aggregate(F.map_values(words), F.lit(0).cast("long"), lambda n, bits: n + F.bit_count(bits))
     stays = lambda _, i: F.call_function("getbit", F.coalesce(F.try_element_at(words, F.floor(i / 64).cast("int")), F.lit(0).cast("long")), i % 64) == 0
     kept = F.when(words.isNull(), F.coalesce(docs[text_col], F.lit(""))).otherwise(F.array_join(F.filter(lines, stays), "\n"))
-    result = F.struct(kept.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(n_dropped, F.lit(0).cast("long")).alias("n_dropped"))
+    breaks = F.char_length(docs[text_col]) - F.char_length(F.replace(docs[text_col], F.lit("\n"), F.lit("")))
+    result = F.struct(kept.alias("text"), (F.coalesce(breaks, F.lit(0)) + 1).cast("long").alias("n_lines"), F.coalesce(n_dropped, F.lit(0).cast("long")).alias("n_dropped"))
     return rows.select(*[docs[c] for c in docs.columns], result.alias("line_dedup"))
