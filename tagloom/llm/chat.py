@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import map_arrow
 
 START, SEP, END = 50257, 50258, 50259
 CONTROL = {START: "<|im_start|>", SEP: "<|im_sep|>", END: "<|im_end|>"}
@@ -80,7 +81,7 @@ def format_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 
     read = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     conv, turn = (read.schema[c].dataType.simpleString() for c in ("conv", "turn"))
-    encoded = read.mapInArrow(task, f"conv {conv}, turn {turn}, ids binary, n_tokens long, n_loss long")
+    encoded = map_arrow(read, task, f"conv {conv}, turn {turn}, ids binary, n_tokens long, n_loss long")
     end = F.sum("n_tokens").over(Window.partitionBy("conv").orderBy("turn", "ids").rowsBetween(Window.unboundedPreceding, 0))
     placed = encoded.withColumn("end", end)
     return placed.select("conv", "turn", "ids", "n_tokens", (F.col("end") - F.col("n_tokens")).alias("position"), (F.col("end") - F.col("n_loss")).alias("loss_from"), F.col("end").alias("loss_to"))
@@ -136,4 +137,4 @@ def read_back(turns: DataFrame) -> DataFrame:
 
     in_order = turns.select("conv", "ids", "position", "loss_from", "loss_to").sortWithinPartitions("conv", "position")
     conv = turns.schema["conv"].dataType.simpleString()
-    return in_order.mapInArrow(task, f"conv {conv}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(in_order, task, f"conv {conv}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -1,26 +1,15 @@
 """Connected components by alternating large-star and small-star steps.
 
-Edges stay in Spark: every round is written to the shared checkpoint folder and
+Edges stay in Spark: every round is written to the shared folder and
 only two numbers of it reach the driver, to see whether anything changed.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def durable(frame: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of spark.checkpoint.dir; a temporary folder only where none is set (local tests)."""
-    sc = frame.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if shared is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp())
-    return frame.checkpoint()
+from .common import durable
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

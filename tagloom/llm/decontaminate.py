@@ -18,15 +18,18 @@ documents are scanned each on their own; further columns pass through
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 _WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,13 +113,13 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_items: int
     yield block
 
 
-RESULT = "n_words long, n_hit long, items array<string>, hits binary"
+RESULT = "text_hash long, n_words long, n_hit long, items array<string>, hits binary"
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, block_items: int = 100_000, block_words: int = 2_000_000) -> DataFrame:
     """Per document row: the id, n_words, n_hit, items (sorted ids found), hits (bit for each word, packed; null if none)."""
     passes = []
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     for block in _blocks(benchmark, item_col, item_text_col, block_items, block_words):
         shared = docs.sparkSession.sparkContext.broadcast((block, n))
@@ -134,21 +137,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col:
                         out["items"].append(sorted(windows.names[i] for i in names if i >= 0))
                         out["hits"].append(np.packbits(hit).tobytes() if count else None)
                     types = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "hits": pa.binary()}
-                    yield pa.RecordBatch.from_arrays([part.column("id")] + [pa.array(out[k], t) for k, t in types.items()], ["id", *types])
+                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), *(pa.array(out[k], t) for k, t in types.items())], ["id", "text_hash", *types])
 
-        passes.append(rows.mapInArrow(task, f"id {kind}, {RESULT}"))
+        passes.append(map_arrow(rows, task, f"id {kind}, {RESULT}"))
     if len(passes) == 1:
-        return passes[0].withColumnRenamed("id", id_col)
-    return _merged(rows, passes).withColumnRenamed("id", id_col)
+        return passes[0].drop("text_hash").withColumnRenamed("id", id_col)
+    return _merged(passes).withColumnRenamed("id", id_col)
 
 
-def _merged(rows: DataFrame, passes: list[DataFrame]) -> DataFrame:
+def _merged(passes: list[DataFrame]) -> DataFrame:
     """One row for each document from several blocks; rows that share an id keep a row each."""
     found = passes[0].withColumn("block", F.lit(0))
     for i, more in enumerate(passes[1:], 1):
         found = found.unionByName(more.withColumn("block", F.lit(i)))
-    copies = F.row_number().over(_order("id", "block"))
-    found = found.withColumn("copy", copies).groupBy("id", "copy").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.collect_list("hits").alias("maps"))
+    copies = F.row_number().over(Window.partitionBy("id", "text_hash", "block").orderBy("n_words"))
+    found = found.withColumn("copy", copies).groupBy("id", "text_hash", "copy").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.collect_list("hits").alias("maps"))
 
     @F.udf("binary")
     def union(maps):
@@ -167,17 +170,49 @@ def _merged(rows: DataFrame, passes: list[DataFrame]) -> DataFrame:
     return found.select("id", "n_words", ones("hits").alias("n_hit"), "items", "hits")
 
 
-def _order(*keys: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy("n_words", "n_hit")
+def _passes(docs: DataFrame, benchmark: DataFrame, change, item_col: str, item_text_col: str, text_col: str, n: int, block_items: int, block_words: int) -> DataFrame:
+    """docs after change(windows, batch, its texts) of each block of the benchmark, one after another."""
+    at = docs.columns.index(text_col)
+    for block in _blocks(benchmark, item_col, item_text_col, block_items, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast((block, n))
 
+        def task(batches, shared=shared):
+            windows = Windows(*shared.value)
+            for batch in batches:
+                for start in range(0, batch.num_rows, 512):
+                    part = batch.slice(start, 512)
+                    yield change(windows, part, part.column(at).cast(pa.binary()).to_pylist())
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+        docs = map_arrow(docs, task, docs.schema)
+    return docs
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def remove_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, block_items: int = 100_000, block_words: int = 2_000_000) -> DataFrame:
     """The documents without any hit, with all their columns."""
-    hits = scan(docs, benchmark, id_col=id_col, **options).where("n_hit > 0").select(F.col(id_col).alias("__hit"))
-    return docs.join(hits, docs[id_col].eqNullSafe(hits["__hit"]), "left_anti")
+    def change(windows, part, texts):
+        return part.filter(pa.array([not hit.any() for _, hit, _ in windows.scan(texts)], pa.bool_()))
+
+    return _passes(docs, benchmark, change, item_col, item_text_col, text_col, n, block_items, block_words)
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, block_items: int = 100_000, block_words: int = 2_000_000) -> DataFrame:
+    """All documents, without the text from the first to the last word of each run of hit words."""
+    at = docs.columns.index(text_col)
+
+    def clean(text: bytes | None, hit: np.ndarray) -> str | None:
+        if text is None or not hit.any():
+            return None if text is None else text.decode()
+        out, end, inside = [], 0, False
+        for word, gone in zip(_WORD.finditer(text), hit.tolist(), strict=True):
+            if gone and not inside:
+                out.append(text[end : word.start()])
+            if gone:
+                end = word.end()
+            inside = gone
+        return b"".join([*out, text[end:]]).decode()
+
+    def change(windows, part, texts):
+        cleaned = [clean(t, hit) for t, (_, hit, _) in zip(texts, windows.scan(texts), strict=True)]
+        return part.set_column(at, part.schema.field(at), pa.array(cleaned, part.schema.field(at).type))
+
+    return _passes(docs, benchmark, change, item_col, item_text_col, text_col, n, block_items, block_words)

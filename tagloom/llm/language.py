@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
@@ -269,5 +271,5 @@ def identify(docs: DataFrame, model: Field, text_col: str = "text") -> DataFrame
 
     schema = docs.schema
     rows = docs.withColumn("__text", F.col(text_col))
-    return rows.mapInArrow(task, schema.add("lang_pred", "string").add("lang_score", "double"))
+    return map_arrow(rows, task, schema.add("lang_pred", "string").add("lang_score", "double"))
 

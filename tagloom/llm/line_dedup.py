@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import durable
+from .common import durable
 
 HEAVY_KEYS = 4096
 WHITE = " \t\n\x0b\x0c\r"

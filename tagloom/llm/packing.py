@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import map_arrow
 
 END = 1
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_loss long"
@@ -177,4 +178,4 @@ def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", limit:
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "n_loss"]
-    return rows.mapInArrow(task, f"id {rows.schema['id'].dataType.simpleString()}, {SCHEMA}").withColumnRenamed("id", id_col)
+    return map_arrow(rows, task, f"id {rows.schema['id'].dataType.simpleString()}, {SCHEMA}").withColumnRenamed("id", id_col)

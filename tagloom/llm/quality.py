@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "std_word", "long_words", "letters", "digits", "spaces", "punctuation", "symbols", "beyond_ascii", "upper",
     "log_lines", "mean_line", "repeated_lines", "distinct_words", "top_word", "repeated_pairs", "entropy", "sentence_marks", "word_symbols", "line_marks", "short_words", "compression",
@@ -195,7 +197,7 @@ def feature_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema = docs.select(*others).schema
     for name in FEATURES:
         schema = schema.add(name, "double")
-    return rows.mapInArrow(task, schema)
+    return map_arrow(rows, task, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000, **options) -> Additive:
@@ -224,4 +226,4 @@ def score(docs: DataFrame, model: Additive, text_col: str = "text", threshold: f
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*(c for c in part.schema.names if c != "__text"), "score", "predicted"])
 
     schema = docs.select(*others).schema.add("score", "double").add("predicted", "integer")
-    return docs.select(*others, F.col(text_col).alias("__text")).mapInArrow(task, schema)
+    return map_arrow(docs.select(*others, F.col(text_col).alias("__text")), task, schema)

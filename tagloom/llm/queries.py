@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, licenses, line_dedup, packing, quality, simhash
+from . import ann, chat, decontaminate, extract, language, licenses, line_dedup, packing, quality, simhash
 from .sql import ORACLE_SQL  # noqa: F401
 
 
@@ -30,11 +30,20 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    search = ann.Search(_table(spark, sf_dir, "embeddings"), k=20)
+    return search.nearest(F.col("vec_id") % 20 == 0)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=4, shingle=4)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_chars=1, min_docs=10, keep="none")
     found = F.col("line_dedup")
@@ -69,7 +78,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op3_neighbours": op3_neighbours,
     "op4_simhash": op4_simhash,
+    "op5_extract": op5_extract,
     "op6_line_dedup": op6_line_dedup,
     "op7_chat": op7_chat,
     "op8_decontamination": op8_decontamination,

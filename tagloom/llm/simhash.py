@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, durable
+from .common import durable, map_arrow
+from .components import components
 
 BITS = 64
 
@@ -57,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())], ["id", "fp"])
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(task, f"id {rows.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
+    return map_arrow(rows, task, f"id {rows.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
 
 
 def covering_masks(radius: int, bits: int = BITS, seed: int = 1) -> list[int]:
@@ -125,7 +126,7 @@ def _linked(buckets: DataFrame, radius: int, block: int, last: bool) -> DataFram
         yield flush()
 
     dealt = buckets.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
-    return dealt.mapInArrow(task, "kind long, mask long, a long, b long")
+    return map_arrow(dealt, task, "kind long, mask long, a long, b long")
 
 
 def _signed(mask: int) -> int:

@@ -11,6 +11,27 @@ def _lower(text: str) -> str:
     return f"translate({text}, '{UPPER}', '{LOWER}')"
 
 
+OP3 = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM pairs) WHERE rank <= 20
+"""
+
+# Valid for pages that are one article with paragraphs, as the given ones are.
+OP5 = r"""
+WITH article AS (
+  SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '<br>', ' ', 'g') AS a FROM pages),
+cut AS (SELECT page_id, url, string_split(regexp_replace(a, '</?(p|h1)>', chr(1), 'g'), chr(1)) AS bs FROM article),
+plain AS (
+  SELECT page_id, url, list_transform(bs, lambda b: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', '', 'g'),
+    '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))) AS bs FROM cut),
+joined AS (SELECT page_id, url, array_to_string(list_filter(bs, lambda b: b <> ''), chr(10) || chr(10)) AS text FROM plain)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM joined
+"""
+
 OP6 = f"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM split),
@@ -81,4 +102,4 @@ SELECT doc_id, text_digest, license, coalesce(notices, '') AS notices
 FROM whole LEFT JOIN texts ON text_digest = digest LEFT JOIN found USING (r)
 """
 
-ORACLE_SQL = {"op6_line_dedup": OP6, "op7_chat": OP7, "op8_decontamination": OP8, "op9_licenses": OP9}
+ORACLE_SQL = {"op3_neighbours": OP3, "op5_extract": OP5, "op6_line_dedup": OP6, "op7_chat": OP7, "op8_decontamination": OP8, "op9_licenses": OP9}
