@@ -1,8 +1,336 @@
-"""Queries over parsed markup, with their SQL."""
+"""Queries over parsed markup, with SQL for the same rows.
+
+The SQL derives answers from the raw text of the given pages by regular
+expressions, which holds for pages of their shape only; vectors give expected
+rows for all that those pages lack.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..functions import tables
+from ..operators import parse
+from ..operators import relational as R
+from ..sources.files import join_chunks
+from . import vectors as V
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def page_summary(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
+def query(sql: str | None = None):
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.parse_html(_table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+def _long(x, name):
+    return x.cast("long").alias(name)
+
+
+# SQL over raw pages. Raw text is blanked first: scripts hold "</p>".
+_MASKED = r"(SELECT page_id, regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>', '<\1></\2>', 'g') AS html FROM pages)"
+_DECODED = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_PAGE = rf"""
+SELECT page_id, {_DECODED.format("regexp_extract(html, '<title>([^<]*)', 1)")} AS title,
+       len(regexp_extract_all(html, '<a [^>]*href='))::BIGINT AS n_links, len(regexp_extract_all(html, '(?s)<!--.*?-->'))::BIGINT AS n_comments
+FROM pages"""
+
+
+@query(_PAGE)
+def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, number of links and comments of each page, from the node arrays, without a shuffle."""
+    nodes = F.col("doc.nodes")
+    title = F.try_element_at(F.filter(nodes, lambda n: (n["local"] == "title") & (n["kind"] == "element")), F.lit(1))
+    text = F.filter(nodes, lambda n: (n["kind"] == "text") & (n["parent_id"] == title["node_id"]))
+    return _pages(spark, sf_dir).select(
+        "page_id",
+        F.array_join(F.transform(text, lambda n: n["text"]), "").alias("title"),
+        _long(F.size(F.filter(nodes, lambda n: (n["local"] == "a") & F.exists(n["attrs"], lambda a: a["local"] == "href"))), "n_links"),
+        _long(F.size(F.filter(nodes, lambda n: n["kind"] == "comment")), "n_comments"),
+    )
+
+
+@query(f"SELECT page_id, {_DECODED.format("regexp_extract(html, '<title>([^<]*)', 1)")} AS title FROM pages")
+def html_title(spark, sf_dir):
+    """The text below the title element, by an ancestor join."""
+    nodes = parse.nodes(_pages(spark, sf_dir), "page_id")
+    return R.text_of(R.elements(nodes, "title"), nodes, "page_id").select("page_id", F.col("text").alias("title"))
+
+
+@query("""
+WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hs FROM pages)
+SELECT page_id, unnest(range(len(hs)))::BIGINT AS place, unnest(hs) AS href FROM l""")
+def html_links(spark, sf_dir):
+    links = F.filter("doc.nodes", lambda n: (n["local"] == "a") & (n["kind"] == "element"))
+    found = _pages(spark, sf_dir).select("page_id", F.posexplode(links).alias("place", "node"))
+    return found.select("page_id", _long(F.col("place"), "place"), R.attribute("href", F.col("node.attrs")).alias("href"))
+
+
+@query("""
+WITH c AS (SELECT page_id, regexp_extract_all(html, '(?s)<!--(.*?)-->', 1) AS cs FROM pages)
+SELECT page_id, unnest(cs) AS comment FROM c""")
+def html_comments(spark, sf_dir):
+    nodes = parse.nodes(_pages(spark, sf_dir), "page_id")
+    return nodes.where("kind = 'comment'").select("page_id", F.col("text").alias("comment"))
+
+
+@query(f"""
+WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM {_MASKED})
+SELECT tag, count(*)::BIGINT AS n, count(DISTINCT page_id)::BIGINT AS n_pages FROM t GROUP BY tag""")
+def html_tag_hist(spark, sf_dir):
+    """Start tags as the tree builder sees them."""
+    tokens = parse.tokenize_html(_table(spark, sf_dir, "pages"), "page_id", "html", with_tree=True)
+    per_page = tokens.where("kind = 'start_tag'").groupBy("page_id", F.col("name").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+    return per_page.groupBy("tag").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_pages"))
+
+
+@query(r"SELECT page_id, len(regexp_extract_all(html, '</[a-z]'))::BIGINT AS n_end_tags, (SELECT len(regexp_extract_all(m.html, '</[a-z]')) FROM " + _MASKED + r" m WHERE m.page_id = pages.page_id)::BIGINT AS n_seen FROM pages")
+def html_end_tags(spark, sf_dir):
+    """End tags of the tokenizer alone, and those that a tree builder sees: script text differs."""
+    pages = _table(spark, sf_dir, "pages")
+    ends = [parse.tokenize_html(pages, "page_id", "html", with_tree=w).where("kind = 'end_tag'").groupBy("page_id").agg(F.count(F.lit(1)).alias(c)) for w, c in ((False, "n_end_tags"), (True, "n_seen"))]
+    return ends[0].join(ends[1], "page_id")
+
+
+@query("""SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, '<meta charset="([^"]*)"', 1) AS charset,
+CASE WHEN html LIKE '<!DOCTYPE html>%' THEN 'no-quirks' ELSE 'quirks' END AS quirks_mode FROM pages""")
+def html_facts(spark, sf_dir):
+    root = F.try_element_at(F.filter("doc.nodes", lambda n: n["local"] == "html"), F.lit(2))  # the doctype has that name too
+    return _pages(spark, sf_dir).select("page_id", R.attribute("lang", root["attrs"]).alias("lang"), F.try_element_at("doc.encodings", F.lit(1)).alias("charset"), F.col("doc.quirks_mode").alias("quirks_mode"))
+
+
+@query("""SELECT page_id, regexp_extract(html, '(?s)<script>(.*?)</script>', 1) AS script, regexp_extract(html, '(?s)<style>(.*?)</style>', 1) AS style FROM pages""")
+def html_rawtext(spark, sf_dir):
+    """Script and style text, each by its parent."""
+    nodes = parse.nodes(_pages(spark, sf_dir), "page_id")
+    texts = R.text_of(R.elements(nodes, "script", "style"), nodes, "page_id").join(nodes.select("page_id", "node_id", "local"), ["page_id", "node_id"])
+    return texts.groupBy("page_id").pivot("local", ["script", "style"]).agg(F.first("text"))
+
+
+@query("SELECT page_id, html LIKE '%</html>' AS closed FROM pages")
+def html_closed(spark, sf_dir):
+    """Does the page end its root element itself?"""
+    tokens = parse.tokenize_html(_table(spark, sf_dir, "pages"), "page_id", "html", with_tree=True)
+    return tokens.groupBy("page_id").agg(F.bool_or((F.col("kind") == "end_tag") & (F.col("name") == "html")).alias("closed"))
+
+
+@query(r"""
+WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1) AS x FROM pages)
+SELECT page_id, len(regexp_extract_all(x, '<p>'))::BIGINT AS n_paragraphs FROM a""")
+def html_article_paragraphs(spark, sf_dir):
+    """Descendants of a kind below articles, by an interval join on the page."""
+    nodes = parse.nodes(_pages(spark, sf_dir), "page_id")
+    found = R.descendants(R.elements(nodes, "article"), R.elements(nodes, "p"), "page_id")
+    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_paragraphs"))
+
+
+@query("""
+WITH l AS (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a ')) AS a FROM pages)
+SELECT page_id, 'nav' AS within, count(*)::BIGINT AS n FROM l GROUP BY page_id""")
+def html_nearest_section(spark, sf_dir):
+    """The closest section-like element around each link."""
+    nodes = parse.nodes(_pages(spark, sf_dir), "page_id")
+    near = R.nearest_ancestor(R.elements(nodes, "a"), R.elements(nodes, "nav", "article", "section", "body"), "page_id")
+    return near.groupBy("page_id", F.col("outer_local").alias("within")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def html_nodes(spark, sf_dir):
+    return parse.nodes(_pages(spark, sf_dir), "page_id").drop("attrs")
+
+
+@query()
+def html_attributes(spark, sf_dir):
+    return R.attributes(parse.nodes(_pages(spark, sf_dir), "page_id"), "page_id")
+
+
+@query()
+def html_tokens(spark, sf_dir):
+    return parse.tokenize_html(_table(spark, sf_dir, "pages"), "page_id", "html").drop("attrs")
+
+
+@query()
+def html_errors(spark, sf_dir):
+    found = parse.errors(_pages(spark, sf_dir), "page_id")
+    return found.groupBy("stage", "message").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("n_pages"))
+
+
+@query()
+def html_actions(spark, sf_dir):
+    logged = parse.actions(parse.parse_html(_table(spark, sf_dir, "pages"), "page_id", "html", log=True), "page_id")
+    return logged.groupBy("page_id", "op").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def html_siblings(spark, sf_dir):
+    return R.siblings(parse.nodes(_pages(spark, sf_dir), "page_id"), "page_id")
+
+
+@query()
+def html_outline(spark, sf_dir):
+    return R.indented(parse.nodes(_pages(spark, sf_dir), "page_id"), "page_id")
+
+
+@query()
+def html_dump(spark, sf_dir):
+    return parse.dump_html(_table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query()
+def html_normalised(spark, sf_dir):
+    return parse.normalise_html(_table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query("SELECT page_id, TRUE AS same_writer, TRUE AS stable FROM pages")
+def html_roundtrip(spark, sf_dir):
+    """The relational writer agrees with the parser's own, and writing is stable under parsing again."""
+    written = R.serialize(parse.nodes(_pages(spark, sf_dir), "page_id"), "page_id").withColumnRenamed("html", "relational")
+    once = parse.reserialize_html(_table(spark, sf_dir, "pages"), "page_id", "html")
+    twice = parse.reserialize_html(once, "page_id", "html").withColumnRenamed("html", "again")
+    return once.join(written, "page_id").join(twice, "page_id").select("page_id", (F.col("html") == F.col("relational")).alias("same_writer"), (F.col("html") == F.col("again")).alias("stable"))
+
+
+@query("SELECT page_id, TRUE AS same FROM pages")
+def html_chunks(spark, sf_dir):
+    """Pages cut into chunks of 100 characters, put together again and parsed, give the same tree."""
+    pages = _table(spark, sf_dir, "pages")
+    cut = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s).{1,100}"), F.lit(0))).alias("seq", "chunk"))
+    joined = parse.reserialize_html(join_chunks(cut, "page_id", "seq", "chunk"), "page_id", "text").withColumnRenamed("html", "joined")
+    whole = parse.reserialize_html(pages, "page_id", "html")
+    return whole.join(joined, "page_id").select("page_id", (F.col("html") == F.col("joined")).alias("same"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<a '))::BIGINT AS n FROM pages")
+def html_lateral(spark, sf_dir):
+    """Links by SQL over a table function."""
+    tables.register(spark)
+    return spark.sql("SELECT p.page_id, count(*) AS n FROM {pages} p, LATERAL html_nodes(p.html) n WHERE n.kind = 'element' AND n.local = 'a' GROUP BY p.page_id", pages=_table(spark, sf_dir, "pages"))
+
+
+# vectors ----------------------------------------------------------------------------------------
+
+
+def _rows(spark, rows, schema):
+    return spark.createDataFrame([tuple(r) for r in rows], schema)
+
+
+@query(V.values_sql([(n, want) for n, _, want in V.FRAGMENTS], "name", "html"))
+def fragment_vectors(spark, sf_dir):
+    given = _rows(spark, [(n, text) for n, text, _ in V.FRAGMENTS], "name string, text string")
+    return parse.reserialize_html(given, "name", "text", context="body")
+
+
+@query(V.values_sql([(n, want, mode) for n, _, want, mode in V.DOCUMENTS], "name", "html", "quirks_mode"))
+def document_vectors(spark, sf_dir):
+    given = _rows(spark, [(n, text) for n, text, *_ in V.DOCUMENTS], "name string, text string")
+    parsed = parse.parse_html(given, "name", "text")
+    return R.serialize(parse.nodes(parsed, "name"), "name").join(parse.facts(parsed, "name").select("name", "quirks_mode"), "name")
+
+
+@query(V.values_sql([(n, want) for n, _, want in V.XML], "name", "xml"))
+def xml_vectors(spark, sf_dir):
+    given = _rows(spark, [(n, text) for n, text, _ in V.XML], "name string, text string")
+    return parse.reserialize_xml(given, "name", "text")
+
+
+@query()
+def xml_nodes(spark, sf_dir):
+    """Nodes of the pages read as XML, errors and all."""
+    return parse.nodes(parse.parse_xml(_table(spark, sf_dir, "pages"), "page_id", "html"), "page_id").groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def xml_tokens(spark, sf_dir):
+    return parse.tokenize_xml(_table(spark, sf_dir, "pages"), "page_id", "html").groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(V.values_sql(V.CHARSETS, "content", "charset"))
+def charset_extract(spark, sf_dir):
+    given = _rows(spark, [(c,) for c, _ in V.CHARSETS], "content string")
+    return given.select("content", C.charset_of("content").alias("charset"))
+
+
+@query(V.values_sql(V.DOCTYPES, "name", "public_id", "system_id", "force_quirks", "quirks_mode"))
+def quirks_classify(spark, sf_dir):
+    given = _rows(spark, [d[:4] for d in V.DOCTYPES], "name string, public_id string, system_id string, force_quirks boolean")
+    return given.withColumn("quirks_mode", C.quirks_mode(*[F.col(c) for c in given.columns]))
+
+
+@query(V.values_sql(V.QNAMES, "name", "prefix", "local"))
+def qname_split(spark, sf_dir):
+    given = _rows(spark, [(n,) for n, *_ in V.QNAMES], "name string")
+    return given.select("name", C.qname_prefix(F.col("name")).alias("prefix"), C.qname_local(F.col("name")).alias("local"))
+
+
+# scalar functions over documents ---------------------------------------------------------------------
+
+
+def _documents(spark, sf_dir, **columns):
+    return _table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in columns.items()])
+
+
+_HTML_TEXT = "replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(160), '&nbsp;')"
+
+
+@query(f"SELECT doc_id, {_HTML_TEXT} AS text, replace({_HTML_TEXT}, '\"', '&quot;') AS value FROM documents")
+def html_escape(spark, sf_dir):
+    return _documents(spark, sf_dir, text=C.escape_text(F.col("text")), value=C.escape_attribute(F.col("text")))
+
+
+@query("SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS text, replace(replace(replace(text, '&', '&amp;'), '''', '&apos;'), '\"', '&quot;') AS value FROM documents")
+def xml_escape(spark, sf_dir):
+    return _documents(spark, sf_dir, text=C.xml_escape_text(F.col("text")), value=C.xml_escape_attribute(F.col("text")))
+
+
+@query(f"SELECT doc_id, text FROM documents")
+def html_unescape(spark, sf_dir):
+    return _documents(spark, sf_dir, text=C.unescape(C.escape_attribute(F.col("text"))))
+
+
+@query(f"SELECT doc_id, translate(text, '{C.UPPER}', '{C.LOWER}') AS text FROM documents")
+def ascii_lower(spark, sf_dir):
+    return _documents(spark, sf_dir, text=C.ascii_lower(F.col("text")))
+
+
+@query(r"SELECT doc_id, regexp_replace(replace(text, ' ', chr(13) || chr(10)), '\r\n?', chr(10), 'g') AS text FROM documents")
+def newline_norm(spark, sf_dir):
+    return _documents(spark, sf_dir, text=C.normalise_newlines(F.replace(F.col("text"), F.lit(" "), F.lit("\r\n"))))
+
+
+@query("SELECT doc_id, strlen(text)::BIGINT AS n_bytes, regexp_matches(text, '[^\\x00-\\x7F]') = FALSE AS is_ascii FROM documents")
+def utf8_len(spark, sf_dir):
+    return _documents(spark, sf_dir, n_bytes=F.octet_length("text").cast("long"), is_ascii=C.is_ascii(F.col("text")))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[ \t\n\f\r]+|[^ \t\n\f\r]+'))::BIGINT AS n_runs FROM documents")
+def white_runs(spark, sf_dir):
+    return _documents(spark, sf_dir, n_runs=F.size(C.white_runs(F.col("text"))).cast("long"))
+
+
+@query("SELECT doc_id, strlen(regexp_extract(text, '^[^.,]*'))::BIGINT AS n FROM documents")
+def prefix_len(spark, sf_dir):
+    return _documents(spark, sf_dir, n=C.nonmember_prefix(F.col("text"), ".,").cast("long"))
+
+
+@query(V.values_sql([(0, "xy\ufffd\ufffd\ufffd\ufffdz", 4), (1, "é", 0), (2, "a\ufffd", 1)], "id", "text", "n_errors"))
+def utf8_lossy(spark, sf_dir):
+    from ..operators.decode import decode_with_errors
+
+    given = _rows(spark, [(0, b"xy\xea\xff\x99\xaez"), (1, "é".encode()), (2, b"a\xe2\x82")], "id int, b binary")
+    return decode_with_errors(given, "id", "b").where(F.col("text").isNotNull())
