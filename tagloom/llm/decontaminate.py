@@ -197,13 +197,20 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "tex
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, block_items: int = 100_000, block_words: int = 2_000_000) -> DataFrame:
     """All documents, without the text from the first to the last word of each run of hit words."""
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
+    marks = next(m for m in (f"hits_{i}" for i in range(len(names) + 1)) if m not in names)  # bits of hit words so far
+
+    def mark(windows, part, texts):
+        bits = [np.packbits(hit) for _, hit, _ in windows.scan(texts)]
+        before = part.column(len(names)).to_pylist()
+        merged = [b.tobytes() if old is None else (b | np.frombuffer(old, np.uint8)).tobytes() for b, old in zip(bits, before, strict=True)]
+        return part.set_column(len(names), part.schema.field(len(names)), pa.array(merged, part.schema.field(len(names)).type))
 
-    def clean(text: bytes | None, hit: np.ndarray) -> str | None:
-        if text is None or not hit.any():
+    def clean(text: bytes | None, bits: bytes | None) -> str | None:
+        if text is None or not bits or not any(bits):
             return None if text is None else text.decode()
         out, end, inside = [], 0, False
-        for word, gone in zip(_WORD.finditer(text), hit.tolist(), strict=True):
+        for word, gone in zip(_WORD.finditer(text), np.unpackbits(np.frombuffer(bits, np.uint8)).tolist(), strict=False):
             if gone and not inside:
                 out.append(text[end : word.start()])
             if gone:
@@ -211,8 +218,12 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             inside = gone
         return b"".join([*out, text[end:]]).decode()
 
-    def change(windows, part, texts):
-        cleaned = [clean(t, hit) for t, (_, hit, _) in zip(texts, windows.scan(texts), strict=True)]
-        return part.set_column(at, part.schema.field(at), pa.array(cleaned, part.schema.field(at).type))
+    def task(batches):
+        for part in batches:
+            cleaned = [clean(t, b) for t, b in zip(part.column(at).cast(pa.binary()).to_pylist(), part.column(len(names)).to_pylist(), strict=True)]
+            columns = part.columns[: len(names)]
+            columns[at] = pa.array(cleaned, part.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _passes(docs, benchmark, change, item_col, item_text_col, text_col, n, block_items, block_words)
+    marked = _passes(docs.withColumn(marks, F.lit(None).cast("binary")), benchmark, mark, item_col, item_text_col, text_col, n, block_items, block_words)
+    return map_arrow(marked, task, docs.schema)
