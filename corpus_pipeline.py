@@ -30,12 +30,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
+    """One document of each group of near copies (four fifths of their five-word shingles in common): that with the smallest doc_id."""
     # the row number tells documents apart that share an id; it is the same whenever these files are read
     rows = docs.withColumn("__row", F.struct("doc_id", F.monotonically_increasing_id().alias("row")))
-    groups = simhash.near_duplicates(rows, id_col="__row", radius=4, shingle=5)
-    first = groups.where(F.col("__row") == F.col("component_id")).select(F.col("component_id.row").alias("row"))
-    return rows.join(first, rows["__row"]["row"] == first["row"], "left_semi").select(*docs.columns)
+    more = simhash.duplicates(rows, id_col="__row", radius=4, shingle=5, min_similarity=0.8).select(F.col("__row.row").alias("row"))
+    return rows.join(more, rows["__row"]["row"] == more["row"], "left_anti").select(*docs.columns)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

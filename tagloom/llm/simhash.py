@@ -12,6 +12,12 @@ covering tables that keep half of the bits it does not share; after two such
 rounds about 8 bits are free, so a bucket has a few hundred fingerprints at most.
 Links go to :mod:`components`.
 
+:func:`duplicates` goes further, for pipelines: a pair with a Jaccard similarity of
+0.8 differs in some ten bits of a fingerprint of its five-word shingles, too many
+for any covering tables, but in about four bits of fingerprints of its *sets* of
+shorter shingles. So candidates come from several such views, each covered within
+its radius, and every candidate link is checked on the shingles themselves.
+
 Defined cases: null, empty and all-white texts have no words and fingerprint
 zero, linked like any other; repeated rows are copies; documents with null ids
 get a fingerprint, and a component_id from the others of their group (null if
@@ -32,22 +38,33 @@ from .components import components
 BITS = 64
 
 
+def shingles(words: list[bytes], size: int) -> list[bytes]:
+    """All runs of ``size`` words, space-joined; fewer words are one run."""
+    joined = b" ".join(words)
+    lengths = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+    ends = np.cumsum(lengths)
+    size = min(size, len(words))
+    starts = (ends - lengths)[: len(words) - size + 1]
+    return [joined[a:b] for a, b in zip(starts.tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)]
+
+
+def _hashes(runs, seed: int) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(r, seed) for r in runs], "<u8")
+
+
 def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
     """Bit b is set if it is in over half of the shingle hashes."""
     words = text.lower().split() if text else []
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words)))
-    starts = ends - np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    size = min(shingle, len(words))
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)]
+    return _bits(_hashes(shingles(words, shingle), seed)) if words else 0
+
+
+def _bits(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(BITS, np.int64)
-    array = np.array(hashes, "<u8")
-    for i in range(0, len(array), 8192):
-        ones += np.unpackbits(array[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << b for b in np.flatnonzero(2 * ones > len(array)).tolist())
+    for i in range(0, len(hashes), 8192):
+        ones += np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -169,3 +186,90 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = members.join(least, "root").select("fp", "component_id")
     of = classes.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(of, "fp").select(id_col, "fp", "component_id")
+
+
+#: (words of a shingle, seed) of the views that give candidates: sets of shingles, without counts.
+VIEWS = ((1, 42), (1, 7), (1, 9), (2, 42), (3, 42))
+#: Bottom-k size: similarity is exact up to so many shingles, and has a standard error of 0.0125 beyond.
+SKETCH = 1024
+
+
+def _views(text: bytes | None, views) -> tuple[bytes, list[int]]:
+    """A digest of the word sequence, and a fingerprint for each view."""
+    words = text.lower().split() if text else []
+    exact = xxhash.xxh128_digest(b" ".join(words))
+    sets = {size: set(shingles(words, size)) if words else () for size, _ in views}
+    return exact, [_bits(_hashes(sets[size], seed)) if words else 0 for size, seed in views]
+
+
+def sketch(text: bytes | None, shingle: int) -> np.ndarray:
+    """The SKETCH smallest hashes of the set of shingles, ascending."""
+    words = text.lower().split() if text else []
+    return np.unique(_hashes(set(shingles(words, shingle)), 0))[:SKETCH] if words else np.zeros(0, "<u8")
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of the sets that two sketches stand for."""
+    union = np.union1d(a, b)
+    if max(len(a), len(b)) == SKETCH:
+        union = union[:SKETCH]
+    both = np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)
+    return len(both) / len(union) if len(union) else 1.0
+
+
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 5, min_similarity: float = 0.8, views=VIEWS, block: int = 4096) -> DataFrame:
+    """(id_col, component_id) of all documents but the one of each group with the smallest id.
+
+    A group is what links join: equal word sequences, and pairs within the radius in
+    some view whose shingle sets have the similarity. Ids have to be unique and not null.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+
+    def view_task(batches):
+        for batch in batches:
+            found = [_views(t, views) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            fps = np.array([f for _, f in found], np.uint64).reshape(len(found), len(views)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([e for e, _ in found], pa.binary()), *(pa.array(fps[:, i]) for i in range(len(views)))], ["id", "exact", *names])
+
+    names = [f"view{i}" for i in range(len(views))]
+    prints = durable(map_arrow(rows, view_task, f"id {kind}, exact binary, {', '.join(f'{n} long' for n in names)}"))
+    firsts = durable(prints.groupBy("exact").agg(F.min("id").alias("id"), *[F.first(n).alias(n) for n in names]))
+    copies = prints.select("exact", F.col("id").alias("copy")).join(firsts.select("exact", "id"), "exact").where(F.col("copy") != F.col("id"))
+
+    edges = None
+    for name in names:
+        classes = durable(firsts.groupBy(F.col(name).alias("fp")).agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")))
+        # within a class: a star around its leader; between classes: links of their leaders
+        same = firsts.select(F.col(name).alias("fp"), "id").join(classes.where("n > 1"), "fp").where(F.col("id") != F.col("leader")).select(F.col("leader").alias("u"), F.col("id").alias("v"))
+        near = links(classes.select("fp"), radius, block)
+        leader = classes.select("fp", "leader")
+        near = near.join(leader.select(F.col("fp").alias("u"), F.col("leader").alias("lu")), "u").join(leader.select(F.col("fp").alias("v"), F.col("leader").alias("lv")), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+        found = same.unionByName(near)
+        edges = found if edges is None else edges.unionByName(found)
+    edges = durable(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    verified = _verified(rows, edges, kind, shingle, min_similarity)
+    linked = components(verified).select(F.col("node").alias("id"), F.col("root").alias("root"))
+    linked = durable(linked)
+    # a copy belongs where its first one does
+    roots = copies.join(linked, "id", "left").select(F.col("copy").alias("id"), F.coalesce("root", "id").alias("root"))
+    return linked.unionByName(roots).select(F.col("id").alias(id_col), F.col("root").alias("component_id"))
+
+
+def _verified(rows: DataFrame, edges: DataFrame, kind: str, shingle: int, min_similarity: float) -> DataFrame:
+    """The edges whose ends are similar enough."""
+    def sketch_task(batches):
+        for batch in batches:
+            found = [sketch(t, shingle).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "sketch"])
+
+    def check_task(batches):
+        for batch in batches:
+            sides = zip(batch.column("su").to_pylist(), batch.column("sv").to_pylist(), strict=True)
+            ok = [similarity(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) >= min_similarity for a, b in sides]
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    ends = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct()
+    sketches = durable(map_arrow(rows.join(ends, "id", "left_semi"), sketch_task, f"id {kind}, sketch binary"))
+    of = lambda end: sketches.select(F.col("id").alias(end), F.col("sketch").alias(f"s{end}"))
+    return map_arrow(edges.join(of("u"), "u").join(of("v"), "v").select("u", "v", "su", "sv"), check_task, f"u {kind}, v {kind}")

@@ -5,7 +5,7 @@ from tests.llm.helpers import awkward, clashing
 from tests.llm.test_decontaminate import brute as brute_hits
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_packing import check
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_simhash import brute_groups
 
 
 def test_stages_like_brute_force(spark, tmp_path):
@@ -26,7 +26,7 @@ def test_stages_like_brute_force(spark, tmp_path):
             texts = brute_lines([rows[i]["text"] for i in ids], 10, "none")
             want = {i: rows[i] | {"text": t, "n_chars": len(t)} for i, (t, _, _) in zip(ids, texts, strict=True)}
         elif name == "near_dedup":
-            first = brute_components([(i, brute_fingerprint(rows[i]["text"], 5)) for i in ids])
+            first = brute_groups([(i, rows[i]["text"]) for i in ids])
             want = {i: rows[i] for i in ids if first[i] == i}
             assert len(want) < len(ids)
         else:

@@ -39,6 +39,22 @@ def brute_components(prints, radius=4):
     return {key: least[find(i)] for i, (key, _) in enumerate(prints)}
 
 
+def brute_groups(texts, size=5, least=0.8):
+    """id -> smallest id of its group of similar texts; texts: (id, text) pairs."""
+    def runs(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+        return frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
+
+    sets = [(i, runs(t)) for i, t in texts]
+    group = {i: i for i, _ in sets}
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if len(a & b) >= least * len(a | b) and group[i] != group[j]:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if g == old else g for k, g in group.items()}
+    return group
+
+
 @pytest.mark.parametrize("radius", [1, 3, 4])
 def test_masks_cover_all_pairs_within_the_radius(radius):
     masks = simhash.covering_masks(radius)
@@ -104,3 +120,23 @@ def test_query(spark):
     got = queries.op4_simhash(spark, SMALL)
     assert sorted(map(tuple, got.select("doc_id", "fingerprint", "component_id").collect())) == sorted((i, f"{p:016x}", want[i]) for i, p in prints)
     assert got.select(F.countDistinct("component_id")).first()[0] < len(docs)
+
+
+def test_similar_documents_are_grouped(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for size in (3, 40, 200, 1000, 3000):
+        for _ in range(4):
+            words = [f"w{int(x)}" for x in rng.integers(0, 5000, size)]
+            texts.append(" ".join(words))
+            for changes in (0, 1, size // 60, size // 45, size // 10, size // 3):
+                copy = list(words)
+                for at in rng.choice(size, min(changes, size), replace=False):
+                    copy[at] = f"x{int(rng.integers(0, 10**9))}"
+                texts.append(" ".join(copy).upper() if changes == 0 else " ".join(copy))
+    docs = documents(spark, texts).repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.duplicates(docs).collect()}
+    want = brute_groups(list(enumerate(texts)))
+    missed = [i for i in want if got.get(i, i) != want[i]]
+    assert len(missed) <= 0.03 * sum(want[i] != i for i in want)
+    assert all(want[i] == want[g] for i, g in got.items())  # nothing joins that is not similar
