@@ -20,9 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import durable
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright[ \t]*(\(c\)|©|[0-9]|<|\[|\{)|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*"
-SEPARATORS = r"(?:[^a-z0-9\x{80}-\x{10FFFF}]|[\x{2010}-\x{2015}\x{2018}-\x{201F}\x{A0}\x{3000}])+"
+#: What is neither a-z, 0-9 nor beyond ASCII; and dashes, quotes and spaces beyond ASCII.
+SEPARATORS = r"[^a-z0-9\x{80}-\x{9F}\x{A1}-\x{200F}\x{2016}\x{2017}\x{2020}-\x{2FFF}\x{3001}-\x{10FFFF}]+"
 #: Spellings that count as equal, after punctuation has become spaces.
 EQUIVALENT = (
     ("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("favour", "favor"), ("organisation", "organization"), ("authorisation", "authorization"),
@@ -57,33 +60,48 @@ NOTICES = (
 )
 
 
-def canonical(text: Column) -> Column:
+def _plain(text: Column) -> Column:
+    """Lower-cased, without copyright lines, separators as spaces; line ends stay."""
     x = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    x = F.regexp_replace(x, COPYRIGHT_LINE, "\n")
-    x = F.concat(F.lit(" "), F.btrim(F.regexp_replace(x, SEPARATORS, " ")), F.lit(" "))
+    may_claim = x.contains("copyright") | x.contains("(c)") | x.contains("©") | x.contains("all rights reserved")
+    x = F.when(may_claim, F.regexp_replace(x, COPYRIGHT_LINE, "\n")).otherwise(x)
+    return F.regexp_replace(x, SEPARATORS.replace("[^", "[^\\n"), " ")
+
+
+def _finish(x: Column) -> Column:
+    x = F.concat(F.lit(" "), F.btrim(x), F.lit(" "))
     for one, other in EQUIVALENT:
         x = F.replace(x, F.lit(f" {one} "), F.lit(f" {other} "))
     return F.btrim(x)
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+def _whole(plain: Column) -> Column:
+    return _finish(F.regexp_replace(F.replace(plain, F.lit("\n"), F.lit(" ")), "  +", " "))
+
+
+def canonical(text: Column) -> Column:
+    return _whole(_plain(text))
+
+
+def _digest(x: Column) -> Column:
+    return F.unhex(F.sha2(x, 256))
 
 
 def known(spark: SparkSession, texts=TEXTS + NOTICES) -> DataFrame:
     """(digest, license) of known texts, one name for each digest."""
     rows = spark.createDataFrame(list(texts), "license string, text string")
-    rows = rows.where(canonical(F.col("text")) != "").select(digest(F.col("text")).alias("digest"), "license")
+    rows = rows.where(canonical(F.col("text")) != "").select(_digest(canonical(F.col("text"))).alias("digest"), "license")
     return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, texts: DataFrame, notices: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id_col, text_digest, license, notices): the licence that the whole text is, and the licences of its notice lines."""
-    th = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    whole = docs.select(docs[id_col].alias("id"), th.alias("th"), digest(docs[text_col]).alias("digest"))
-    whole = whole.join(texts, "digest", "left")
-    lines = docs.select(docs[id_col].alias("id"), th.alias("th"), F.explode(F.split(F.coalesce(docs[text_col], F.lit("")), "\n", -1)).alias("line"))
-    found = lines.select("id", "th", digest(F.col("line")).alias("digest")).join(notices, "digest")
+    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("th"), _plain(docs[text_col]).alias("plain"))
+    lines = F.array_distinct(F.transform(F.split("plain", "\n", -1), _finish))
+    # normalised once, and kept: digests of the whole text and of each different line
+    digests = durable(rows.select("id", "th", _digest(_whole(F.col("plain"))).alias("digest"), F.transform(lines, _digest).alias("lines")))
+    whole = digests.select("id", "th", "digest").join(texts, "digest", "left")
+    found = digests.select("id", "th", F.explode("lines").alias("digest")).join(notices, "digest")
     found = found.groupBy("id", "th").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
     same = whole["id"].eqNullSafe(found["id"]) & (whole["th"] == found["th"])
-    return whole.join(found, same, "left").select(whole["id"].alias(id_col), whole["digest"].alias("text_digest"), whole["license"], F.coalesce(found["notices"], F.lit("")).alias("notices"))
+    return whole.join(found, same, "left").select(whole["id"].alias(id_col), F.lower(F.hex(whole["digest"])).alias("text_digest"), whole["license"], F.coalesce(found["notices"], F.lit("")).alias("notices"))
