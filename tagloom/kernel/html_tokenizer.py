@@ -18,7 +18,7 @@ from .tokens import Characters, Comment, Doctype, Eof, Error, Null, Tag
 
 DATA, RCDATA, RAWTEXT, SCRIPT, PLAINTEXT, CDATA = "data", "rcdata", "rawtext", "script", "plaintext", "cdata"
 
-_TEXT = re.compile(r"[^<&\0]+")
+_TEXT = re.compile(r"[^<\0]+")
 _TAG_NAME = re.compile(r"[^\t\n\f />]*")
 _SPACE = re.compile(r"[\t\n\f ]*")
 _SPACE_SLASH = re.compile(r"[\t\n\f /]*")
@@ -26,18 +26,19 @@ _ATTRIBUTE_NAME = re.compile(r"=?[^\t\n\f />=]*")
 _UNQUOTED = re.compile(r"[^\t\n\f >]*")
 _COMMENT_END = re.compile(r"--!?>")
 _SCRIPT_MARK = re.compile(r"-->|<!--|<(/?)([A-Za-z]+)(?=[\t\n\f />])")
+_ODD_INPUT = re.compile("[\x01-\x08\x0b\x0e-\x1f\x7f-\x9f\ufdd0-\ufdef\ufffe\uffff" + "".join(chr(p * 0x10000 + o) for p in range(1, 17) for o in (0xFFFE, 0xFFFF)) + "]")
 _ODD_IN_NAME, _ODD_IN_VALUE = re.compile(r"[\"'<]"), re.compile(r"[\"'<=`]")
 
 
 class Tokenizer:
     """Feeds tokens to ``sink(token, line)``; see :func:`tokenize` for a list."""
 
-    def __init__(self, text: str, sink: Callable, state: str = DATA, last_start_tag: str | None = None, discard_bom: bool = True):
+    def __init__(self, text: str, sink: Callable, state: str = DATA, last_start_tag: str | None = None, discard_bom: bool = True, exact_errors: bool = False):
         if discard_bom and text.startswith("\ufeff"):
             text = text[1:]
         self.text, self.sink = normalise_newlines(text), sink
         self.state, self.last_start_tag, self.foreign = state, last_start_tag, False
-        self.at = 0
+        self.at, self.exact_errors = 0, exact_errors
         self._line, self._counted = 1, 0
 
     def emit(self, token) -> None:
@@ -51,8 +52,12 @@ class Tokenizer:
 
     def run(self) -> None:
         n = len(self.text)
+        if self.exact_errors:
+            for m in _ODD_INPUT.finditer(self.text):
+                self.sink(Error("control or noncharacter in the input"), 1 + self.text.count("\n", 0, m.start()))
+        states = {name: getattr(self, f"_{name}") for name in (DATA, RCDATA, RAWTEXT, SCRIPT, PLAINTEXT, CDATA)}
         while self.at < n:
-            getattr(self, f"_{self.state}")()
+            states[self.state]()
         self.emit(Eof())
 
     # text ---------------------------------------------------------------------
@@ -66,26 +71,28 @@ class Tokenizer:
             self.emit(Characters(data))
 
     def _data(self) -> None:
-        text = self.text
-        m = _TEXT.match(text, self.at)
+        text, begin = self.text, self.at
+        m = _TEXT.match(text, begin)
         if m:
-            self.at = m.end()
-            self.emit(Characters(m[0]))
-        elif text[self.at] == "<":
+            self.at, data = m.end(), m[0]
+            self.emit(Characters(self._decoded(begin, self.at) if "&" in data else data))
+        elif text[begin] == "<":
             self._markup()
-        elif text[self.at] == "&":
-            self._reference()
         else:
             self.at += 1
             self.error("NUL character")
             self.emit(Null())
 
-    def _reference(self) -> None:
-        chars, end, error = reference(self.text, self.at + 1, False)
-        self.at = end
-        if error:
-            self.error(error)
-        self.emit(Characters("&" if chars is None else chars))
+    def _decoded(self, at: int, end: int) -> str:
+        """Text between two places, with its character references decoded."""
+        text, out = self.text, []
+        while (amp := text.find("&", at, end)) >= 0:
+            chars, after, error = reference(text, amp + 1, False)
+            if error:
+                self.error(error)
+            out += [text[at:amp], "&" if chars is None else chars]
+            at = after
+        return "".join([*out, text[at:end]])
 
     def _plaintext(self) -> None:
         data, self.at = self.text[self.at :], len(self.text)
@@ -212,6 +219,12 @@ class Tokenizer:
         text, n = self.text, len(self.text)
         m = _TAG_NAME.match(text, at)
         name, at = ascii_lower(m[0]).replace("\0", REPLACEMENT), m.end()
+        if text.startswith(">", at):
+            self.at, self.state = at + 1, DATA
+            if kind == "start":
+                self.last_start_tag = name
+            self.emit(Tag(kind, name))
+            return
         attrs: list[tuple[str, str]] = []
         seen: set[str] = set()
         self_closing = duplicates = False
@@ -392,7 +405,7 @@ class Tokenizer:
         return done(to_end(at), False, "unexpected characters after doctype identifier")
 
 
-def tokenize(text: str, state: str = DATA, last_start_tag: str | None = None, discard_bom: bool = True, coalesce: bool = True) -> list[tuple]:
+def tokenize(text: str, state: str = DATA, last_start_tag: str | None = None, discard_bom: bool = True, coalesce: bool = True, exact_errors: bool = False) -> list[tuple]:
     """(token, line) pairs of a tokenizer without tree builder; neighbouring characters are joined."""
     out: list[tuple] = []
 
@@ -402,5 +415,5 @@ def tokenize(text: str, state: str = DATA, last_start_tag: str | None = None, di
         else:
             out.append((token, line))
 
-    Tokenizer(text, sink, state, last_start_tag, discard_bom).run()
+    Tokenizer(text, sink, state, last_start_tag, discard_bom, exact_errors).run()
     return out

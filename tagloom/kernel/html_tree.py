@@ -94,7 +94,7 @@ class TreeBuilder:
         else:
             self.skip_newline = False
             self._process(token)
-        if kind is not Eof:
+        if kind is Tag:
             node = self._adjusted()
             self.tokenizer.foreign = node is not None and node.ns != HTML
 
@@ -1298,10 +1298,10 @@ class TreeBuilder:
                 return
 
 
-def parse_document(text: str, scripting: bool = True, iframe_srcdoc: bool = False, drop_doctype: bool = False, log: bool = False) -> Document:
+def parse_document(text: str, scripting: bool = True, iframe_srcdoc: bool = False, drop_doctype: bool = False, log: bool = False, exact_errors: bool = False, discard_bom: bool = True) -> Document:
     doc = Document(log)
     builder = TreeBuilder(doc, scripting, iframe_srcdoc, drop_doctype)
-    builder.tokenizer = lex.Tokenizer(text, builder)
+    builder.tokenizer = lex.Tokenizer(text, builder, discard_bom=discard_bom, exact_errors=exact_errors)
     builder.tokenizer.run()
     _finish(builder)
     return doc

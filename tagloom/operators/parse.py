@@ -56,7 +56,7 @@ def _document(doc: Document) -> dict:
 
 
 def parse_html(df: DataFrame, id_col: str, html_col: str, **options) -> DataFrame:
-    """(id_col, doc): documents; options: scripting, iframe_srcdoc, drop_doctype, log."""
+    """(id_col, doc): documents; options: scripting, iframe_srcdoc, drop_doctype, log, exact_errors, discard_bom."""
     return _map(df, id_col, html_col, lambda text: _document(html_tree.parse_document(text, **options)), DOCUMENT, "doc")
 
 
@@ -120,6 +120,20 @@ def reserialize_xml(df: DataFrame, id_col: str, xml_col: str, compat: bool = Tru
     return _map(df, id_col, xml_col, lambda text: xml.serialize_xml(xml.parse_xml(text).root, compat), T.StringType(), "xml")
 
 
+def serialize_parsed(parsed: DataFrame, id_col: str, scripting: bool = True, templates: bool = False) -> DataFrame:
+    """(id_col, html) of parsed documents, from their node arrays."""
+    def task(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, STEP):
+                part = batch.slice(start, STEP)
+                out = [serialize.serialize_html(rows.tree_of(nodes or []), scripting=scripting, templates=templates) for nodes in part.column("nodes").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out, pa.string())], ["id", "html"])
+
+    read = parsed.select(F.col(id_col).alias("id"), F.col("doc.nodes").alias("nodes"))
+    schema = T.StructType([T.StructField("id", read.schema["id"].dataType), T.StructField("html", T.StringType())])
+    return read.mapInArrow(task, schema).withColumnRenamed("id", id_col)
+
+
 def dump_html(df: DataFrame, id_col: str, html_col: str, context: str | None = None, scripting: bool = True) -> DataFrame:
     """(id_col, tree): the indented form of a tree, a line for each node."""
     def make(text: str) -> str:

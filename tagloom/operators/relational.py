@@ -99,6 +99,25 @@ def serialize(nodes: DataFrame, id_col: str, scripting: bool = True) -> DataFram
     return events.groupBy(id_col).agg(text.alias("html"))
 
 
+def serialize_tokens(tokens: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, html) of a token list as it is, balanced or not; text after a raw text start tag is not escaped."""
+    before = Window.partitionBy(id_col).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    is_tag = F.col("kind").isin("start_tag", "end_tag")
+    last = F.last(F.when(is_tag, F.struct("kind", "name")), ignorenulls=True).over(before)
+    raw = F.coalesce((last["kind"] == "start_tag") & last["name"].isin(*sorted(RAW_TEXT)), F.lit(False))
+    text = (
+        F.when(F.col("kind") == "start_tag", F.concat(F.lit("<"), F.col("name"), F.array_join(F.transform("attrs", _attribute_text), ""), F.lit(">")))
+        .when(F.col("kind") == "end_tag", F.concat(F.lit("</"), F.col("name"), F.lit(">")))
+        .when(F.col("kind") == "characters", F.when(raw, F.col("data")).otherwise(escape_text(F.col("data"))))
+        .when(F.col("kind") == "comment", F.concat(F.lit("<!--"), F.col("data"), F.lit("-->")))
+        .when(F.col("kind") == "doctype", F.concat(F.lit("<!DOCTYPE "), F.coalesce("name", F.lit("")), F.lit(">")))
+        .when(F.col("kind") == "instruction", F.concat(F.lit("<?"), F.col("name"), F.lit(" "), F.col("data"), F.lit(">")))
+        .otherwise(F.lit(""))
+    )
+    written = tokens.select(id_col, "seq", text.alias("text")).groupBy(id_col)
+    return written.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda t: t["text"]), "").alias("html"))
+
+
 def indented(nodes: DataFrame, id_col: str) -> DataFrame:
     """(id_col, tree): element names and text, four spaces for each level, in document order."""
     line = F.when(F.col("kind") == "element", F.concat(F.lit("<"), F.col("local"), F.lit(">"))).when(F.col("kind") == "text", F.concat(F.lit("#text: "), F.col("text"))).when(F.col("kind") == "document", F.lit("#Document")).otherwise(F.concat(F.lit("#"), F.col("kind"), F.lit(": "), F.coalesce("text", "local", F.lit(""))))

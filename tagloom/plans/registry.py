@@ -206,6 +206,24 @@ def html_roundtrip(spark, sf_dir):
     return once.join(written, "page_id").join(twice, "page_id").select("page_id", (F.col("html") == F.col("relational")).alias("same_writer"), (F.col("html") == F.col("again")).alias("stable"))
 
 
+@query("SELECT page_id, TRUE AS same FROM pages")
+def html_from_nodes(spark, sf_dir):
+    """Trees rebuilt from node rows are written like those that were parsed."""
+    pages = _table(spark, sf_dir, "pages")
+    again = parse.serialize_parsed(_pages(spark, sf_dir), "page_id").withColumnRenamed("html", "again")
+    return parse.reserialize_html(pages, "page_id", "html").join(again, "page_id").select("page_id", (F.col("html") == F.col("again")).alias("same"))
+
+
+_TOKENS = (("unbalanced", "foo</div><div>", "foo</div><div>"), ("raw", "<script>a<b</script>&amp;", "<script>a<b</script>&amp;"), ("kinds", "<!doctype HTML><!--c--><p a=1 b='\"'>x &lt;", '<!DOCTYPE html><!--c--><p a="1" b="&quot;">x &lt;'))
+
+
+@query(V.values_sql([(n, want) for n, _, want in _TOKENS], "vector", "html"))
+def token_vectors(spark, sf_dir):
+    """Token lists written out as they are."""
+    given = _rows(spark, [(n, text) for n, text, _ in _TOKENS], "vector string, text string")
+    return R.serialize_tokens(parse.tokenize_html(given, "vector", "text", with_tree=True), "vector")
+
+
 @query("SELECT page_id, TRUE AS same FROM pages")
 def html_chunks(spark, sf_dir):
     """Pages cut into chunks of 100 characters, put together again and parsed, give the same tree."""

@@ -15,14 +15,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..kernel import html_tree, serialize, xml
+from ..operators.decode import decode_lossy
 
 OUTPUT = "doc_id long, complete boolean, n_chunks int, n_errors int, quirks_mode string, markup string"
 
 
 def parse_chunks(chunks: DataFrame, kind: str = "html", timeout_ms: int = 600_000) -> DataFrame:
-    """Chunks (doc_id long, seq int, chunk string, is_last boolean) to a row for each document, with the tree written out."""
+    """Chunks (doc_id long, seq int, chunk string or binary, is_last boolean) to a row for each document, with the tree written out.
+
+    Bytes are joined before they are decoded, so a character may be cut between chunks.
+    """
+    binary = chunks.schema["chunk"].dataType.simpleString() == "binary"
+
     def finish(doc_id: int, parts: dict[str, str], complete: bool) -> pd.DataFrame:
         text = "".join(parts[k] for k in sorted(parts, key=int))
+        if binary:
+            text = decode_lossy(bytes.fromhex(text))[0]
         doc = html_tree.parse_document(text) if kind == "html" else xml.parse_xml(text)
         markup = serialize.serialize_html(doc.root) if kind == "html" else xml.serialize_xml(doc.root)
         return pd.DataFrame([(doc_id, complete, len(parts), len(doc.errors), doc.quirks_mode, markup)], columns=["doc_id", "complete", "n_chunks", "n_errors", "quirks_mode", "markup"])
@@ -35,7 +43,7 @@ def parse_chunks(chunks: DataFrame, kind: str = "html", timeout_ms: int = 600_00
             return
         for batch in batches:
             for seq, chunk, is_last in zip(batch["seq"], batch["chunk"], batch["is_last"], strict=True):
-                held[str(seq)] = chunk or ""
+                held[str(seq)] = (bytes(chunk or b"").hex() if binary else chunk) or ""
                 if is_last:
                     last = int(seq)
         if last >= 0 and len(held) == last + 1:

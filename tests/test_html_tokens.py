@@ -81,6 +81,10 @@ def test_byte_order_mark():
     assert plain("﻿a", discard_bom=False)[0] == ["﻿a"]
 
 
+def test_exact_errors():
+    assert plain("a\x01\ufdd0b")[1] == 0 and plain("a\x01\ufdd0b", exact_errors=True) == (["a\x01\ufdd0b"], 2)
+
+
 _SOUP = st.text(alphabet="<>/!-?&;#='\"ab \n\r\0[]xscriptstyle", max_size=60)
 
 

@@ -91,6 +91,17 @@ def test_stream(spark, tmp_path):
     assert found == {1: (True, 2, "<html><head></head><body><p>a</p><p>b</p></body></html>"), 2: (True, 2, "<html><head></head><body><b>x</b></body></html>")}
 
 
+def test_stream_of_bytes(spark, tmp_path):
+    from tagloom.streaming.chunks import parse_chunks
+
+    given = spark.createDataFrame([(1, 0, b"<a>\xc3", False), (1, 1, b"\xa9</a>", True)], "doc_id long, seq int, chunk binary, is_last boolean")
+    given.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(given.schema).parquet(str(tmp_path / "in"))
+    query = parse_chunks(stream, kind="xml").writeStream.format("memory").queryName("parsed_bytes").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert [r["markup"] for r in spark.table("parsed_bytes").collect()] == ["<a>é</a>"]
+
+
 def test_entry_without_the_llm_parts(tmp_path):
     for name in ("tagloom", "__spark_entry__.py"):
         (shutil.copytree if (ROOT / name).is_dir() else shutil.copy)(ROOT / name, tmp_path / name)
