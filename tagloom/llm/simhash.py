@@ -120,7 +120,8 @@ def _linked(buckets: DataFrame, radius: int, block: int, last: bool) -> DataFram
             return batch
 
         for batch in batches:
-            keys, masks, values = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "mask", "fp"))
+            masks, values = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "fp"))
+            keys = values & masks
             alone = np.ones(len(keys), bool)  # neither neighbour has its key
             same = (keys[1:] == keys[:-1]) & (masks[1:] == masks[:-1])
             alone[1:] &= ~same
@@ -142,7 +143,8 @@ def _linked(buckets: DataFrame, radius: int, block: int, last: bool) -> DataFram
         close()
         yield flush()
 
-    dealt = buckets.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
+    key = F.col("fp").bitwiseAND(F.col("mask"))  # not shuffled: it follows from the rest
+    dealt = buckets.repartition("mask", key).sortWithinPartitions("mask", key, "fp")
     return map_arrow(dealt, task, "kind long, mask long, a long, b long")
 
 
@@ -153,8 +155,7 @@ def _signed(mask: int) -> int:
 def links(classes: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:
     """Edges (u, v) that join all different fingerprints of column fp that are within the radius."""
     def dealt(rows, masks):
-        rows = rows.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
-        return rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        return rows.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
 
     found = durable(_linked(dealt(classes.select("fp"), covering_masks(radius)), radius, block, last=False))
     edges, large = [found.where("kind = 0")], found.where("kind = 1")
@@ -164,8 +165,7 @@ def links(classes: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:
         # Members of a large bucket agree on its mask: they are told apart by further bits, and stay with it.
         finer = F.explode(F.array(*[F.lit(_signed(m)) for m in covering_masks(radius, seed=seed)])).alias("more")
         rows = large.select(F.col("a").alias("fp"), "mask", finer).select("fp", F.col("mask").bitwiseOR(F.col("more")).alias("mask"))
-        rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).distinct()
-        found = durable(_linked(rows, radius, block, last=seed == 3))
+        found = durable(_linked(rows.distinct(), radius, block, last=seed == 3))
         edges.append(found.where("kind = 0"))
         large = found.where("kind = 1")
     joined = edges[0]
