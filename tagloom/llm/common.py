@@ -21,6 +21,12 @@ def map_arrow(rows: DataFrame, task, schema) -> DataFrame:
     return rows.mapInArrow(task, schema)
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """From now on files are split alike however many executors are there, so that row numbers of a scan can be met again."""
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; under a temporary one only where that is unset and all runs locally."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
