@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 import zipfile
 from io import BytesIO
 from pathlib import Path
@@ -27,8 +28,22 @@ def ship(spark: SparkSession) -> SparkSession:
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for path in sorted(root.rglob("*.py")):
             z.write(path, os.path.relpath(path, root.parent))
-    archive = Path(mkdtemp()) / "tagloom_src.zip"
-    archive.write_bytes(data.getvalue())
-    sc.addPyFile(str(archive))
+    sc.addPyFile(_stored(spark, data.getvalue()))
     _SHIPPED.add(sc.applicationId)
     return spark
+
+
+def _stored(spark: SparkSession, data: bytes) -> str:
+    """Where the archive lies: in the folder that all machines share, or a temporary one where none is named."""
+    name = f"tagloom_{uuid.uuid4().hex}.zip"
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared is None:
+        path = Path(mkdtemp()) / name
+        path.write_bytes(data)
+        return str(path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared}/{name}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(path)
+    out.write(data)
+    out.close()
+    return files.makeQualified(path).toString()
