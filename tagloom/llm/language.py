@@ -12,7 +12,8 @@ runs over all blocks of a batch at once. A document's scores are the mean margin
 of its words, weighted by their letters.
 
 The model is fitted on the driver to a bounded sample: at most ``max_docs``
-labelled rows, those with the smallest hashes of their ids, and ``max_words`` words.
+labelled rows of ``max_chars`` characters together, those with the smallest hashes of
+their ids, and ``max_words`` words of them.
 
 Defined cases: text that is null or has no letter is ``und`` with score 0; ties go
 to the language that sorts first; no labelled row gives ``und`` for all; repeated
@@ -241,18 +242,24 @@ def fit(rows: list[tuple[str, str]], max_words: int = 200_000, rounds: int = 6,
     return model
 
 
-def sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, max_docs: int) -> list[tuple[str, str]]:
-    """At most max_docs labelled rows: a bounded choice by hash, in whole texts."""
+def sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, max_docs: int, max_chars: int) -> list[tuple[str, str]]:
+    """Labelled rows in the order of a hash, in whole texts, until there are max_docs or max_chars of them."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.xxhash64(F.col(id_col).cast("string"), F.lit(1)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    cut = rows.select("h").orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
-    if cut is None:
+    chosen, chars = [], 0
+    for r in rows.select("h", F.char_length("text").alias("n")).orderBy("h", "n").limit(max_docs).collect():
+        chars += r["n"]
+        if chosen and chars > max_chars:
+            break
+        chosen.append(r["h"])
+    if not chosen:
         return []
-    return [(r["text"], r["lang"]) for r in rows.where(F.col("h") <= cut).orderBy("h").limit(max_docs).collect()]
+    found = rows.where(F.col("h") <= chosen[-1]).orderBy("h", F.char_length("text")).limit(len(chosen))
+    return [(r["text"], r["lang"]) for r in found.collect()]
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 800, **options) -> Field:
-    return fit(sample(docs, text_col, lang_col, id_col, max_docs), **options)
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 800, max_chars: int = 20_000_000, **options) -> Field:
+    return fit(sample(docs, text_col, lang_col, id_col, max_docs, max_chars), **options)
 
 
 def identify(docs: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
