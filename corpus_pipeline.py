@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import decontaminate, language, line_dedup, packing, simhash
-from tagloom.llm.common import pin_splits, shared_folder
+from tagloom.llm.common import durable, pin_splits, shared_folder, small_side
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # the row number tells documents apart that share an id; with splits pinned it is the same whenever these files are read
     pin_splits(spark)
     rows = docs.withColumn("__row", F.struct("doc_id", F.monotonically_increasing_id().alias("row")))
-    more = simhash.duplicates(rows, id_col="__row", radius=4, shingle=5, min_similarity=0.8).select(F.col("__row.row").alias("row"))
-    return rows.join(more, rows["__row"]["row"] == more["row"], "left_anti").select(*docs.columns)
+    more = simhash.duplicates(rows, id_col="__row", radius=4, shingle=5, min_similarity=0.8)
+    more = small_side(durable(more.select(F.col("__row.row").alias("__more"))))
+    return rows.join(more, rows["__row"]["row"] == more["__more"], "left_anti").select(*docs.columns)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of a batch sent to Python: texts are long, so the default of 10,000 would take too much memory.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -47,6 +48,15 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+#: Rows of a join's side up to which it is broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(frame: DataFrame) -> DataFrame:
+    """A table of keys with a broadcast hint if its rows, counted now, are few enough for one."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+
+
 def durable(frame: DataFrame) -> DataFrame:
     """The frame as a table written once to the shared folder: computed once, and still there when executors go."""
     folder = shared_folder(frame.sparkSession)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_arrow
+from .common import durable, map_arrow, small_side
 from .components import components
 
 BITS = 64
@@ -188,18 +188,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of, "fp").select(id_col, "fp", "component_id")
 
 
-#: (words of a shingle, seed) of the views that give candidates: sets of shingles, without counts.
-VIEWS = ((1, 42), (1, 7), (1, 9), (2, 42), (3, 42))
+#: (words of a shingle, salt of its hashes) of the views that give candidates: sets of shingles, without counts.
+VIEWS = ((1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (3, 1))
 #: Bottom-k size: similarity is exact up to so many shingles, and has a standard error of 0.0125 beyond.
 SKETCH = 1024
 
 
+def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
+    """As good as hashes of another seed, without reading the shingles again."""
+    z = hashes + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
 def _views(text: bytes | None, views) -> tuple[bytes, list[int]]:
     """A digest of the word sequence, and a fingerprint for each view."""
     words = text.lower().split() if text else []
     exact = xxhash.xxh128_digest(b" ".join(words))
-    sets = {size: set(shingles(words, size)) if words else () for size, _ in views}
-    return exact, [_bits(_hashes(sets[size], seed)) if words else 0 for size, seed in views]
+    if not words:
+        return exact, [0] * len(views)
+    hashes = {size: _hashes(set(shingles(words, size)), 42) for size in {size for size, _ in views}}
+    return exact, [_bits(_mixed(hashes[size], salt)) for size, salt in views]
 
 
 def sketch(text: bytes | None, shingle: int) -> np.ndarray:
@@ -269,7 +279,7 @@ def _verified(rows: DataFrame, edges: DataFrame, kind: str, shingle: int, min_si
             ok = [similarity(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) >= min_similarity for a, b in sides]
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    ends = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct()
-    sketches = durable(map_arrow(rows.join(ends, "id", "left_semi"), sketch_task, f"id {kind}, sketch binary"))
+    ends = durable(edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct())
+    sketches = durable(map_arrow(rows.join(small_side(ends), "id", "left_semi"), sketch_task, f"id {kind}, sketch binary"))
     of = lambda end: sketches.select(F.col("id").alias(end), F.col("sketch").alias(f"s{end}"))
     return map_arrow(edges.join(of("u"), "u").join(of("v"), "v").select("u", "v", "su", "sv"), check_task, f"u {kind}, v {kind}")
