@@ -37,16 +37,17 @@ from .common import map_arrow
 _TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?/][^>]*>?", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 #: Elements whose content is text or is not shown, up to their end tag.
-RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp svg math select object canvas audio video".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp svg select object canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main menu nav ol option p plaintext pre section summary table tbody td tfoot th thead tr ul".split()
 )
 ASIDE = frozenset("nav footer aside form head button dialog menu fieldset".split())
 CONTAINERS = frozenset("html body div section article main nav header footer aside form head button dialog menu fieldset ul ol dl table figure details blockquote span center".split())
+#: Blocks that matter only if they are left out; a paragraph also ends where another block begins.
+LEAVES = frozenset("p li dt dd h2 h3 h4 h5 h6 tr td th pre figcaption address caption hgroup".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
 _ASIDE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adslot|sponsor(?:ed|s)?|promos?|promotions?|banners?|sidebars?|side-bar|nav|navbar|navigation|menus?|breadcrumbs?|footer|masthead|topbar|comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|notices?|popups?|modal|overlay|newsletter|subscribe|subscription|signup|share|sharing|social|related|recommended|recommendations|widgets?|pagination|pager|toolbar|alerts?|login|search|skip-link)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|ad(?:slot|box|unit|container|wrapper|banner|block|space)s?|adverts?|advertisements?|advertising|adsense|adslot|sponsor(?:ed|s)?|promos?|promotions?|banners?|sidebars?|side-bar|(?:top|sub|main|site|side)?nav(?:bar|list)?|navigation|menus?|breadcrumbs?|footer|masthead|topbar|comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|notices?|popups?|disclaimers?|announcements?|paywall|modal|overlay|newsletter|subscribe|subscription|signup|share|sharing|social|related|recommended|recommendations|widgets?|pagination|pager|toolbar|alerts?|login|search|skip-link)(?:$|[\s_-])",
     re.IGNORECASE,
 )
 _HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header)(?:$|[\s_-])", re.IGNORECASE)
@@ -105,16 +106,18 @@ def blocks(html: str) -> list[tuple[str, str]]:
             continue
         tag = tag.lower()
         if tag in RAW and not m[1]:
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
+            if not m[3].rstrip().endswith("/") or tag != "svg":
                 end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(html, at)
                 at = end.end() if end else n
             text.append(" ")
             continue
         if tag in BLOCK:
             flush()
+            if stack and not m[1] and stack[-1][0] in LEAVES and (stack[-1][0] in ("p", tag)):
+                zone = stack.pop()[1]
         elif tag == "br":
             text.append(" ")
-        if tag in VOID or tag not in CONTAINERS:
+        if tag not in CONTAINERS and tag not in LEAVES:
             continue
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
@@ -128,8 +131,9 @@ def blocks(html: str) -> list[tuple[str, str]]:
             new = _zone(tag, m[3], zone == "main") if zone != "aside" else ""
             if new and tag not in BLOCK:
                 flush()
-            stack.append((tag, zone))
-            zone = new or zone
+            if tag in CONTAINERS or new == "aside":
+                stack.append((tag, zone))
+                zone = new or zone
     flush()
     return out
 

@@ -19,7 +19,9 @@ ROW = "page_id long, url string, html string"
         ("<article><p>loaded threads</p><p class=lead>x</p><div class='ad'>no</div><div class=addition>yes</div></article>", "loaded threads\n\nx\n\nyes"),
         ("<article><table><tr><td>a<td>b</table><ul><li>c<li>d</ul><pre>e\nf</pre></article>", "a\n\nb\n\nc\n\nd\n\ne f"),
         ("<body><header>h</header><p>plain</p><footer>f</footer>", "plain"),
-        ("<article><p hidden>h</p><div hidden>h</div><p>x <!-- c --> y", "h\n\nx y"),
+        ("<article><p hidden>h</p><div hidden>h</div><p>x <!-- c --> y", "x y"),
+        ("<article><h1 class=banner>T</h1><p class=advert>no<p>yes</p><ul><li>a<li class=share>b<li>c</ul><h2 id=comments>no</h2><p>end", "T\n\nyes\n\na\n\nc\n\nend"),
+        ("<article><p>x <math><mi>y</mi></math> z</p><div class=widget><p>no</p></div></div><p>yes</p></article><p>no", "x y z\n\nyes"),
         ("no markup < at all", "no markup < at all"),
         ("", ""),
         (None, ""),
