@@ -1,11 +1,11 @@
-"""Line deduplication over hashed lines, with per-document drop bitmaps.
+"""Line deduplication over hashed lines, with per-document keep bitmaps.
 
 Method: every line becomes a row of two 64-bit hashes, its document and its
 position, never its text. The rows are range-partitioned by hash with a
 secondary sort by document and position; a window streams over each key, so that
 its first row is the first occurrence and its number of documents is known. What
-comes back per document is a compressed bitmap of lines to drop: 64-line words,
-those without a dropped line left out. Text is joined to it once, at the end.
+comes back per document is a compressed bitmap of lines to keep: 64-line words,
+those that keep all their lines left out. Text is joined to it once, at the end.
 
 Hot keys are settled beforehand by a count that is combined before its shuffle:
 only HEAVY_KEYS keys can be the key of over 1/HEAVY_KEYS of all lines, so the
@@ -64,8 +64,8 @@ def _heavy(lines: DataFrame, min_docs: int) -> DataFrame:
     return tallies.where(F.col("n") >= min_docs).orderBy(F.desc("n"), "h1", "h2").limit(HEAVY_KEYS)
 
 
-def drop_bitmaps(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_chars: int = 1, min_docs: int = 10, keep: str = "none") -> DataFrame:
-    """Lines to drop: doc, th, words (array of structs: w, the word's number, and bits).
+def keep_bitmaps(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_chars: int = 1, min_docs: int = 10, keep: str = "none") -> DataFrame:
+    """Lines to keep: doc, th, words (array of structs: w, the word's number, and bits; other words keep all).
 
     ``keep="none"`` drops each line whose key at least ``min_docs`` documents have;
     ``keep="first"`` spares its first occurrence, by document and position.
@@ -93,18 +93,18 @@ def drop_bitmaps(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     dropped = hot.select("doc", "th", "pos").unionByName(rest.select("doc", "th", "pos")).repartition("doc", "th")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos") % 64)
-    words = dropped.groupBy("doc", "th", F.floor(F.col("pos") / 64).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits"))
+    words = dropped.groupBy("doc", "th", F.floor(F.col("pos") / 64).cast("int").alias("w")).agg(F.bitwise_not(F.bit_or(bit)).alias("bits"))
     return words.groupBy("doc", "th").agg(F.collect_list(F.struct("w", "bits")).alias("words"))
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **rule) -> DataFrame:
     """The input's columns, and a struct ``line_dedup``: text (without dropped lines), n_lines, n_dropped."""
-    maps = drop_bitmaps(docs, text_col, id_col, **rule).select("doc", "th", F.map_from_entries("words").alias("words"))
+    maps = keep_bitmaps(docs, text_col, id_col, **rule).select("doc", "th", F.map_from_entries("words").alias("words"))
     doc, th = _identity(docs, text_col, id_col)
     rows = docs.join(maps, doc.eqNullSafe(maps["doc"]) & (th == maps["th"]), "left")
     lines, words = lines_of(docs[text_col]), maps["words"]
-    n_dropped = F.aggregate(F.map_values(words), F.lit(0).cast("long"), lambda n, bits: n + F.bit_count(bits))
-    stays = lambda _, i: F.call_function("getbit", F.coalesce(F.try_element_at(words, F.floor(i / 64).cast("int")), F.lit(0).cast("long")), i % 64) == 0
+    n_dropped = F.aggregate(F.map_values(words), F.lit(0).cast("long"), lambda n, bits: n + F.bit_count(F.bitwise_not(bits)))
+    stays = lambda _, i: F.call_function("getbit", F.coalesce(F.try_element_at(words, F.floor(i / 64).cast("int")), F.lit(-1).cast("long")), i % 64) == 1
     kept = F.when(words.isNull(), F.coalesce(docs[text_col], F.lit(""))).otherwise(F.array_join(F.filter(lines, stays), "\n"))
     breaks = F.char_length(docs[text_col]) - F.char_length(F.replace(docs[text_col], F.lit("\n"), F.lit("")))
     result = F.struct(kept.alias("text"), (F.coalesce(breaks, F.lit(0)) + 1).cast("long").alias("n_lines"), F.coalesce(n_dropped, F.lit(0).cast("long")).alias("n_dropped"))

@@ -58,7 +58,7 @@ def test_repeated_rows_keep_the_same_lines(spark):
 
 
 def test_bitmaps_hold_no_text(spark):
-    maps = line_dedup.drop_bitmaps(documents(spark, TEXTS), min_docs=2)
+    maps = line_dedup.keep_bitmaps(documents(spark, TEXTS), min_docs=2)
     assert dict(maps.dtypes) == {"doc": "bigint", "th": "bigint", "words": "array<struct<w:int,bits:bigint>>"}
 
 
