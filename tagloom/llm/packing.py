@@ -145,37 +145,56 @@ def rows_of(sequences: Iterable[list[Piece]], first: int) -> Iterator[tuple]:
 
 
 def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", limit: int = 2048, segments: int = 256, loss_limit: int | None = None, pool: int = 1024) -> DataFrame:
-    """A row for each piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, n_loss."""
-    def sequences(batches, packer):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                for doc, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids = np.append(tokens.encode(text or ""), np.uint32(END))
-                    yield from packer.add(Piece(doc, 0, ids, None, len(ids)))
-        yield from packer.finish()
+    """A row for each piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, n_loss; all ids bear loss."""
+    def pieces(batch):
+        for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            ids = np.append(tokens.encode(text or ""), np.uint32(END))
+            yield Piece(doc, 0, ids, None, len(ids))
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return _packed(rows, pieces, limit, segments, loss_limit, pool).withColumnRenamed("id", id_col)
+
+
+def pack_turns(turns: DataFrame, limit: int = 2048, segments: int = 64, loss_limit: int | None = None, pool: int = 1024) -> DataFrame:
+    """The same for turns of :func:`chat.format_turns`, under all three limits; the id is struct(conv, position)."""
+    def pieces(batch):
+        columns = (batch.column(c).to_pylist() for c in ("id", "ids", "first", "last"))
+        for turn, raw, first, last in zip(*columns, strict=True):
+            ids = np.frombuffer(raw, "<u2").astype(np.uint32)
+            loss = np.zeros(len(ids), bool)
+            loss[first:last] = True
+            yield Piece(turn, 0, ids, loss, len(ids))
+
+    first, last = F.col("loss_from") - F.col("position"), F.col("loss_to") - F.col("position")
+    rows = turns.select(F.struct("conv", "position").alias("id"), "ids", first.alias("first"), last.alias("last"))
+    return _packed(rows, pieces, limit, segments, loss_limit, pool)
+
+
+def _packed(rows: DataFrame, pieces, limit: int, segments: int, loss_limit: int | None, pool: int) -> DataFrame:
+    """Pack the pieces(batch) of each task's own rows; rows have the id in column id."""
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "n_loss"]
 
     def task(batches):
-        first = TaskContext.get().partitionId() << 40
         out, id_type = [], []
 
-        def typed(batches):
+        def sequences(packer):
             for batch in batches:
                 id_type[:] = [batch.schema.field("id").type]
-                yield batch
+                for start in range(0, batch.num_rows, 256):
+                    for piece in pieces(batch.slice(start, 256)):
+                        yield from packer.add(piece)
+            yield from packer.finish()
 
         def flush():
             ids, *numbers = zip(*out, strict=True)
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(ids, id_type[0]), *(pa.array(c, pa.int64()) for c in numbers)], names)
 
-        for row in rows_of(sequences(typed(batches), Packer(limit, segments, loss_limit, pool)), first):
+        for row in rows_of(sequences(Packer(limit, segments, loss_limit, pool)), TaskContext.get().partitionId() << 40):
             out.append(row)
             if len(out) >= 8192:
                 yield flush()
         if out:
             yield flush()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "n_loss"]
-    return map_arrow(rows, task, f"id {rows.schema['id'].dataType.simpleString()}, {SCHEMA}").withColumnRenamed("id", id_col)
+    return map_arrow(rows, task, f"id {rows.schema['id'].dataType.simpleString()}, {SCHEMA}")

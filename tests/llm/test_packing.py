@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tagloom.llm import packing, queries, tokens
+from tagloom.llm import chat, packing, queries, tokens
 from tests.conftest import SMALL
 from tests.llm.helpers import awkward, clashing
 
@@ -86,3 +86,18 @@ def test_awkward_rows(spark):
     one = len(tokens.encode("same text here")) + 1
     assert lengths[None] == lengths[1] == lengths[2] == 1 and lengths[5] == 2 * one and lengths[6] == one and lengths[4] > 40_000
     assert packing.pack(docs.where("doc_id > 99")).count() == 0
+
+
+def test_instruction_turns(spark):
+    turns = chat.format_turns(spark.read.parquet(f"{SMALL}/conversations.parquet")).cache()
+    found = packing.pack_turns(turns, limit=512, segments=4, loss_limit=300).collect()
+    given = {(r["conv"], r["position"]): r for r in turns.collect()}
+    lengths, loss, by_sequence = defaultdict(int), defaultdict(int), defaultdict(list)
+    for p in found:
+        lengths[tuple(p["id"])] += p["length"]
+        loss[tuple(p["id"])] += p["n_loss"]
+        by_sequence[p["sequence_id"]].append(p)
+    assert {k: r["n_tokens"] for k, r in given.items()} == lengths
+    assert {k: r["loss_to"] - r["loss_from"] for k, r in given.items()} == loss
+    for own in by_sequence.values():
+        assert sum(p["length"] for p in own) <= 512 and len(own) <= 4 and sum(p["n_loss"] for p in own) <= 300
