@@ -252,9 +252,11 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         classes = durable(firsts.groupBy(F.col(name).alias("fp")).agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")))
         # within a class: a star around its leader; between classes: links of their leaders
         same = firsts.select(F.col(name).alias("fp"), "id").join(classes.where("n > 1"), "fp").where(F.col("id") != F.col("leader")).select(F.col("leader").alias("u"), F.col("id").alias("v"))
-        near = links(classes.select("fp"), radius, block)
-        leader = classes.select("fp", "leader")
-        near = near.join(leader.select(F.col("fp").alias("u"), F.col("leader").alias("lu")), "u").join(leader.select(F.col("fp").alias("v"), F.col("leader").alias("lv")), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+        near = links(classes.select("fp"), radius, block)  # a link can come from several tables
+        near = near.select(F.least("u", "v").alias("fu"), F.greatest("u", "v").alias("fv")).distinct()
+        for end in ("u", "v"):
+            near = near.join(classes.select(F.col("fp").alias(f"f{end}"), F.col("leader").alias(end)), f"f{end}")
+        near = near.select("u", "v")
         found = same.unionByName(near)
         edges = found if edges is None else edges.unionByName(found)
     edges = durable(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
