@@ -103,40 +103,40 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _linked(buckets: DataFrame, radius: int, block: int, last: bool) -> DataFrame:
-    """Rows (kind, mask, a, b): links between fingerprints (kind 0), or members of a bucket that is too large (kind 1)."""
+    """Rows (kind, view, mask, a, b): links between fingerprints (kind 0), or members of a bucket that is too large (kind 1)."""
     def task(batches):
         fps, key, over = [], None, False
-        out: list[tuple[int, int, int, int]] = []
+        out: list[tuple[int, int, int, int, int]] = []
 
         def close():
             if len(fps) > 1 and not over:
                 array = np.array(fps, np.int64).view(np.uint64)
-                out.extend((0, 0, fps[i], fps[j]) for i, j in _forest(array, radius))
+                out.extend((0, key[0], 0, fps[i], fps[j]) for i, j in _forest(array, radius))
 
         def flush():
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["kind", "mask", "a", "b"])
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["kind", "view", "mask", "a", "b"])
             out.clear()
             return batch
 
         for batch in batches:
-            masks, values = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "fp"))
+            views, masks, values = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("view", "mask", "fp"))
             keys = values & masks
             alone = np.ones(len(keys), bool)  # neither neighbour has its key
-            same = (keys[1:] == keys[:-1]) & (masks[1:] == masks[:-1])
+            same = (keys[1:] == keys[:-1]) & (masks[1:] == masks[:-1]) & (views[1:] == views[:-1])
             alone[1:] &= ~same
             alone[:-1] &= ~same
             if len(alone):
                 alone[[0, -1]] = False
-            for k, m, fp in zip(keys[~alone].tolist(), masks[~alone].tolist(), values[~alone].tolist(), strict=True):
-                if (k, m) != key:
+            for v, k, m, fp in zip(*(x[~alone].tolist() for x in (views, keys, masks, values)), strict=True):
+                if (v, k, m) != key:
                     close()
-                    fps, key, over = [], (k, m), False
+                    fps, key, over = [], (v, k, m), False
                 fps.append(fp)
                 if not last and len(fps) > block:
                     over = True
                 if over:
-                    out.extend((1, m, fp, k) for fp in fps)
+                    out.extend((1, v, m, fp, k) for fp in fps)
                     fps = []
                 if len(out) >= 8192:
                     yield flush()
@@ -144,8 +144,8 @@ def _linked(buckets: DataFrame, radius: int, block: int, last: bool) -> DataFram
         yield flush()
 
     key = F.col("fp").bitwiseAND(F.col("mask"))  # not shuffled: it follows from the rest
-    dealt = buckets.repartition("mask", key).sortWithinPartitions("mask", key, "fp")
-    return map_arrow(dealt, task, "kind long, mask long, a long, b long")
+    dealt = buckets.repartition("view", "mask", key).sortWithinPartitions("view", "mask", key, "fp")
+    return map_arrow(dealt, task, "kind long, view long, mask long, a long, b long")
 
 
 def _signed(mask: int) -> int:
@@ -153,32 +153,32 @@ def _signed(mask: int) -> int:
 
 
 def links(classes: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:
-    """Edges (u, v) that join all different fingerprints of column fp that are within the radius."""
-    def dealt(rows, masks):
-        return rows.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
-
-    found = durable(_linked(dealt(classes.select("fp"), covering_masks(radius)), radius, block, last=False))
+    """Edges (view, u, v) that join all different fingerprints (column fp) of a view that are within the radius; without column view there is one."""
+    rows = classes.select(F.col("view").cast("int").alias("view") if "view" in classes.columns else F.lit(0).alias("view"), "fp")
+    masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
+    found = durable(_linked(rows.select("view", "fp", F.explode(masks).alias("mask")), radius, block, last=False))
     edges, large = [found.where("kind = 0")], found.where("kind = 1")
     for seed in (2, 3):
         if large.isEmpty():
             break
         # Members of a large bucket agree on its mask: they are told apart by further bits, and stay with it.
         finer = F.explode(F.array(*[F.lit(_signed(m)) for m in covering_masks(radius, seed=seed)])).alias("more")
-        rows = large.select(F.col("a").alias("fp"), "mask", finer).select("fp", F.col("mask").bitwiseOR(F.col("more")).alias("mask"))
+        rows = large.select(F.col("view").cast("int").alias("view"), F.col("a").alias("fp"), "mask", finer)
+        rows = rows.select("view", "fp", F.col("mask").bitwiseOR(F.col("more")).alias("mask"))
         found = durable(_linked(rows.distinct(), radius, block, last=seed == 3))
         edges.append(found.where("kind = 0"))
         large = found.where("kind = 1")
     joined = edges[0]
     for more in edges[1:]:
         joined = joined.unionByName(more)
-    return joined.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return joined.select("view", F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4, block: int = 4096) -> DataFrame:
     """(id_col, fp, component_id): the smallest id that is reachable over links within the radius."""
     prints = durable(fingerprints(docs, id_col, text_col, shingle))
     classes = durable(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = components(links(classes, radius, block))
+    roots = components(links(classes, radius, block).select("u", "v"))
     # root is the smallest fingerprint; the smallest id of its group has to be found
     members = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
     members = durable(members.join(classes, "fp"))
@@ -247,18 +247,15 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = durable(prints.groupBy("exact").agg(F.min("id").alias("id"), *[F.first(n).alias(n) for n in names]))
     copies = prints.select("exact", F.col("id").alias("copy")).join(firsts.select("exact", "id"), "exact").where(F.col("copy") != F.col("id"))
 
-    edges = None
-    for name in names:
-        classes = durable(firsts.groupBy(F.col(name).alias("fp")).agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")))
-        # within a class: a star around its leader; between classes: links of their leaders
-        same = firsts.select(F.col(name).alias("fp"), "id").join(classes.where("n > 1"), "fp").where(F.col("id") != F.col("leader")).select(F.col("leader").alias("u"), F.col("id").alias("v"))
-        near = links(classes.select("fp"), radius, block)  # a link can come from several tables
-        near = near.select(F.least("u", "v").alias("fu"), F.greatest("u", "v").alias("fv")).distinct()
-        for end in ("u", "v"):
-            near = near.join(classes.select(F.col("fp").alias(f"f{end}"), F.col("leader").alias(end)), f"f{end}")
-        near = near.select("u", "v")
-        found = same.unionByName(near)
-        edges = found if edges is None else edges.unionByName(found)
+    stacked = firsts.select("id", F.posexplode(F.array(*names)).alias("view", "fp"))
+    classes = durable(stacked.groupBy("view", "fp").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")))
+    # within a class: a star around its leader; between classes: links of their leaders
+    same = stacked.join(classes.where("n > 1"), ["view", "fp"]).where(F.col("id") != F.col("leader")).select(F.col("leader").alias("u"), F.col("id").alias("v"))
+    near = links(classes.select("view", "fp"), radius, block)  # a link can come from several tables
+    near = near.select(F.col("view").cast("int").alias("view"), F.least("u", "v").alias("fu"), F.greatest("u", "v").alias("fv")).distinct()
+    for end in ("u", "v"):
+        near = near.join(classes.select("view", F.col("fp").alias(f"f{end}"), F.col("leader").alias(end)), ["view", f"f{end}"])
+    edges = same.unionByName(near.select("u", "v"))
     edges = durable(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     verified = _verified(rows, edges, kind, shingle, min_similarity)
     linked = components(verified).select(F.col("node").alias("id"), F.col("root").alias("root"))

@@ -88,7 +88,7 @@ def test_links_and_components(spark, block):
     prints = planted(3, 60)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     classes = spark.createDataFrame([(s,) for s in set(signed)], "fp long")
-    edges = simhash.links(classes, 4, block)
+    edges = simhash.links(classes, 4, block).select("u", "v")
     roots = {r["node"]: r["root"] for r in components(edges).collect()}
     want = brute_components([(s, s & (1 << 64) - 1) for s in set(signed)])
     assert {s: roots.get(s, s) for s in set(signed)} == want
