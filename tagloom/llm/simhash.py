@@ -16,7 +16,8 @@ Links go to :mod:`components`.
 0.8 differs in some ten bits of a fingerprint of its five-word shingles, too many
 for any covering tables, but in about four bits of fingerprints of its *sets* of
 shorter shingles. So candidates come from several such views, each covered within
-its radius, and every candidate link is checked on the shingles themselves.
+its radius. All that candidates connect is one group, and within it the links are made
+anew, by a forest over the shingles themselves: a candidate that fails costs no other pair.
 
 Defined cases: null, empty and all-white texts have no words and fingerprint
 zero, linked like any other; repeated rows are copies; documents with null ids
@@ -192,6 +193,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 VIEWS = ((1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (3, 1))
 #: Bottom-k size: similarity is exact up to so many shingles, and has a standard error of 0.0125 beyond.
 SKETCH = 1024
+#: Sketches of a group that one place takes; of a larger group, two blocks of so many.
+BLOCK_BYTES = 16 << 20
 
 
 def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
@@ -227,11 +230,12 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return len(both) / len(union) if len(union) else 1.0
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 5, min_similarity: float = 0.8, views=VIEWS, block: int = 4096) -> DataFrame:
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 5, min_similarity: float = 0.8, views=VIEWS, block: int = 4096, members: int = 2000) -> DataFrame:
     """(id_col, component_id) of all documents but the one of each group with the smallest id.
 
-    A group is what links join: equal word sequences, and pairs within the radius in
-    some view whose shingle sets have the similarity. Ids have to be unique and not null.
+    A group is what links join: equal word sequences, and pairs whose shingle sets have
+    the similarity, of all that chains of pairs within the radius in some view reach.
+    Ids have to be unique and not null.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
@@ -255,9 +259,9 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = near.select(F.col("view").cast("int").alias("view"), F.least("u", "v").alias("fu"), F.greatest("u", "v").alias("fv")).distinct()
     for end in ("u", "v"):
         near = near.join(classes.select("view", F.col("fp").alias(f"f{end}"), F.col("leader").alias(end)), ["view", f"f{end}"])
-    edges = same.unionByName(near.select("u", "v"))
-    edges = durable(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    verified = _verified(rows, edges, kind, shingle, min_similarity)
+    # a failed link says nothing about the pairs that it stood for, so what links join is searched as a whole
+    groups = durable(components(same.unionByName(near.select("u", "v"))))
+    verified = _verified(rows, groups, kind, shingle, min_similarity, members)
     linked = components(verified).select(F.col("node").alias("id"), F.col("root").alias("root"))
     linked = durable(linked)
     # a copy belongs where its first one does
@@ -265,20 +269,72 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return linked.unionByName(roots).select(F.col("id").alias(id_col), F.col("root").alias("component_id"))
 
 
-def _verified(rows: DataFrame, edges: DataFrame, kind: str, shingle: int, min_similarity: float) -> DataFrame:
-    """The edges whose ends are similar enough."""
+def _similar_forest(sketches: list[np.ndarray], min_similarity: float) -> list[tuple[int, int]]:
+    """Edges that join all sketches that are similar enough; at most one less than sketches."""
+    lengths = np.array([len(s) for s in sketches])
+    left, stack, edges, indexed = np.arange(len(sketches)), [], [], None
+    while stack or len(left):
+        if not stack:
+            stack, left = [int(left[0])], left[1:]
+        i = stack.pop()
+        if not len(left):
+            continue
+        if indexed is None or 2 * len(left) < indexed:  # an index of the hashes of what is left, halved with it
+            indexed = len(left)
+            hashes, owners = np.concatenate([sketches[j] for j in left]), np.repeat(left, lengths[left])
+            order = np.argsort(hashes)
+            hashes, owners = hashes[order], owners[order]
+        begin, end = np.searchsorted(hashes, sketches[i]), np.searchsorted(hashes, sketches[i], "right")
+        sizes = end - begin
+        places = np.arange(sizes.sum()) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
+        shared = np.bincount(owners[places], minlength=len(sketches))[left]
+        near = shared >= min_similarity * np.maximum(lengths[left] + lengths[i] - shared, 1) - 1e-6
+        for j in np.flatnonzero((shared > 0) & (np.maximum(lengths[left], lengths[i]) == SKETCH)).tolist():
+            near[j] = similarity(sketches[i], sketches[left[j]]) >= min_similarity
+        found = left[near].tolist()
+        left = left[~near]
+        edges += [(i, j) for j in found]
+        stack += found
+    return edges
+
+
+def _verified(rows: DataFrame, groups: DataFrame, kind: str, shingle: int, min_similarity: float, members: int) -> DataFrame:
+    """Edges (u, v) that join all pairs of a group (node, root) that are similar enough.
+
+    A group of more than ``members``, or of more than BLOCK_BYTES of sketches, is cut
+    into blocks, and each two blocks meet in a place of their own.
+    """
     def sketch_task(batches):
         for batch in batches:
             found = [sketch(t, shingle).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), pa.array(found, pa.binary())], ["id", "root", "sketch"])
+
+    def forest_task(batches):
+        key, ids, sketches, type_ = None, [], [], None
+
+        def close():
+            edges = _similar_forest(sketches, min_similarity)
+            return pa.RecordBatch.from_arrays([pa.array([ids[e[end]] for e in edges], type_) for end in (0, 1)], ["u", "v"])
 
-    def check_task(batches):
         for batch in batches:
-            sides = zip(batch.column("su").to_pylist(), batch.column("sv").to_pylist(), strict=True)
-            ok = [similarity(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) >= min_similarity for a, b in sides]
-            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    ends = durable(edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct())
-    sketches = durable(map_arrow(rows.join(small_side(ends), "id", "left_semi"), sketch_task, f"id {kind}, sketch binary"))
-    of = lambda end: sketches.select(F.col("id").alias(end), F.col("sketch").alias(f"s{end}"))
-    return map_arrow(edges.join(of("u"), "u").join(of("v"), "v").select("u", "v", "su", "sv"), check_task, f"u {kind}, v {kind}")
+            type_ = batch.column("id").type
+            for root, p, q, own, found in zip(*(batch.column(c).to_pylist() for c in ("root", "p", "q", "id", "sketch")), strict=True):
+                if (root, p, q) != key:
+                    if len(ids) > 1:
+                        yield close()
+                    key, ids, sketches = (root, p, q), [], []
+                ids.append(own)
+                sketches.append(np.frombuffer(found, "<u8"))
+        if len(ids) > 1:
+            yield close()
+
+    whole = groups.select(F.col("node").alias("id"), "root").unionByName(groups.select(F.col("root").alias("id"), "root").distinct())
+    sketches = durable(map_arrow(rows.join(small_side(durable(whole)), "id"), sketch_task, f"id {kind}, root {kind}, sketch binary"))
+    needed = F.greatest(F.ceil(F.count(F.lit(1)) / members), F.ceil(F.sum(F.length("sketch")) / BLOCK_BYTES)).cast("int")
+    large = sketches.groupBy("root").agg(needed.alias("blocks")).where("blocks > 1")
+    dealt = sketches.join(small_side(durable(large)), "root", "left").withColumn("own", F.expr("CAST(pmod(xxhash64(id), blocks) AS INT)"))
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))
+    dealt = dealt.withColumn("own", F.coalesce("own", F.lit(0))).withColumn("other", F.explode(others))
+    dealt = dealt.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "sketch")
+    dealt = dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "id")
+    return map_arrow(dealt, forest_task, f"u {kind}, v {kind}")

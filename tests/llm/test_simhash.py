@@ -140,3 +140,33 @@ def test_similar_documents_are_grouped(spark):
     missed = [i for i in want if got.get(i, i) != want[i]]
     assert len(missed) <= 0.03 * sum(want[i] != i for i in want)
     assert all(want[i] == want[g] for i, g in got.items())  # nothing joins that is not similar
+
+
+@pytest.mark.parametrize("members", [300, 2000])
+def test_copies_that_only_a_hub_joins(spark, members):
+    rng = np.random.default_rng(8)
+    base = [f"w{int(x)}" for x in rng.integers(0, 5000, 250)]
+    texts = []
+    for _ in range(1100):
+        copy = list(base)
+        for at in rng.choice(np.arange(5, 245, 6), 5, replace=False):
+            copy[at] = f"x{int(rng.integers(0, 10**9))}"
+        texts.append(" ".join(copy))
+    texts.insert(700, " ".join(base))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.duplicates(documents(spark, texts).repartition(3), members=members).collect()}
+    assert len(got) >= 0.97 * 1100 and len(set(got.values())) == 1
+
+
+def test_similar_forest_like_all_pairs():
+    rng = np.random.default_rng(4)
+    sets = [rng.choice(np.arange(60, dtype="<u8"), int(rng.integers(0, 40)), replace=False) for _ in range(40)]
+    sets = [np.sort(s) for s in sets + [s[: len(s) * 9 // 10] for s in sets] + [s[len(s) // 10 :] for s in sets]]
+    group = list(range(len(sets)))
+    for i, j in simhash._similar_forest(sets, 0.8):
+        group = [group[j] if g == group[i] else g for g in group]
+    want = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(np.union1d(a, b)) and simhash.similarity(a, b) >= 0.8:
+                want = [want[j] if g == want[i] else g for g in want]
+    assert all((group[i] == group[j]) == (want[i] == want[j]) for i in range(len(sets)) for j in range(i))
