@@ -3,21 +3,24 @@
 Two methods meet here. Where a page marks its article (article or main elements,
 or the equal roles), its structure decides: blocks inside the article stay, unless
 they are menus, adverts, notices, forms, comments and the like by element, role,
-class or id. Where a page marks none, structure only removes such parts, and the
-host suffix array decides about the rest: the token streams of a host's unmarked
-pages are taken together, suffixes are sorted by their first ``depth`` tokens (the
-stage of prefix doubling at which any longer common prefix is already known to be
-shared), and tokens under a prefix that at least ``min_pages`` different pages share
-are boilerplate; the runs between them are kept. Repetition alone cannot serve for
-marked pages: their menus may occur once only, and articles quote each other.
-
-The suffix array is never built for a host in one place: suffixes are dealt by
-host and prefix hash, and counted before the shuffle, so a host that holds a third
-of all pages is spread like any other.
+class or id. Where a page marks none, structure only removes such parts, and long
+repeats decide about the rest: runs of ``depth`` tokens or more that enough different
+pages of the host share are boilerplate; the runs between them are kept, and so are
+blocks of fewer tokens. Enough is half of the host's unmarked pages, from
+``enough`` on a fifth of them but no fewer than ``enough``; and always ``min_pages``.
+What a few pages quote of each other stays. Repetition alone cannot serve for marked
+pages: their menus may occur once only.
+
+A suffix array of the host would give these runs as neighbours with a common prefix of
+``depth`` tokens. None is built, and nothing is sorted: hashes of the first ``depth``
+tokens of each suffix of a block are grouped instead. A token lies in a repeat of
+``depth`` tokens or more exactly if it lies in such a prefix that is shared as often, so
+both mark the same. Suffixes are dealt by host and hash, and counted before the
+shuffle, so a host that holds a third of all pages is spread like any other.
 
 Defined cases: null and empty html give empty text; markup that never closes
 reaches to the page's end; pages that repeat exactly count as one page for the
-suffix array and get a row each; null urls are a host of their own; an empty table
+repeats and get a row each; null urls are a host of their own; an empty table
 gives no rows; extra columns are not read.
 """
 
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import durable, map_arrow, small_side
 
 _TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?/][^>]*>?", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
@@ -178,7 +181,7 @@ def hash_of(word: str) -> int:
 
 
 def _suffixes(pages: DataFrame, depth: int) -> DataFrame:
-    """(key, content, host, prefix, block, place, size): the suffixes of unmarked blocks."""
+    """(key, content, host, prefix, block, place, size): the suffixes of unmarked blocks that have so many tokens; and a row without a prefix for each page with text."""
     names = ["key", "content", "host", "prefix", "block", "place", "size"]
 
     def task(batches):
@@ -187,11 +190,15 @@ def _suffixes(pages: DataFrame, depth: int) -> DataFrame:
             for key, host, html in zip(*(batch.column(c).to_pylist() for c in ("key", "host", "html")), strict=True):
                 plain = [text for zone, text in blocks(html or "") if zone == ""]
                 content = hash_of("\n".join(plain)) >> 1
+                if plain:
+                    for column, value in zip(out, (key, content, host, None, 0, 0, 0), strict=True):
+                        column.append(value)
                 for i, text in enumerate(plain):
                     words = text.split(" ")
-                    size = min(depth, len(words))
+                    if len(words) < depth:
+                        continue
                     for place, h in enumerate(prefixes(words, depth).view(np.int64).tolist()):
-                        for column, value in zip(out, (key, content, host, h, i, place, size), strict=True):
+                        for column, value in zip(out, (key, content, host, h, i, place, depth), strict=True):
                             column.append(value)
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
@@ -203,7 +210,7 @@ def _host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", depth: int = 8, min_pages: int = 3) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", depth: int = 12, min_pages: int = 3, enough: int = 10) -> DataFrame:
     """(id_col, url_col, text) for each page."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.coalesce(F.col(html_col).rlike(MARKED), F.lit(True)).alias("marked"))
 
@@ -224,7 +231,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     unmarked = rows.where("NOT marked").withColumns({"host": _host(F.col("url")), "key": F.xxhash64("id", "url", "html")})
     suffixes = _suffixes(unmarked, depth)
-    shared = suffixes.groupBy("host", "prefix").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= min_pages).select("host", "prefix")
+    counts = durable(suffixes.groupBy("host", "prefix").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= min_pages))
+    hosts = counts.where("prefix IS NULL").select("host", F.least(F.col("n") / 2, F.greatest(F.col("n") / 5, F.lit(enough))).alias("needed"))
+    shared = counts.where("prefix IS NOT NULL").join(small_side(hosts), "host").where("n >= needed").select("host", "prefix")
     covered = suffixes.join(shared, ["host", "prefix"], "left_semi").groupBy("key").agg(F.collect_set(F.struct("block", "place", "size")).alias("covered"))
     rest = map_arrow(unmarked.join(covered, "key", "left").select("id", "url", "html", "covered"), texts, schema)
     return marked.unionByName(rest).withColumnsRenamed({"id": id_col, "url": url_col})

@@ -72,3 +72,17 @@ def test_query(spark, same_as_sql):
     frame = queries.op5_extract(spark, SMALL)
     same_as_sql(frame, sql.OP5)
     assert np.all([r["n_chars"] == len(r["text"]) for r in frame.collect()])
+
+
+def test_what_few_pages_share_and_short_blocks_stay(spark):
+    boiler = "all rights reserved by the owners of this site and by those who write for it"
+    quote = "it is a truth that all who read this far will know by heart and can repeat"
+    pages = []
+    for i in range(40):
+        unique = " ".join(f"w{i}x{j}" for j in range(30))
+        said = f"{unique} {quote} {unique[::-1]}" if i < 4 else unique
+        pages.append((i, f"http://h.example/{i}", f"<p>Introduction</p><p>{said}</p><p>a short paragraph</p><p>{boiler}</p>", f"Introduction\n\n{said}\n\na short paragraph"))
+    # a part of the site with words of its own, on a quarter of the pages
+    pages = [(i, u, h + f"<p>part {boiler[::-1]}</p>" if i % 4 == 0 else h, t) for i, u, h, t in pages]
+    found = extract.extract(spark.createDataFrame([p[:3] for p in pages], ROW).repartition(3)).collect()
+    assert {r["page_id"]: r["text"] for r in found} == {i: t for i, _, _, t in pages}
