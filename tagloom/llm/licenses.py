@@ -4,7 +4,8 @@ Method: a text is lower-cased (A-Z), its copyright lines go, equivalent spelling
 become one, all punctuation and white space becomes single spaces; SHA-256 of the
 rest is looked up, by a hash join, among the digests of known licences that went
 the same way. Whole texts are joined to licence texts and notices; single lines
-are joined to notices, since a document often has its licence in a line.
+are joined to notices, since a document often has its licence in a line. Short texts
+are kept here as such, long ones as digests.
 
 Only DataFrame functions are used. The table of known licences is joined without a
 hint, so Spark broadcasts it only under its size threshold.
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable
+from .license_digests import DIGESTS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright[ \t]*(\(c\)|©|[0-9]|<|\[|\{)|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*"
@@ -59,6 +61,52 @@ NOTICES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
+_UNLICENSE = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_MORE = "For more information, please refer to <https://unlicense.org>"
+#: Further short texts: headings and endings that the texts above come with too.
+MORE_TEXTS = (
+    ("Unlicense", _UNLICENSE),
+    ("Unlicense", f"{_UNLICENSE}\n\n{_MORE}"),
+    ("Unlicense", f"{_UNLICENSE}\n\n{_MORE}/"),
+    ("ISC", f"ISC License\n\n{TEXTS[3][1]}"),
+    ("ISC", f"The ISC License\n\n{TEXTS[3][1]}"),
+    ("0BSD", f"BSD Zero Clause License\n\n{TEXTS[4][1]}"),
+    ("0BSD", f"Zero-Clause BSD\n\n{TEXTS[4][1]}"),
+    ("BSD-2-Clause", f"BSD 2-Clause License\n\n{_BSD}{_BSD_END}"),
+    ("BSD-3-Clause", f"BSD 3-Clause License\n\n{_BSD}{_BSD_NAMES}{_BSD_END}"),
+)
+#: What licences are called in notices, by SPDX name.
+NAMES = (
+    ("MIT", ("MIT License", "MIT")),
+    ("ISC", ("ISC License",)),
+    ("0BSD", ("Zero-Clause BSD License", "BSD Zero Clause License", "0BSD License")),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License")),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License")),
+    ("Apache-2.0", ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License")),
+    ("GPL-2.0", ("GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2", "GPLv2", "GPL v2")),
+    ("GPL-3.0", ("GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3", "GPLv3", "GPL v3")),
+    ("LGPL-2.1", ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "GNU LGPL v2.1", "LGPLv2.1", "LGPL v2.1")),
+    ("LGPL-3.0", ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "GNU LGPL v3", "LGPLv3", "LGPL v3")),
+    ("AGPL-3.0", ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "GNU AGPL v3", "AGPLv3", "AGPL v3")),
+    ("MPL-2.0", ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0")),
+    ("EPL-2.0", ("Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "Eclipse Public License v2.0", "EPL 2.0")),
+    ("Unlicense", ("Unlicense",)),
+    ("CC0-1.0", ("CC0 1.0", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal License")),
+    ("CC-BY-4.0", ("CC BY 4.0", "CC BY 4.0 License", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0 License")),
+    ("CC-BY-SA-4.0", ("CC BY-SA 4.0", "CC BY-SA 4.0 License", "Creative Commons Attribution-ShareAlike 4.0 International License")),
+    ("CC-BY-NC-4.0", ("CC BY-NC 4.0", "CC BY-NC 4.0 License", "Creative Commons Attribution-NonCommercial 4.0 International License")),
+    ("CC-BY-ND-4.0", ("CC BY-ND 4.0", "CC BY-ND 4.0 License", "Creative Commons Attribution-NoDerivatives 4.0 International License")),
+    ("CC-BY-NC-SA-4.0", ("CC BY-NC-SA 4.0", "CC BY-NC-SA 4.0 License", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License")),
+    ("CC-BY-NC-ND-4.0", ("CC BY-NC-ND 4.0", "CC BY-NC-ND 4.0 License", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License")),
+)
+_SUBJECTS = ("", "This work is ", "This software is ", "This project is ", "This program is ", "This file is ", "This code is ")
+_VERBS = ("Licensed under", "Released under", "Distributed under", "Made available under")
+MORE_NOTICES = (
+    *((name, f"SPDX-License-Identifier: {name}") for name, _ in NAMES),
+    *((name, f"SPDX-License-Identifier: {name}-only") for name, _ in NAMES if "GPL" in name),
+    *((name, f"{subject}{verb} {the}{called}") for name, calls in NAMES for called in calls for subject in _SUBJECTS for verb in _VERBS for the in ("", "the ", "a ", "the terms of the ")),
+)
+
 
 def _plain(text: Column) -> Column:
     """Lower-cased, without copyright lines, separators as spaces; line ends stay."""
@@ -94,6 +142,18 @@ def known(spark: SparkSession, texts=TEXTS + NOTICES) -> DataFrame:
     return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
 
+def known_digests(spark: SparkSession) -> DataFrame:
+    """(digest, license) of the long texts that are kept as digests only."""
+    return spark.createDataFrame(list(DIGESTS), "license string, hex string").select(F.unhex("hex").alias("digest"), "license")
+
+
+def catalogue(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """All known texts and notices, and the notices alone, for scan."""
+    notices = known(spark, NOTICES + MORE_NOTICES)
+    texts = known(spark, TEXTS + MORE_TEXTS).unionByName(known_digests(spark)).unionByName(notices)
+    return texts.groupBy("digest").agg(F.min("license").alias("license")), notices
+
+
 def scan(docs: DataFrame, texts: DataFrame, notices: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id_col, text_digest, license, notices): the licence that the whole text is, and the licences of its notice lines."""
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("th"), _plain(docs[text_col]).alias("plain"))

@@ -64,8 +64,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known, notices = licenses.known(spark), licenses.known(spark, licenses.NOTICES)
-    return licenses.scan(_table(spark, sf_dir, "documents"), known, notices)
+    return licenses.scan(_table(spark, sf_dir, "documents"), *licenses.catalogue(spark))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +46,32 @@ def test_query(spark, same_as_sql):
     frame = queries.op9_licenses(spark, SMALL)
     same_as_sql(frame, sql.OP9)
     assert frame.where("notices <> ''").count() > 0
+
+
+INSTALLED = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not INSTALLED.is_dir(), reason="no licence texts here")
+def test_published_texts_are_known(spark, tmp_path):
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    texts = [(INSTALLED / file).read_text() for file in names]
+    terms = "END OF TERMS AND CONDITIONS"
+    texts += [texts[0].partition(terms)[0] + terms, texts[2].replace("\n", "\n  ").upper(), texts[3] + " and more"]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r["license"] for r in queries.op9_licenses(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == [*names.values(), "Apache-2.0", "GPL-2.0", None]
+
+
+def test_notices_of_further_licences(spark, tmp_path):
+    lines = {
+        "This software is licensed under the BSD 3-Clause licence.": "BSD-3-Clause",
+        "Released under the ISC License": "ISC",
+        "Licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+        "# SPDX-License-Identifier: MPL-2.0": "MPL-2.0",
+        "This project is licensed under the terms of the MIT license.": "MIT",
+        "Licensed under the Creative Commons Attribution 4.0 International Licence": "CC-BY-4.0",
+        "Licensed under nothing": "",
+    }
+    documents(spark, [f"a\n{line}\nb" for line in lines]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_licenses(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r["notices"] for r in got] == list(lines.values()) and all(r["license"] is None for r in got)
