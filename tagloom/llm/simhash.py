@@ -191,9 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: (words of a shingle, salt of its hashes) of the views that give candidates: sets of shingles, without counts.
 VIEWS = ((1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (3, 1))
-#: Bottom-k size: similarity is exact up to so many shingles, and has a standard error of 0.0125 beyond.
-SKETCH = 1024
-#: Sketches of a group that one place takes; of a larger group, two blocks of so many.
+#: Shingle sets of a group that one place takes; of a larger group, two blocks of so many.
 BLOCK_BYTES = 16 << 20
 
 
@@ -215,19 +213,16 @@ def _views(text: bytes | None, views) -> tuple[bytes, list[int]]:
     return exact, [_bits(_mixed(hashes[size], salt)) for size, salt in views]
 
 
-def sketch(text: bytes | None, shingle: int) -> np.ndarray:
-    """The SKETCH smallest hashes of the set of shingles, ascending."""
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """The hashes of the set of shingles, ascending."""
     words = text.lower().split() if text else []
-    return np.unique(_hashes(set(shingles(words, shingle)), 0))[:SKETCH] if words else np.zeros(0, "<u8")
+    return np.unique(_hashes(set(shingles(words, shingle)), 0)) if words else np.zeros(0, "<u8")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of the sets that two sketches stand for."""
-    union = np.union1d(a, b)
-    if max(len(a), len(b)) == SKETCH:
-        union = union[:SKETCH]
-    both = np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)
-    return len(both) / len(union) if len(union) else 1.0
+    """Jaccard similarity of two sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 5, min_similarity: float = 0.8, views=VIEWS, block: int = 4096, members: int = 2000) -> DataFrame:
@@ -269,10 +264,10 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return linked.unionByName(roots).select(F.col("id").alias(id_col), F.col("root").alias("component_id"))
 
 
-def _similar_forest(sketches: list[np.ndarray], min_similarity: float) -> list[tuple[int, int]]:
-    """Edges that join all sketches that are similar enough; at most one less than sketches."""
-    lengths = np.array([len(s) for s in sketches])
-    left, stack, edges, indexed = np.arange(len(sketches)), [], [], None
+def _similar_forest(sets: list[np.ndarray], min_similarity: float) -> list[tuple[int, int]]:
+    """Edges that join all sets that are similar enough; at most one less than sets."""
+    lengths = np.array([len(s) for s in sets])
+    left, stack, edges, indexed = np.arange(len(sets)), [], [], None
     while stack or len(left):
         if not stack:
             stack, left = [int(left[0])], left[1:]
@@ -281,16 +276,14 @@ def _similar_forest(sketches: list[np.ndarray], min_similarity: float) -> list[t
             continue
         if indexed is None or 2 * len(left) < indexed:  # an index of the hashes of what is left, halved with it
             indexed = len(left)
-            hashes, owners = np.concatenate([sketches[j] for j in left]), np.repeat(left, lengths[left])
+            hashes, owners = np.concatenate([sets[j] for j in left]), np.repeat(left, lengths[left])
             order = np.argsort(hashes)
             hashes, owners = hashes[order], owners[order]
-        begin, end = np.searchsorted(hashes, sketches[i]), np.searchsorted(hashes, sketches[i], "right")
+        begin, end = np.searchsorted(hashes, sets[i]), np.searchsorted(hashes, sets[i], "right")
         sizes = end - begin
         places = np.arange(sizes.sum()) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
-        shared = np.bincount(owners[places], minlength=len(sketches))[left]
+        shared = np.bincount(owners[places], minlength=len(sets))[left]
         near = shared >= min_similarity * np.maximum(lengths[left] + lengths[i] - shared, 1) - 1e-6
-        for j in np.flatnonzero((shared > 0) & (np.maximum(lengths[left], lengths[i]) == SKETCH)).tolist():
-            near[j] = similarity(sketches[i], sketches[left[j]]) >= min_similarity
         found = left[near].tolist()
         left = left[~near]
         edges += [(i, j) for j in found]
@@ -301,40 +294,40 @@ def _similar_forest(sketches: list[np.ndarray], min_similarity: float) -> list[t
 def _verified(rows: DataFrame, groups: DataFrame, kind: str, shingle: int, min_similarity: float, members: int) -> DataFrame:
     """Edges (u, v) that join all pairs of a group (node, root) that are similar enough.
 
-    A group of more than ``members``, or of more than BLOCK_BYTES of sketches, is cut
+    A group of more than ``members``, or of more than BLOCK_BYTES of shingle sets, is cut
     into blocks, and each two blocks meet in a place of their own.
     """
-    def sketch_task(batches):
+    def set_task(batches):
         for batch in batches:
-            found = [sketch(t, shingle).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), pa.array(found, pa.binary())], ["id", "root", "sketch"])
+            found = [shingle_set(t, shingle).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), pa.array(found, pa.binary())], ["id", "root", "shingles"])
 
     def forest_task(batches):
-        key, ids, sketches, type_ = None, [], [], None
+        key, ids, sets, type_ = None, [], [], None
 
         def close():
-            edges = _similar_forest(sketches, min_similarity)
+            edges = _similar_forest(sets, min_similarity)
             return pa.RecordBatch.from_arrays([pa.array([ids[e[end]] for e in edges], type_) for end in (0, 1)], ["u", "v"])
 
         for batch in batches:
             type_ = batch.column("id").type
-            for root, p, q, own, found in zip(*(batch.column(c).to_pylist() for c in ("root", "p", "q", "id", "sketch")), strict=True):
+            for root, p, q, own, found in zip(*(batch.column(c).to_pylist() for c in ("root", "p", "q", "id", "shingles")), strict=True):
                 if (root, p, q) != key:
                     if len(ids) > 1:
                         yield close()
-                    key, ids, sketches = (root, p, q), [], []
+                    key, ids, sets = (root, p, q), [], []
                 ids.append(own)
-                sketches.append(np.frombuffer(found, "<u8"))
+                sets.append(np.frombuffer(found, "<u8"))
         if len(ids) > 1:
             yield close()
 
     whole = groups.select(F.col("node").alias("id"), "root").unionByName(groups.select(F.col("root").alias("id"), "root").distinct())
-    sketches = durable(map_arrow(rows.join(small_side(durable(whole)), "id"), sketch_task, f"id {kind}, root {kind}, sketch binary"))
-    needed = F.greatest(F.ceil(F.count(F.lit(1)) / members), F.ceil(F.sum(F.length("sketch")) / BLOCK_BYTES)).cast("int")
-    large = sketches.groupBy("root").agg(needed.alias("blocks")).where("blocks > 1")
-    dealt = sketches.join(small_side(durable(large)), "root", "left").withColumn("own", F.expr("CAST(pmod(xxhash64(id), blocks) AS INT)"))
+    sets = durable(map_arrow(rows.join(small_side(durable(whole)), "id"), set_task, f"id {kind}, root {kind}, shingles binary"))
+    needed = F.greatest(F.ceil(F.count(F.lit(1)) / members), F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES)).cast("int")
+    large = sets.groupBy("root").agg(needed.alias("blocks")).where("blocks > 1")
+    dealt = sets.join(small_side(durable(large)), "root", "left").withColumn("own", F.expr("CAST(pmod(xxhash64(id), blocks) AS INT)"))
     others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))
     dealt = dealt.withColumn("own", F.coalesce("own", F.lit(0))).withColumn("other", F.explode(others))
-    dealt = dealt.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "sketch")
+    dealt = dealt.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "shingles")
     dealt = dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "id")
     return map_arrow(dealt, forest_task, f"u {kind}, v {kind}")
