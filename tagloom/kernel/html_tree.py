@@ -1,8 +1,8 @@
 """HTML tree construction: the insertion modes of the standard over a stack of nodes.
 
 A mode is a method that handles one token and returns True if the token has to be
-processed again, since the mode has changed. All walks are loops, so deep input is
-no problem.
+processed again, since the mode has changed. All walks are loops, and searches of the
+stack go through its index, so deep input takes no more than wide input.
 """
 
 from __future__ import annotations
@@ -16,12 +16,15 @@ from .names import (
     LIST_SCOPE, MATHML_ATTRIBUTES, MAY_STAY_OPEN, QUIRKS_PREFIXES, QUIRKS_PUBLIC, QUIRKS_SYSTEM, SCOPE, SPECIAL, SVG_ATTRIBUTES, SVG_TAGS, TABLE_SCOPE,
 )
 from .tokens import Attribute, Characters, Comment, Doctype, Eof, Error, Null, Tag
+from .stack import ITEM_BOUND, MODAL, OpenElements
 from .tree import Document, Node
 
 _RUNS = re.compile(r"[\t\n\f\r ]+|[^\t\n\f\r ]+")
 _CHARSET = re.compile(r"charset[\t\n\f\r ]*=[\t\n\f\r ]*(?:\"([^\"]*)\"|'([^']*)'|([^\"'\t\n\f\r ;][^\t\n\f\r ;]*))", re.IGNORECASE | re.ASCII)
 MARKER = None
 TABLE_PARTS = frozenset("table tbody tfoot thead tr".split())
+TABLE_PARENTS = TABLE_PARTS | {"template"}
+INTEGRATION = INTEGRATION_MATHML | INTEGRATION_SVG
 HEAD_VOID = frozenset("base basefont bgsound link meta".split())
 
 
@@ -63,8 +66,11 @@ class TreeBuilder:
         self.tokenizer: lex.Tokenizer | None = None
         self.mode = self.original = self.initial
         self.template_modes: list = []
-        self.stack: list[Node] = []
-        self.formatting: list[tuple[Node, Tag] | None] = []
+        self.stack = OpenElements()
+        self.formatting: list[tuple[Node, Tag, tuple] | None] = []  # with a key that equal entries of a segment share
+        self.alike: dict[tuple, list[Node]] = {}
+        self.segments = [0]  # a number for what lies between two markers
+        self.n_segments = 0
         self.head: Node | None = None
         self.form: Node | None = None
         self.context: Node | None = None
@@ -167,12 +173,8 @@ class TreeBuilder:
             self.pop()
 
     def in_scope(self, *names: str, scope=SCOPE) -> bool:
-        for node in reversed(self.stack):
-            if node.html(*names):
-                return True
-            if (node.ns, node.name) in scope:
-                return False
-        return False
+        place = self.stack.last(*names)
+        return place >= 0 and place >= self.stack.last_of(scope)
 
     def implied_ends(self, names=IMPLIED_END, but: str | None = None) -> None:
         while self.stack and self.current.ns == HTML and self.current.name in names and self.current.name != but:
@@ -190,10 +192,10 @@ class TreeBuilder:
             self.close("p", but="p")
 
     def is_open(self, node: Node) -> bool:
-        return any(n is node for n in reversed(self.stack))
+        return node.at >= 0
 
     def has_template(self) -> bool:
-        return any(n.html("template") for n in self.stack)
+        return self.stack.last("template") >= 0
 
     # insertion --------------------------------------------------------------------
 
@@ -201,17 +203,15 @@ class TreeBuilder:
         """Where to insert: a parent, and the child to go before (None: at the end)."""
         target = target or self.current
         if self.fostering and target.ns == HTML and target.name in TABLE_PARTS:
-            for i in range(len(self.stack) - 1, -1, -1):
-                node = self.stack[i]
-                if node.html("template"):
-                    return node.content, None
-                if node.html("table"):
-                    if node.parent is not None:
-                        return node.parent, node
-                    target = self.stack[i - 1]
-                    break
-            else:
+            template, table = self.stack.last("template"), self.stack.last("table")
+            if template > table:
+                return self.stack[template].content, None
+            if table < 0:
                 target = self.stack[0]
+            elif self.stack[table].parent is not None:
+                return self.stack[table].parent, self.stack[table]
+            else:
+                target = self.stack[table - 1]
         return (target.content if target.content is not None else target), None
 
     def put(self, node: Node, target: Node | None = None) -> None:
@@ -275,32 +275,50 @@ class TreeBuilder:
 
     # active formatting elements ------------------------------------------------------
 
+    def push_marker(self) -> None:
+        self.formatting.append(MARKER)
+        self.n_segments += 1
+        self.segments.append(self.n_segments)
+
     def push_formatting(self, node: Node, tag: Tag) -> None:
-        same, first = 0, None
-        for i in range(len(self.formatting) - 1, -1, -1):
-            entry = self.formatting[i]
-            if entry is MARKER:
-                break
-            if entry[1].name == tag.name and sorted(entry[1].attrs) == sorted(tag.attrs):
-                same, first = same + 1, i
-        if same >= 3:
-            del self.formatting[first]
-        self.formatting.append((node, tag))
+        key = (self.segments[-1], tag.name, frozenset(tag.attrs))
+        same = self.alike.setdefault(key, [])
+        if len(same) >= 3:
+            self._forget(min(map(self._formatted, same)))
+        self.formatting.append((node, tag, key))
+        same.append(node)
+
+    def _forget(self, at: int) -> None:
+        node, _, key = self.formatting.pop(at)
+        self.alike[key].remove(node)
+
+    def _renew(self, at: int, node: Node) -> None:
+        """Another element takes the place of an entry."""
+        old, tag, key = self.formatting[at]
+        self.formatting[at] = (node, tag, key)
+        same = self.alike[key]
+        same[same.index(old)] = node
 
     def reconstruct(self) -> None:
         i = len(self.formatting)
         while i and self.formatting[i - 1] is not MARKER and not self.is_open(self.formatting[i - 1][0]):
             i -= 1
         for j in range(i, len(self.formatting)):
-            tag = self.formatting[j][1]
-            self.formatting[j] = (self.insert(tag), tag)
+            self._renew(j, self.insert(self.formatting[j][1]))
 
     def clear_formatting(self) -> None:
-        while self.formatting and self.formatting.pop() is not MARKER:
-            pass
+        while self.formatting:
+            entry = self.formatting.pop()
+            if entry is MARKER:
+                self.segments.pop()
+                break
+            self.alike.pop(entry[2], None)
 
     def _formatted(self, node: Node) -> int | None:
-        return next((i for i, e in enumerate(self.formatting) if e is not MARKER and e[0] is node), None)
+        for i in range(len(self.formatting) - 1, -1, -1):
+            if self.formatting[i] is not MARKER and self.formatting[i][0] is node:
+                return i
+        return None
 
     def formatting_named(self, name: str) -> Node | None:
         for entry in reversed(self.formatting):
@@ -324,19 +342,19 @@ class TreeBuilder:
             at = self._formatted(element)
             if not self.is_open(element):
                 self.error("formatting element not open")
-                del self.formatting[at]
+                self._forget(at)
                 return
             if not self.in_scope_node(element):
                 self.error("formatting element not in scope")
                 return
             if element is not self.current:
                 self.error("formatting element not current")
-            depth = self.stack.index(element)
-            block_at = next((i for i in range(depth + 1, len(self.stack)) if (self.stack[i].ns, self.stack[i].name) in SPECIAL), None)
+            depth = element.at
+            block_at = self.stack.first_after(SPECIAL, depth)
             if block_at is None:
                 while self.pop() is not element:
                     pass
-                del self.formatting[at]
+                self._forget(at)
                 return
             block, ancestor = self.stack[block_at], self.stack[depth - 1]
             bookmark, last, i, inner = at, block, block_at, 0
@@ -347,7 +365,7 @@ class TreeBuilder:
                     break
                 listed = self._formatted(node)
                 if inner > 3 and listed is not None:
-                    del self.formatting[listed]
+                    self._forget(listed)
                     bookmark -= listed < bookmark
                     listed = None
                 if listed is None:
@@ -355,7 +373,7 @@ class TreeBuilder:
                     continue
                 own = self.formatting[listed][1]
                 copy = self.create(own)
-                self.formatting[listed] = (copy, own)
+                self._renew(listed, copy)
                 self.stack[i] = copy
                 if last is block:
                     bookmark = listed + 1
@@ -364,36 +382,30 @@ class TreeBuilder:
             self.doc.detach(last)
             self.put(last, ancestor)
             at = self._formatted(element)
-            own = self.formatting[at][1]
+            own, key = self.formatting[at][1:]
             copy = self.create(own)
             self.doc.move_children(block, copy)
             self.doc.append(block, copy)
-            self.formatting.insert(bookmark, (copy, own))
-            del self.formatting[self._formatted(element)]
+            self._forget(at)
+            self.formatting.insert(bookmark - (at < bookmark), (copy, own, key))
+            self.alike[key].append(copy)
             self.stack.remove(element)
-            self.stack.insert(self.stack.index(block) + 1, copy)
+            self.stack.insert(block.at + 1, copy)
 
     def in_scope_node(self, wanted: Node) -> bool:
-        for node in reversed(self.stack):
-            if node is wanted:
-                return True
-            if (node.ns, node.name) in SCOPE:
-                return False
-        return False
+        return wanted.at >= 0 and wanted.at >= self.stack.last_of(SCOPE)
 
     def other_end(self, tag: Tag) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            node = self.stack[i]
-            if node.html(tag.name):
-                self.implied_ends(but=tag.name)
-                if node is not self.current:
-                    self.error(f"open elements at the end of {tag.name}")
-                while self.stack and self.pop() is not node:
-                    pass
-                return
-            if (node.ns, node.name) in SPECIAL:
-                self.error(f"unexpected end tag {tag.name}")
-                return
+        place = self.stack.last(tag.name)
+        if place >= 0 and place >= self.stack.last_of(SPECIAL):
+            node = self.stack[place]
+            self.implied_ends(but=tag.name)
+            if node is not self.current:
+                self.error(f"open elements at the end of {tag.name}")
+            while self.stack and self.pop() is not node:
+                pass
+        elif self.stack.last_of(SPECIAL) >= 0:
+            self.error(f"unexpected end tag {tag.name}")
 
     # modes: before the body -------------------------------------------------------------
 
@@ -490,7 +502,7 @@ class TreeBuilder:
                 self.original, self.mode = self.mode, self.text
                 return False
             if name == "template":
-                self.formatting.append(MARKER)
+                self.push_marker()
                 self.frameset_ok = False
                 self.insert(t)
                 self.mode = self.in_template
@@ -621,8 +633,8 @@ class TreeBuilder:
                 self.error("a inside of a")
                 self.adopt(Tag("end", "a"))
                 if (at := self._formatted(old)) is not None:
-                    del self.formatting[at]
-                if old in self.stack:
+                    self._forget(at)
+                if old.at >= 0:
                     self.stack.remove(old)
             self.reconstruct()
             self.push_formatting(self.insert(t), t)
@@ -737,7 +749,7 @@ class TreeBuilder:
         elif name in ("applet", "marquee", "object"):
             self.reconstruct()
             self.insert(t)
-            self.formatting.append(MARKER)
+            self.push_marker()
             self.frameset_ok = False
         elif name in ("rb", "rtc", "rp", "rt"):
             if self.in_scope("ruby"):
@@ -761,7 +773,7 @@ class TreeBuilder:
             self.unexpected(t)
             if len(self.stack) > 1 and self.stack[1].html("body") and self.frameset_ok:
                 self.doc.detach(self.stack[1])
-                del self.stack[1:]
+                self.stack.cut(1)
                 self.insert(t)
                 self.mode = self.in_frameset
         elif name == "image":
@@ -778,12 +790,10 @@ class TreeBuilder:
         """li, dd and dt end an open one of their kind."""
         self.frameset_ok = False
         ends = ("li",) if t.name == "li" else ("dd", "dt")
-        for node in reversed(self.stack):
-            if node.html(*ends):
-                self.close(node.name, but=node.name)
-                break
-            if (node.ns, node.name) in SPECIAL and not node.html("address", "div", "p"):
-                break
+        place = self.stack.last(*ends)
+        if place >= 0 and place >= self.stack.last_of(ITEM_BOUND):
+            name = self.stack[place].name
+            self.close(name, but=name)
         self.close_p()
         self.insert(t)
 
@@ -873,7 +883,7 @@ class TreeBuilder:
 
     def in_table(self, t) -> bool:
         kind = type(t)
-        if kind in (Characters, Null) and self.current.ns == HTML and self.current.name in TABLE_PARTS | {"template"}:
+        if kind in (Characters, Null) and self.current.ns == HTML and self.current.name in TABLE_PARENTS:
             self.pending = []
             self.original = self.mode
             return self.to(self.in_table_text)
@@ -883,7 +893,7 @@ class TreeBuilder:
             name = t.name
             if name == "caption":
                 self.pop_to_context("table")
-                self.formatting.append(MARKER)
+                self.push_marker()
                 self.insert(t)
                 self.mode = self.in_caption
                 return False
@@ -1043,7 +1053,7 @@ class TreeBuilder:
                 self.pop_to_context("tr")
                 self.insert(t)
                 self.mode = self.in_cell
-                self.formatting.append(MARKER)
+                self.push_marker()
                 return False
             ends_row = start and t.name in ("caption", "col", "colgroup", "tbody", "tfoot", "thead", "tr") or not start and t.name in ("tr", "table", "tbody", "tfoot", "thead")
             if ends_row:
@@ -1212,37 +1222,32 @@ class TreeBuilder:
 
     def reset_mode(self) -> None:
         """The mode that the open elements ask for."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            last = i == 0
-            node = self.context if last and self.context is not None else self.stack[i]
-            name = node.name if node.ns == HTML else None
-            if name in ("td", "th") and not last:
-                self.mode = self.in_cell
-            elif name == "tr":
-                self.mode = self.in_row
-            elif name in ("tbody", "thead", "tfoot"):
-                self.mode = self.in_table_body
-            elif name == "caption":
-                self.mode = self.in_caption
-            elif name == "colgroup":
-                self.mode = self.in_column_group
-            elif name == "table":
-                self.mode = self.in_table
-            elif name == "template":
-                self.mode = self.template_modes[-1]
-            elif name == "head" and not last:
-                self.mode = self.in_head
-            elif name == "body":
-                self.mode = self.in_body
-            elif name == "frameset":
-                self.mode = self.in_frameset
-            elif name == "html":
-                self.mode = self.before_head if self.head is None else self.after_head
-            elif last:
-                self.mode = self.in_body
-            else:
-                continue
-            return
+        i = max(self.stack.last_of(MODAL), 0)
+        last = i == 0
+        node = self.context if last and self.context is not None else self.stack[i]
+        name = node.name if node.ns == HTML else None
+        if name in ("td", "th") and not last:
+            self.mode = self.in_cell
+        elif name == "tr":
+            self.mode = self.in_row
+        elif name in ("tbody", "thead", "tfoot"):
+            self.mode = self.in_table_body
+        elif name == "caption":
+            self.mode = self.in_caption
+        elif name == "colgroup":
+            self.mode = self.in_column_group
+        elif name == "table":
+            self.mode = self.in_table
+        elif name == "template":
+            self.mode = self.template_modes[-1]
+        elif name == "head" and not last:
+            self.mode = self.in_head
+        elif name == "frameset":
+            self.mode = self.in_frameset
+        elif name == "html":
+            self.mode = self.before_head if self.head is None else self.after_head
+        else:
+            self.mode = self.in_body
 
     # foreign content -----------------------------------------------------------------------------
 
@@ -1278,24 +1283,24 @@ class TreeBuilder:
         return False
 
     def _leave_foreign(self, t: Tag) -> bool:
-        while not (self.current.ns == HTML or (self.current.ns, self.current.name) in INTEGRATION_MATHML | INTEGRATION_SVG or self.current.mathml_ip):
+        while not (self.current.ns == HTML or (self.current.ns, self.current.name) in INTEGRATION or self.current.mathml_ip):
             self.pop()
         return self.mode(t)
 
     def _end_foreign(self, t: Tag) -> None:
         if ascii_lower(self.current.name) != t.name:
             self.error("end tag does not match in foreign content")
-        for i in range(len(self.stack) - 1, 0, -1):
-            node = self.stack[i]
-            if i < len(self.stack) - 1 and node.ns == HTML:
-                again = True
-                while again:
-                    again = self.mode(t)
-                return
-            if ascii_lower(node.name) == t.name:
-                while self.pop() is not node:
-                    pass
-                return
+        if len(self.stack) < 2:
+            return
+        place, below = self.stack.last_foreign(t.name), self.current.html_below
+        if place > max(below, 0):
+            node = self.stack[place]
+            while self.pop() is not node:
+                pass
+        elif below > 0:
+            again = True
+            while again:
+                again = self.mode(t)
 
 
 def parse_document(text: str, scripting: bool = True, iframe_srcdoc: bool = False, drop_doctype: bool = False, log: bool = False, exact_errors: bool = False, discard_bom: bool = True) -> Document:

@@ -11,7 +11,7 @@ from .tokens import Attribute
 class Node:
     """kind: document, doctype, element, text, comment or instruction; data: text, or an instruction's content."""
 
-    __slots__ = ("kind", "name", "ns", "prefix", "attrs", "data", "public_id", "system_id", "parent", "children", "content", "line", "had_duplicates", "mathml_ip", "form", "number")
+    __slots__ = ("kind", "name", "ns", "prefix", "attrs", "data", "public_id", "system_id", "parent", "children", "content", "line", "had_duplicates", "mathml_ip", "form", "number", "at", "html_below")
 
     def __init__(self, kind: str, name: str | None = None, ns: str = "", attrs=(), data: str | None = None):
         self.kind, self.name, self.ns, self.data = kind, name, ns, data
@@ -19,7 +19,7 @@ class Node:
         self.attrs: list[Attribute] = list(attrs)
         self.children: list[Node] = []
         self.had_duplicates = self.mathml_ip = False
-        self.number = -1
+        self.number = self.at = self.html_below = -1  # at, html_below: places among the open elements
 
     def get(self, local: str) -> str | None:
         return next((a.value for a in self.attrs if a.local == local and not a.ns), None)
@@ -28,6 +28,14 @@ class Node:
         return self.ns == HTML and self.name in names
 
 
+def _place(children: list[Node], node: Node) -> int:
+    """Searched from the end, where most edits are."""
+    at = len(children) - 1
+    while children[at] is not node:
+        at -= 1
+    return at
+
+
 class Document:
     """Edits of a tree; with ``log`` each edit is kept as (op, target, other, name, text)."""
 
@@ -99,13 +107,13 @@ class Document:
         self.detach(child)
         siblings = sibling.parent.children
         child.parent = sibling.parent
-        siblings.insert(siblings.index(sibling), child)
+        siblings.insert(_place(siblings, sibling), child)
         self.note("append_before_sibling", sibling, child)
 
     def insert_text_before(self, sibling: Node, text: str) -> None:
         self.note("append_before_sibling", sibling, text=text)
         siblings = sibling.parent.children
-        at = siblings.index(sibling)
+        at = _place(siblings, sibling)
         if at and siblings[at - 1].kind == "text":
             siblings[at - 1].data += text
         else:
@@ -115,7 +123,7 @@ class Document:
 
     def detach(self, node: Node) -> None:
         if node.parent is not None:
-            node.parent.children.remove(node)
+            del node.parent.children[_place(node.parent.children, node)]
             self.note("remove_from_parent", node)
             node.parent = None
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,6 +61,18 @@ def test_templates_have_contents_of_their_own():
     assert "<p>a<template>b</template></p>" in serialize_html(doc.root, templates=True)
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["<div>" * 60_000, "".join(f"<font color={i}>" for i in range(60_000)), "<span>" * 60_000 + "</b>" * 60_000, "<div>" * 60_000 + "<li></li>" * 20_000, "<blockquote>" * 30_000 + "</p>" * 30_000, "<svg>" * 30_000 + "</g>" * 30_000, "<table>" + "x<tr>" * 20_000, "<div>" * 30_000 + "<table></table>" * 20_000],
+    ids=["blocks", "fonts", "stray ends", "items", "paragraphs", "foreign", "foster", "modes"],
+)
+def test_deep_input_takes_no_more_than_wide_input(text):
+    began = time.process_time()
+    doc = parse_document(text)
+    assert time.process_time() - began < 12  # a walk of the stack for each tag would take minutes
+    assert len(rows.node_rows(doc)) >= 20_000
+
+
 def test_deep_input():
     assert serialize_html(parse_document("<div>" + "<b>" * 60_000).root).count("</b>") == 60_000
     assert sum(r["kind"] == "document" for r in rows.node_rows(parse_document("<template>" * 9_999))) == 10_000
