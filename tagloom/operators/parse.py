@@ -8,7 +8,7 @@ of work. Null markup is an empty document.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,45 +41,57 @@ def _map(df: DataFrame, id_col: str, text_col: str, make: Callable[[str], object
     return read.mapInArrow(task, schema).withColumnRenamed("id", id_col)
 
 
-def _document(doc: Document) -> dict:
-    nodes = rows.node_rows(doc)
+#: What a parse can hand over: a page's nodes and its log are far larger than its errors.
+PARTS = ("nodes", "errors", "actions")
+
+
+def _document(doc: Document, parts: Collection[str]) -> dict:
+    nodes = rows.node_rows(doc) if "nodes" in parts else None
     return {
         "quirks_mode": doc.quirks_mode,
-        "n_nodes": len(nodes),
+        "n_nodes": None if nodes is None else len(nodes),
         "n_errors": len(doc.errors),
         "encodings": doc.encodings,
-        "scripts": rows.script_ids(doc, nodes),
+        "scripts": None if nodes is None else rows.script_ids(doc, nodes),
         "nodes": nodes,
-        "errors": [{"seq": i, "line": line, "stage": stage, "message": message} for i, (line, stage, message) in enumerate(doc.errors)],
-        "actions": [{"seq": i, "op": op, "target": target, "other": other, "name": name, "text": text} for i, (op, target, other, name, text) in enumerate(doc.actions or ())],
+        "errors": [{"seq": i, "line": line, "stage": stage, "message": message} for i, (line, stage, message) in enumerate(doc.errors)] if "errors" in parts else None,
+        "actions": [{"seq": i, "op": op, "target": target, "other": other, "name": name, "text": text} for i, (op, target, other, name, text) in enumerate(doc.actions or ())] if "actions" in parts else None,
     }
 
 
-def parse_html(df: DataFrame, id_col: str, html_col: str, **options) -> DataFrame:
-    """(id_col, doc): documents; options: scripting, iframe_srcdoc, drop_doctype, log, exact_errors, discard_bom."""
-    return _map(df, id_col, html_col, lambda text: _document(html_tree.parse_document(text, **options)), DOCUMENT, "doc")
+def parse_html(df: DataFrame, id_col: str, html_col: str, parts: Collection[str] = PARTS, **options) -> DataFrame:
+    """(id_col, doc): documents; only the named parts are handed over, the others are null (with the nodes go their number and the scripts).
+
+    Options: scripting, iframe_srcdoc, drop_doctype, log, exact_errors, discard_bom.
+    """
+    return _map(df, id_col, html_col, lambda text: _document(html_tree.parse_document(text, **options), parts), DOCUMENT, "doc")
 
 
-def parse_html_fragment(df: DataFrame, id_col: str, html_col: str, context: str = "body", context_ns: str = HTML, **options) -> DataFrame:
+def parse_html_fragment(df: DataFrame, id_col: str, html_col: str, context: str = "body", context_ns: str = HTML, parts: Collection[str] = PARTS, **options) -> DataFrame:
     """(id_col, doc): fragments within a context element; options: context_attrs, form, scripting, quirks_mode, log."""
-    return _map(df, id_col, html_col, lambda text: _document(html_tree.parse_fragment(text, context, context_ns, **options)), DOCUMENT, "doc")
+    return _map(df, id_col, html_col, lambda text: _document(html_tree.parse_fragment(text, context, context_ns, **options), parts), DOCUMENT, "doc")
+
+
+def parse_xml(df: DataFrame, id_col: str, xml_col: str, parts: Collection[str] = PARTS, log: bool = False) -> DataFrame:
+    return _map(df, id_col, xml_col, lambda text: _document(xml.parse_xml(text, log), parts), DOCUMENT, "doc")
 
 
-def parse_xml(df: DataFrame, id_col: str, xml_col: str, log: bool = False) -> DataFrame:
-    return _map(df, id_col, xml_col, lambda text: _document(xml.parse_xml(text, log)), DOCUMENT, "doc")
+def html_token_arrays(df: DataFrame, id_col: str, html_col: str, with_tree: bool = False, **options) -> DataFrame:
+    """(id_col, tokens): the tokens of each document in one array."""
+    return _map(df, id_col, html_col, lambda text: rows.html_tokens(text, with_tree, **options), T.ArrayType(TOKEN), "tokens")
+
+
+def xml_token_arrays(df: DataFrame, id_col: str, xml_col: str, **options) -> DataFrame:
+    return _map(df, id_col, xml_col, lambda text: rows.xml_tokens(text, **options), T.ArrayType(TOKEN), "tokens")
 
 
 def tokenize_html(df: DataFrame, id_col: str, html_col: str, with_tree: bool = False, **options) -> DataFrame:
     """A row for each token; with_tree: as a tree builder sees them (raw text in script, style and the like)."""
-    return _tokens(_map(df, id_col, html_col, lambda text: rows.html_tokens(text, with_tree, **options), T.ArrayType(TOKEN), "tokens"), id_col)
+    return html_token_arrays(df, id_col, html_col, with_tree, **options).select(id_col, F.inline("tokens"))
 
 
 def tokenize_xml(df: DataFrame, id_col: str, xml_col: str, **options) -> DataFrame:
-    return _tokens(_map(df, id_col, xml_col, lambda text: rows.xml_tokens(text, **options), T.ArrayType(TOKEN), "tokens"), id_col)
-
-
-def _tokens(df: DataFrame, id_col: str) -> DataFrame:
-    return df.select(id_col, F.inline("tokens"))
+    return xml_token_arrays(df, id_col, xml_col, **options).select(id_col, F.inline("tokens"))
 
 
 def nodes(parsed: DataFrame, id_col: str) -> DataFrame:

@@ -71,6 +71,42 @@ def _attribute_text(a: Column) -> Column:
     return F.concat(F.lit(" "), name.otherwise(F.concat(F.lit("unknown_namespace:"), a["local"])), F.lit('="'), escape_attribute(a["value"]), F.lit('"'))
 
 
+def text_within(nodes: Column, outer: Column) -> Column:
+    """The text below a node of a node array, in document order."""
+    texts = F.filter(nodes, lambda n: (n["kind"] == "text") & (n["pre"] > outer["pre"]) & (n["pre"] <= outer["post"]))
+    return F.array_join(F.transform(texts, lambda n: n["text"]), "")
+
+
+def _opened(n: Column, over: Column, scripting: bool) -> Column:
+    """What a node writes where it begins."""
+    raw = (over["ns"] == HTML) & over["local"].isin(*sorted(RAW_TEXT), *(["noscript"] if scripting else []))
+    return (
+        F.when(n["kind"] == "element", F.concat(F.lit("<"), n["local"], F.array_join(F.transform(n["attrs"], _attribute_text), ""), F.lit(">")))
+        .when(n["kind"] == "text", F.when(raw, n["text"]).otherwise(escape_text(n["text"])))
+        .when(n["kind"] == "comment", F.concat(F.lit("<!--"), n["text"], F.lit("-->")))
+        .when(n["kind"] == "doctype", F.concat(F.lit("<!DOCTYPE "), n["local"], F.lit(">")))
+        .otherwise(F.concat(F.lit("<?"), n["target"], F.lit(" "), n["text"], F.lit(">")))
+    )
+
+
+def _closed(n: Column) -> Column:
+    """What a node writes where it ends."""
+    void = (n["ns"] == HTML) & n["local"].isin(*sorted(VOID))
+    return F.when((n["kind"] == "element") & ~void, F.concat(F.lit("</"), n["local"], F.lit(">"))).otherwise(F.lit(""))
+
+
+def serialize_array(nodes: Column, scripting: bool = True) -> Column:
+    """The serialization of a document from its node array, without a shuffle; template contents are left out."""
+    contents = F.filter(nodes, lambda n: n["content_of"].isNotNull())
+    shown = F.filter(nodes, lambda n: (n["kind"] != "document") & ~F.exists(contents, lambda c: n["pre"].between(c["pre"], c["post"])))
+
+    def events(n):  # a node's id is its place in the array
+        opened = _opened(n, F.get(nodes, n["parent_id"]), scripting)
+        return F.array(F.struct(n["pre"].alias("at"), F.lit(0).alias("step"), F.lit(0).alias("order"), opened.alias("text")), F.struct(n["post"].alias("at"), F.lit(1).alias("step"), (-n["depth"]).alias("order"), _closed(n).alias("text")))
+
+    return F.array_join(F.transform(F.array_sort(F.flatten(F.transform(shown, events))), lambda e: e["text"]), "")
+
+
 def serialize(nodes: DataFrame, id_col: str, scripting: bool = True) -> DataFrame:
     """(id_col, html) of whole documents, by built-in functions alone; template contents are left out.
 
@@ -81,18 +117,9 @@ def serialize(nodes: DataFrame, id_col: str, scripting: bool = True) -> DataFram
     shown = nodes.join(templates, inside, "left_anti").where("kind <> 'document'")
     over = nodes.select(id_col, F.col("node_id").alias("parent_id"), F.col("local").alias("over"), F.col("ns").alias("over_ns"))
     shown = shown.join(over, [id_col, "parent_id"], "left")
-    raw_names = [*sorted(RAW_TEXT), *(["noscript"] if scripting else [])]
-    raw = (F.col("over_ns") == HTML) & F.col("over").isin(*raw_names)
-    void = (F.col("ns") == HTML) & F.col("local").isin(*sorted(VOID))
-    element = F.col("kind") == "element"
-    opened = (
-        F.when(element, F.concat(F.lit("<"), F.col("local"), F.array_join(F.transform("attrs", _attribute_text), ""), F.lit(">")))
-        .when(F.col("kind") == "text", F.when(raw, F.col("text")).otherwise(escape_text(F.col("text"))))
-        .when(F.col("kind") == "comment", F.concat(F.lit("<!--"), F.col("text"), F.lit("-->")))
-        .when(F.col("kind") == "doctype", F.concat(F.lit("<!DOCTYPE "), F.col("local"), F.lit(">")))
-        .otherwise(F.concat(F.lit("<?"), F.col("target"), F.lit(" "), F.col("text"), F.lit(">")))
-    )
-    closed = F.when(element & ~void, F.concat(F.lit("</"), F.col("local"), F.lit(">"))).otherwise(F.lit(""))
+    node = {c: F.col(c) for c in ("kind", "ns", "local", "text", "target", "attrs")}
+    opened = _opened(node, {"ns": F.col("over_ns"), "local": F.col("over")}, scripting)
+    closed = _closed(node)
     events = F.array(F.struct(F.col("pre").alias("at"), F.lit(0).alias("step"), F.lit(0).alias("order"), opened.alias("text")), F.struct(F.col("post").alias("at"), F.lit(1).alias("step"), (-F.col("depth")).alias("order"), closed.alias("text")))
     events = shown.select(id_col, F.inline(events)).where("text <> ''")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "step", "order", "text"))), lambda e: e["text"]), "")
@@ -118,6 +145,24 @@ def serialize_tokens(tokens: DataFrame, id_col: str) -> DataFrame:
     return written.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda t: t["text"]), "").alias("html"))
 
 
+def short_tokens(tokens: Column) -> Column:
+    """A token array in one line, errors and the end left out: 'text' <name key=value> </name> !comment D(name,public,system,forced)."""
+    def one(t):
+        attrs = F.array_join(F.transform(t["attrs"], lambda a: F.concat(F.lit(" "), a["local"], F.lit("="), a["value"])), "")
+        ids = F.concat_ws(",", *[F.coalesce(t[c], F.lit("-")) for c in ("name", "public_id", "system_id")], F.coalesce(t["force_quirks"], F.lit(False)).cast("string"))
+        return (
+            F.when(t["kind"].isin("start_tag", "empty_tag"), F.concat(F.lit("<"), t["name"], attrs, F.when(t["self_closing"], "/").otherwise(""), F.lit(">")))
+            .when(t["kind"] == "end_tag", F.concat(F.lit("</"), t["name"], F.lit(">")))
+            .when(t["kind"] == "characters", F.concat(F.lit("'"), t["data"], F.lit("'")))
+            .when(t["kind"] == "comment", F.concat(F.lit("!"), t["data"]))
+            .when(t["kind"] == "doctype", F.concat(F.lit("D("), ids, F.lit(")")))
+            .when(t["kind"] == "instruction", F.concat(F.lit("instruction:"), t["name"], F.lit(":"), t["data"]))
+            .otherwise(t["kind"])
+        )
+
+    return F.array_join(F.transform(F.filter(tokens, lambda t: ~t["kind"].isin("error", "eof")), one), " ")
+
+
 def indented(nodes: DataFrame, id_col: str) -> DataFrame:
     """(id_col, tree): element names and text, four spaces for each level, in document order."""
     line = F.when(F.col("kind") == "element", F.concat(F.lit("<"), F.col("local"), F.lit(">"))).when(F.col("kind") == "text", F.concat(F.lit("#text: "), F.col("text"))).when(F.col("kind") == "document", F.lit("#Document")).otherwise(F.concat(F.lit("#"), F.col("kind"), F.lit(": "), F.coalesce("text", "local", F.lit(""))))

@@ -7,6 +7,8 @@ rows for all that those pages lack.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..functions import tables
 from ..operators import parse
 from ..operators import relational as R
 from ..sources.files import join_chunks
+from . import page_sql as P
 from . import vectors as V
 
 QUERIES: dict = {}
@@ -35,8 +38,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.parse_html(_table(spark, sf_dir, "pages"), "page_id", "html")
+def _pages(spark: SparkSession, sf_dir: str, *parts: str, **options) -> DataFrame:
+    return parse.parse_html(_table(spark, sf_dir, "pages"), "page_id", "html", parts=parts or ("nodes",), **options)
+
+
+def _elements(*names: str):
+    """The elements of these names in a document's node array."""
+    return F.filter("doc.nodes", lambda n: (n["kind"] == "element") & n["local"].isin(*names))
 
 
 def _long(x, name):
@@ -68,17 +76,16 @@ def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT page_id, {_DECODED.format("regexp_extract(html, '<title>([^<]*)', 1)")} AS title FROM pages")
 def html_title(spark, sf_dir):
-    """The text below the title element, by an ancestor join."""
-    nodes = parse.nodes(_pages(spark, sf_dir), "page_id")
-    return R.text_of(R.elements(nodes, "title"), nodes, "page_id").select("page_id", F.col("text").alias("title"))
+    """The text below the title element, within the node array."""
+    found = _pages(spark, sf_dir).select("page_id", "doc", F.explode(_elements("title")).alias("title"))
+    return found.select("page_id", R.text_within(F.col("doc.nodes"), F.col("title")).alias("title"))
 
 
 @query("""
 WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hs FROM pages)
 SELECT page_id, unnest(range(len(hs)))::BIGINT AS place, unnest(hs) AS href FROM l""")
 def html_links(spark, sf_dir):
-    links = F.filter("doc.nodes", lambda n: (n["local"] == "a") & (n["kind"] == "element"))
-    found = _pages(spark, sf_dir).select("page_id", F.posexplode(links).alias("place", "node"))
+    found = _pages(spark, sf_dir).select("page_id", F.posexplode(_elements("a")).alias("place", "node"))
     return found.select("page_id", _long(F.col("place"), "place"), R.attribute("href", F.col("node.attrs")).alias("href"))
 
 
@@ -104,7 +111,7 @@ def html_tag_hist(spark, sf_dir):
 def html_end_tags(spark, sf_dir):
     """End tags of the tokenizer alone, and those that a tree builder sees: script text differs."""
     pages = _table(spark, sf_dir, "pages")
-    ends = [parse.tokenize_html(pages, "page_id", "html", with_tree=w).where("kind = 'end_tag'").groupBy("page_id").agg(F.count(F.lit(1)).alias(c)) for w, c in ((False, "n_end_tags"), (True, "n_seen"))]
+    ends = [parse.html_token_arrays(pages, "page_id", "html", with_tree=w).select("page_id", _long(F.size(F.filter("tokens", lambda t: t["kind"] == "end_tag")), c)) for w, c in ((False, "n_end_tags"), (True, "n_seen"))]
     return ends[0].join(ends[1], "page_id")
 
 
@@ -126,18 +133,17 @@ def html_rawtext(spark, sf_dir):
 @query("SELECT page_id, html LIKE '%</html>' AS closed FROM pages")
 def html_closed(spark, sf_dir):
     """Does the page end its root element itself?"""
-    tokens = parse.tokenize_html(_table(spark, sf_dir, "pages"), "page_id", "html", with_tree=True)
-    return tokens.groupBy("page_id").agg(F.bool_or((F.col("kind") == "end_tag") & (F.col("name") == "html")).alias("closed"))
+    tokens = parse.html_token_arrays(_table(spark, sf_dir, "pages"), "page_id", "html", with_tree=True)
+    return tokens.select("page_id", F.exists("tokens", lambda t: (t["kind"] == "end_tag") & (t["name"] == "html")).alias("closed"))
 
 
 @query(r"""
 WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1) AS x FROM pages)
 SELECT page_id, len(regexp_extract_all(x, '<p>'))::BIGINT AS n_paragraphs FROM a""")
 def html_article_paragraphs(spark, sf_dir):
-    """Descendants of a kind below articles, by an interval join on the page."""
-    nodes = parse.nodes(_pages(spark, sf_dir), "page_id")
-    found = R.descendants(R.elements(nodes, "article"), R.elements(nodes, "p"), "page_id")
-    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_paragraphs"))
+    """Descendants of a kind below articles, counted within the node array."""
+    below = F.aggregate(_elements("article"), F.lit(0), lambda n, a: n + F.size(F.filter(_elements("p"), lambda p: (p["pre"] > a["pre"]) & (p["pre"] <= a["post"]))))
+    return _pages(spark, sf_dir).select("page_id", _long(below, "n_paragraphs"))
 
 
 @query("""
@@ -150,71 +156,76 @@ def html_nearest_section(spark, sf_dir):
     return near.groupBy("page_id", F.col("outer_local").alias("within")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(P.HTML_NODES)
 def html_nodes(spark, sf_dir):
-    return parse.nodes(_pages(spark, sf_dir), "page_id").drop("attrs")
+    """All nodes of all pages, with their intervals."""
+    return parse.nodes(_pages(spark, sf_dir), "page_id").select("page_id", "node_id", "parent_id", "ordinal", "depth", "pre", "post", "kind", "ns", "local", "text")
 
 
-@query()
+@query(P.HTML_ATTRIBUTES)
 def html_attributes(spark, sf_dir):
-    return R.attributes(parse.nodes(_pages(spark, sf_dir), "page_id"), "page_id")
+    return R.attributes(parse.nodes(_pages(spark, sf_dir), "page_id"), "page_id").drop("prefix")
 
 
-@query()
+@query(P.HTML_TOKENS)
 def html_tokens(spark, sf_dir):
-    return parse.tokenize_html(_table(spark, sf_dir, "pages"), "page_id", "html").drop("attrs")
+    """All tokens of all pages, errors left out."""
+    tokens = parse.html_token_arrays(_table(spark, sf_dir, "pages"), "page_id", "html")
+    tokens = tokens.select("page_id", F.posexplode(F.filter("tokens", lambda t: t["kind"] != "error")).alias("place", "t"))
+    return tokens.select("page_id", "place", "t.kind", "t.name", F.size("t.attrs").alias("n_attributes"), "t.data")
 
 
-@query()
+@query(P.HTML_ERRORS)
 def html_errors(spark, sf_dir):
-    found = parse.errors(_pages(spark, sf_dir), "page_id")
-    return found.groupBy("stage", "message").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("n_pages"))
+    found = parse.errors(_pages(spark, sf_dir, "errors"), "page_id")
+    per_page = found.groupBy("page_id", "stage", "message").agg(F.count(F.lit(1)).alias("n"))
+    return per_page.groupBy("stage", "message").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_pages"))
 
 
-@query()
+@query(P.HTML_ACTIONS)
 def html_actions(spark, sf_dir):
-    logged = parse.actions(parse.parse_html(_table(spark, sf_dir, "pages"), "page_id", "html", log=True), "page_id")
-    return logged.groupBy("page_id", "op").agg(F.count(F.lit(1)).alias("n"))
+    """Edits of each page by kind; text comes in as many edits as the tokenizer had runs, so appends are left out."""
+    ops = F.col("doc.actions")
+    kinds = F.array_distinct(F.transform(F.filter(ops, lambda a: a["op"] != "append"), lambda a: a["op"]))
+    counted = F.transform(kinds, lambda k: F.struct(k.alias("op"), F.size(F.filter(ops, lambda a: a["op"] == k)).cast("long").alias("n")))
+    return _pages(spark, sf_dir, "actions", log=True).select("page_id", F.inline(counted))
 
 
-@query()
+@query(P.HTML_SIBLINGS)
 def html_siblings(spark, sf_dir):
     return R.siblings(parse.nodes(_pages(spark, sf_dir), "page_id"), "page_id")
 
 
-@query()
+@query(P.HTML_OUTLINE)
 def html_outline(spark, sf_dir):
     return R.indented(parse.nodes(_pages(spark, sf_dir), "page_id"), "page_id")
 
 
-@query()
+@query(P.HTML_DUMP)
 def html_dump(spark, sf_dir):
     return parse.dump_html(_table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query()
+@query(P.HTML_NORMALISED)
 def html_normalised(spark, sf_dir):
     return parse.normalise_html(_table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query("SELECT page_id, TRUE AS same_writer, TRUE AS stable FROM pages")
+@query(P.HTML_ROUNDTRIP)
 def html_roundtrip(spark, sf_dir):
-    """The relational writer agrees with the parser's own, and writing is stable under parsing again."""
-    written = R.serialize(parse.nodes(_pages(spark, sf_dir), "page_id"), "page_id").withColumnRenamed("html", "relational")
-    once = parse.reserialize_html(_table(spark, sf_dir, "pages"), "page_id", "html")
-    twice = parse.reserialize_html(once, "page_id", "html").withColumnRenamed("html", "again")
-    return once.join(written, "page_id").join(twice, "page_id").select("page_id", (F.col("html") == F.col("relational")).alias("same_writer"), (F.col("html") == F.col("again")).alias("stable"))
+    """What the relational writer makes of the node arrays, and that again after another parse."""
+    once = _pages(spark, sf_dir).select("page_id", R.serialize_array(F.col("doc.nodes")).alias("html"))
+    twice = parse.parse_html(once.select(F.struct("page_id", "html").alias("id"), "html"), "id", "html", parts=("nodes",))
+    return twice.select("id.*", R.serialize_array(F.col("doc.nodes")).alias("again"))
 
 
-@query("SELECT page_id, TRUE AS same FROM pages")
+@query(P.HTML_WRITTEN)
 def html_from_nodes(spark, sf_dir):
-    """Trees rebuilt from node rows are written like those that were parsed."""
-    pages = _table(spark, sf_dir, "pages")
-    again = parse.serialize_parsed(_pages(spark, sf_dir), "page_id").withColumnRenamed("html", "again")
-    return parse.reserialize_html(pages, "page_id", "html").join(again, "page_id").select("page_id", (F.col("html") == F.col("again")).alias("same"))
+    """Trees rebuilt from node rows, written by the parser's own writer."""
+    return parse.serialize_parsed(_pages(spark, sf_dir), "page_id")
 
 
-_TOKENS = (("unbalanced", "foo</div><div>", "foo</div><div>"), ("raw", "<script>a<b</script>&amp;", "<script>a<b</script>&amp;"), ("kinds", "<!doctype HTML><!--c--><p a=1 b='\"'>x &lt;", '<!DOCTYPE html><!--c--><p a="1" b="&quot;">x &lt;'))
+_TOKENS = (("unbalanced", "one</p><p>two", "one</p><p>two"), ("raw", "<style>a<b</style>&amp;", "<style>a<b</style>&amp;"), ("kinds", "<!doctype HTML><!--c--><p a=1 b='\"'>x &lt;", '<!DOCTYPE html><!--c--><p a="1" b="&quot;">x &lt;'))
 
 
 @query(V.values_sql([(n, want) for n, _, want in _TOKENS], "vector", "html"))
@@ -224,14 +235,22 @@ def token_vectors(spark, sf_dir):
     return R.serialize_tokens(parse.tokenize_html(given, "vector", "text", with_tree=True), "vector")
 
 
-@query("SELECT page_id, TRUE AS same FROM pages")
+@query(P.HTML_WRITTEN)
 def html_chunks(spark, sf_dir):
-    """Pages cut into chunks of 100 characters, put together again and parsed, give the same tree."""
+    """Pages cut into chunks of 100 characters, put together again, parsed and written out."""
     pages = _table(spark, sf_dir, "pages")
     cut = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s).{1,100}"), F.lit(0))).alias("seq", "chunk"))
-    joined = parse.reserialize_html(join_chunks(cut, "page_id", "seq", "chunk"), "page_id", "text").withColumnRenamed("html", "joined")
-    whole = parse.reserialize_html(pages, "page_id", "html")
-    return whole.join(joined, "page_id").select("page_id", (F.col("html") == F.col("joined")).alias("same"))
+    return parse.reserialize_html(join_chunks(cut, "page_id", "seq", "chunk"), "page_id", "text")
+
+
+@query(P.HTML_WRITTEN)
+def html_byte_chunks(spark, sf_dir):
+    """The same for chunks of 100 bytes, which cut characters."""
+    pages = _table(spark, sf_dir, "pages")
+    hexed = F.hex(F.col("html").cast("binary"))
+    cut = pages.select("page_id", F.posexplode(F.regexp_extract_all(hexed, F.lit(".{1,200}"), F.lit(0))).alias("seq", "chunk"))
+    cut = cut.withColumn("chunk", F.unhex("chunk"))
+    return parse.reserialize_html(join_chunks(cut, "page_id", "seq", "chunk"), "page_id", "text")
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<a '))::BIGINT AS n FROM pages")
@@ -241,6 +260,15 @@ def html_lateral(spark, sf_dir):
     return spark.sql("SELECT p.page_id, count(*) AS n FROM {pages} p, LATERAL html_nodes(p.html) n WHERE n.kind = 'element' AND n.local = 'a' GROUP BY p.page_id", pages=_table(spark, sf_dir, "pages"))
 
 
+@query(f"SELECT page_id, 'html ' || kind AS what, count(*)::BIGINT AS n FROM ({P.HTML_TOKENS}) GROUP BY ALL UNION ALL SELECT page_id, 'xml ' || kind, n FROM ({P.XML_TOKENS}) UNION ALL SELECT page_id, 'xml node ' || kind, n FROM ({P.XML_NODES}) UNION ALL SELECT page_id, 'error', n FROM ({P.PAGE_ERRORS})")
+def table_functions(spark, sf_dir):
+    """The other table functions over all pages."""
+    tables.register(spark)
+    calls = (("'html ' || t.kind", "html_tokens"), ("'xml ' || t.kind", "xml_tokens"), ("'xml node ' || t.kind", "xml_nodes"), ("'error'", "html_errors"))
+    text = " UNION ALL ".join(f"SELECT p.page_id, {what} AS what, count(*) AS n FROM {{pages}} p, LATERAL {name}(p.html) t {"WHERE t.kind <> 'error'" if name.endswith('tokens') else ''} GROUP BY 1, 2" for what, name in calls)
+    return spark.sql(text, pages=_table(spark, sf_dir, "pages"))
+
+
 # vectors ----------------------------------------------------------------------------------------
 
 
@@ -267,17 +295,92 @@ def xml_vectors(spark, sf_dir):
     return parse.reserialize_xml(given, "name", "text")
 
 
-@query()
+@query(P.XML_NODES)
 def xml_nodes(spark, sf_dir):
     """Nodes of the pages read as XML, errors and all."""
-    return parse.nodes(parse.parse_xml(_table(spark, sf_dir, "pages"), "page_id", "html"), "page_id").groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    nodes = parse.nodes(parse.parse_xml(_table(spark, sf_dir, "pages"), "page_id", "html", parts=("nodes",)), "page_id")
+    return nodes.groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(P.XML_TOKENS)
 def xml_tokens(spark, sf_dir):
     return parse.tokenize_xml(_table(spark, sf_dir, "pages"), "page_id", "html").groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+_STATES = sorted({(state, last or "", exact) for _, state, last, exact, *_ in V.TOKENS})
+
+
+@query(V.values_sql([(n, tokens, errors) for n, *_, tokens, errors in V.TOKENS], "name", "tokens", "n_errors"))
+def token_states(spark, sf_dir):
+    """Tokens from every state that a tokenizer can begin in."""
+    found = []
+    for state, last, exact in _STATES:
+        given = _rows(spark, [(n, text) for n, s, tag, e, text, *_ in V.TOKENS if (s, tag or "", e) == (state, last, exact)], "name string, text string")
+        tokens = parse.html_token_arrays(given, "name", "text", state=state, last_start_tag=last or None, exact_errors=exact)
+        found.append(tokens.select("name", R.short_tokens(F.col("tokens")).alias("tokens"), F.size(F.filter("tokens", lambda t: t["kind"] == "error")).alias("n_errors")))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(V.values_sql([(n, tokens, errors) for n, _, tokens, errors in V.XML_TOKENS], "name", "tokens", "n_errors"))
+def xml_token_vectors(spark, sf_dir):
+    given = _rows(spark, [(n, text) for n, text, *_ in V.XML_TOKENS], "name string, text string")
+    return parse.xml_token_arrays(given, "name", "text").select("name", R.short_tokens(F.col("tokens")).alias("tokens"), F.size(F.filter("tokens", lambda t: t["kind"] == "error")).alias("n_errors"))
+
+
+@query(V.values_sql([(n, *row) for n, _, rows in V.NODES for row in rows], "name", "node_id", "parent_id", "content_of", "kind", "space", "local", "text", "line", "form_id", "had_duplicate_attributes"))
+def node_vectors(spark, sf_dir):
+    """Templates, form owners, lines and flags of small documents."""
+    given = _rows(spark, [(n, text) for n, text, _ in V.NODES], "name string, html string")
+    nodes = parse.nodes(parse.parse_html(given, "name", "html", parts=("nodes",)), "name")
+    return nodes.select("name", "node_id", "parent_id", "content_of", "kind", F.substring_index("ns", "/", -1).alias("space"), "local", "text", "line", "form_id", "had_duplicate_attributes")
+
+
+@query(V.values_sql([(n, *row) for n, _, rows in V.XML_NODES for row in rows], "name", "node_id", "parent_id", "kind", "prefix", "ns", "local", "attributes", "text"))
+def xml_node_vectors(spark, sf_dir):
+    given = _rows(spark, [(n, text) for n, text, _ in V.XML_NODES], "name string, text string")
+    nodes = parse.nodes(parse.parse_xml(given, "name", "text", parts=("nodes",)), "name")
+    attributes = F.array_join(F.transform("attrs", lambda a: F.concat(F.lit("{"), a["ns"], F.lit("}"), a["local"], F.lit("="), a["value"])), " ")
+    return nodes.select("name", "node_id", "parent_id", "kind", "prefix", "ns", F.coalesce("local", "target").alias("local"), attributes.alias("attributes"), "text")
+
+
+@query(V.values_sql([(n, *row) for n, _, rows in V.ERRORS for row in rows], "name", "line", "stage", "message"))
+def error_vectors(spark, sf_dir):
+    given = _rows(spark, [(n, text) for n, text, _ in V.ERRORS], "name string, html string")
+    return parse.errors(parse.parse_html(given, "name", "html", parts=("errors",)), "name").drop("seq")
+
+
+@query(V.values_sql([(n, seq, *row) for n, _, rows in V.ACTIONS for seq, row in enumerate(rows)], "vector", "seq", "op", "target", "other", "name", "text"))
+def action_vectors(spark, sf_dir):
+    given = _rows(spark, [(n, text) for n, text, _ in V.ACTIONS], "vector string, html string")
+    return parse.actions(parse.parse_html(given, "vector", "html", parts=("actions",), log=True), "vector")
+
+
+@query(V.values_sql([(v[0], v[-1]) for v in V.CONTEXTS], "name", "html"))
+def context_vectors(spark, sf_dir):
+    """Fragments in contexts of all kinds."""
+    found = []
+    for name, text, context, ns, attrs, form, scripting, quirks_mode, _ in V.CONTEXTS:
+        parsed = parse.parse_html_fragment(_rows(spark, [(name, text)], "name string, html string"), "name", "html", context, ns, parts=("nodes",), context_attrs=attrs, form=form, scripting=scripting, quirks_mode=quirks_mode)
+        found.append(parsed.select("name", F.regexp_extract(R.serialize_array(F.col("doc.nodes"), scripting), "^<html>(.*)</html>$", 1).alias("html")))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(V.values_sql([(n, tree) for n, _, tree in V.DUMPS], "name", "tree"))
+def dump_vectors(spark, sf_dir):
+    given = _rows(spark, [(n, text) for n, text, _ in V.DUMPS], "name string, html string")
+    return parse.dump_html(given, "name", "html", scripting=False)
+
+
+@query(V.values_sql([(label, text) for label, _, text in V.ENCODINGS], "label", "text"))
+def encoding_vectors(spark, sf_dir):
+    """Bytes in web encodings."""
+    found = []
+    for label, hexed, _ in V.ENCODINGS:
+        given = _rows(spark, [(label, bytes.fromhex(hexed))], "label string, b binary")
+        found.append(given.select("label", C.decode_as(label)("b").alias("text")))
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(V.values_sql(V.CHARSETS, "content", "charset"))
 def charset_extract(spark, sf_dir):
     given = _rows(spark, [(c,) for c, _ in V.CHARSETS], "content string")
@@ -346,9 +449,49 @@ def prefix_len(spark, sf_dir):
     return _documents(spark, sf_dir, n=C.nonmember_prefix(F.col("text"), ".,").cast("long"))
 
 
-@query(V.values_sql([(0, "xy\ufffd\ufffd\ufffd\ufffdz", 4), (1, "é", 0), (2, "a\ufffd", 1)], "id", "text", "n_errors"))
+@query(V.values_sql([(0, "ok �", 1), (1, "é", 0), (2, "a�", 1), (3, "����b", 4), (4, "���", 3)], "id", "text", "n_errors"))
 def utf8_lossy(spark, sf_dir):
     from ..operators.decode import decode_with_errors
 
-    given = _rows(spark, [(0, b"xy\xea\xff\x99\xaez"), (1, "é".encode()), (2, b"a\xe2\x82")], "id int, b binary")
-    return decode_with_errors(given, "id", "b").where(F.col("text").isNotNull())
+    given = _rows(spark, [(0, b"ok \xff"), (1, "é".encode()), (2, b"a\xf0\x9f\x98"), (3, b"\xe4\xb8\xfe\xbf\x80b"), (4, b"\xed\xbf\xbf")], "id int, b binary")
+    return decode_with_errors(given, "id", "b")
+
+
+_UNITS = (("61c3a9e282ac", 0, "whole"), ("61c3a9e282ac", 2, "whole"), ("61c3a9e282ac", 4, "whole"), ("e282", 0, "prefix"), ("8261", 0, "suffix"), ("eda080", 1, "lead surrogate"), ("edbfbf", 0, "trail surrogate"), ("61", 5, "none"))
+
+
+@query(V.values_sql(_UNITS, "hexed", "place", "kind"))
+def unit_vectors(spark, sf_dir):
+    """The kind of character around a byte."""
+    given = _rows(spark, [u[:2] for u in _UNITS], "hexed string, place int")
+    return given.withColumn("kind", C.classify_unit(F.unhex("hexed"), F.col("place")))
+
+
+_WTF8 = (("61", True), ("eda080", True), ("eda080edb080", False), ("ff", False), ("f09f9880", True))
+
+
+@query(V.values_sql(_WTF8, "hexed", "valid"))
+def wtf8_vectors(spark, sf_dir):
+    given = _rows(spark, [w[:1] for w in _WTF8], "hexed string")
+    return given.withColumn("valid", C.is_wtf8(F.unhex("hexed")))
+
+
+@query("SELECT doc_id, CASE WHEN strlen(left(text, 3)) = 3 THEN left(text, 3) END AS head, replace(left(text, 5), ' ', '�') AS marked, text[2:] AS rest, strlen(text) - strlen(left(text, 1)) AS n_rest FROM documents")
+def string_slices(spark, sf_dir):
+    """Cuts of texts: three bytes if they are three characters, NULs replaced, the first character gone."""
+    text = F.col("text")
+    head = F.when(F.char_length(C.byte_slice(text, 0, 3)) == 3, C.byte_slice(text, 0, 3)).when(F.char_length(text) < 3, F.lit(None))
+    marked = C.replace_nul(F.replace(F.left(text, F.lit(5)), F.lit(" "), F.char(F.lit(0))))
+    rest = F.substring(text, 2, 2_000_000_000)
+    return _documents(spark, sf_dir, head=head, marked=marked, rest=rest, n_rest=F.octet_length(rest).cast("long"))
+
+
+@query("SELECT page_id, TRUE AS same, len(regexp_extract_all(html, '<a [^>]*>')) > 1 AS other FROM pages")
+def attribute_sets(spark, sf_dir):
+    """Attribute lists are equal in any order, and differ from link to link."""
+    attrs = F.transform(_elements("a"), lambda n: n["attrs"])
+    more = F.lit(None).cast("string")
+    extra = F.array(F.struct(more.alias("prefix"), F.lit("").alias("ns"), F.lit("rel").alias("local"), F.lit("x").alias("value")))
+    first, second = F.get(attrs, F.lit(0)), F.get(attrs, F.lit(1))
+    same = C.same_attributes(F.concat(first, extra), F.concat(extra, first))
+    return _pages(spark, sf_dir).select("page_id", same.alias("same"), F.coalesce(~C.same_attributes(first, second), F.lit(False)).alias("other"))

@@ -46,7 +46,7 @@ def test_files_and_chunks(spark, tmp_path):
 
 @pytest.mark.parametrize(
     ("raw", "text", "errors"),
-    [(b"xy\xea\xff\x99\xaez", "xy����z", 4), (b"\xe2\x82", "�", 1), (b"\xed\xa0\x80", "���", 3), (b"ok", "ok", 0)],
+    [(b"ok \xff\xe4\xb8\xfe\xbf\x80b", "ok �����b", 5), (b"\xe2\x82", "�", 1), (b"\xed\xa0\x80", "���", 3), (b"ok", "ok", 0)],
 )
 def test_lossy_utf8(spark, raw, text, errors):
     given = spark.createDataFrame([(1, raw)], "id int, b binary")
