@@ -1,22 +1,30 @@
-"""Main text of web pages.
-
-Two methods meet here. Where a page marks its article (article or main elements,
-or the equal roles), its structure decides: blocks inside the article stay, unless
-they are menus, adverts, notices, forms, comments and the like by element, role,
-class or id. Where a page marks none, structure only removes such parts, and long
-repeats decide about the rest: runs of ``depth`` tokens or more that enough different
-pages of the host share are boilerplate; the runs between them are kept, and so are
-blocks of fewer tokens. Enough is half of the host's unmarked pages, from
-``enough`` on a fifth of them but no fewer than ``enough``; and always ``min_pages``.
-What a few pages quote of each other stays. Repetition alone cannot serve for marked
-pages: their menus may occur once only.
-
-A suffix array of the host would give these runs as neighbours with a common prefix of
-``depth`` tokens. None is built, and nothing is sorted: hashes of the first ``depth``
-tokens of each suffix of a block are grouped instead. A token lies in a repeat of
-``depth`` tokens or more exactly if it lies in such a prefix that is shared as often, so
-both mark the same. Suffixes are dealt by host and hash, and counted before the
-shuffle, so a host that holds a third of all pages is spread like any other.
+"""Main text of web pages, by the votes of structure and of a host suffix array.
+
+Structure: a page is parsed by the engine's own HTML parser, and its blocks get a zone.
+``main`` is what article or main elements (or the equal roles) hold; ``aside`` is menus,
+adverts, notices, forms, comments and the like by element, role, class or id; ``weak``
+is a block within an article whose name is as often an ordinary word (social, search,
+related); all else is plain. A name counts only if all of its parts are known words, so
+that "ad-free" is no advert.
+
+Repeats: the token streams of a host's pages are concatenated and their suffixes
+sorted; neighbours with a common prefix of ``depth`` tokens or more are a repeat, and
+what enough different pages of the host share is boilerplate. Enough is half of the
+pages, from ``enough`` on a fifth of them but no fewer than ``enough``; and always
+``min_pages``. What a few pages quote of each other stays.
+
+All pages take both votes. Plain blocks, where a page marks no article, lose the runs
+that repeats cover and keep the runs between them. Weak blocks go if repeats cover them
+or most of them are links. Main blocks go only if runs that half of the host's pages
+(and ``enough``) share cover them wholly: an advert within the article that nothing
+marks. Asides go in any case, and plain blocks do where an article is marked.
+
+A host is dealt into shards, each sorted by one task in units of at most
+``UNIT_TOKENS`` tokens, so a host that holds a third of all pages is spread. A unit
+reports the runs that a tenth of its pages share, with their counts. A run that all
+units report is counted exactly; for others the unreported counts have a bound, and
+where that bound leaves a decision open, the run is counted over all pages. A host that
+is one unit is decided there. The result is that of one suffix array of the whole host.
 
 Defined cases: null and empty html give empty text; markup that never closes
 reaches to the page's end; pages that repeat exactly count as one page for the
@@ -27,183 +35,252 @@ gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import re
-from html import unescape
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_arrow, small_side
+from ..kernel.html_tree import parse_document
+from .common import BROADCAST_ROWS, durable, map_arrow, small_side
+from .suffixes import hash_of, shared_prefixes, window_hashes
 
-_TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?/][^>]*>?", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-#: Elements whose content is text or is not shown, up to their end tag.
-RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp svg select object canvas audio video".split())
+#: Elements whose content is not shown as text.
+RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp svg select object canvas audio video datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main menu nav ol option p plaintext pre section summary table tbody td tfoot th thead tr ul".split()
 )
 ASIDE = frozenset("nav footer aside form head button dialog menu fieldset".split())
-CONTAINERS = frozenset("html body div section article main nav header footer aside form head button dialog menu fieldset ul ol dl table figure details blockquote span center".split())
-#: Blocks that matter only if they are left out; a paragraph also ends where another block begins.
-LEAVES = frozenset("p li dt dd h2 h3 h4 h5 h6 tr td th pre figcaption address caption hgroup".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
-_ASIDE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|ad(?:slot|box|unit|container|wrapper|banner|block|space)s?|adverts?|advertisements?|advertising|adsense|adslot|sponsor(?:ed|s)?|promos?|promotions?|banners?|sidebars?|side-bar|(?:top|sub|main|site|side)?nav(?:bar|list)?|navigation|menus?|breadcrumbs?|footer|masthead|topbar|comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|notices?|popups?|disclaimers?|announcements?|paywall|modal|overlay|newsletter|subscribe|subscription|signup|share|sharing|social|related|recommended|recommendations|widgets?|pagination|pager|toolbar|alerts?|login|search|skip-link)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words in class and id names. STRONG: what is not the article; WEAK: so only outside of it, or if more speaks for it; NEUTRAL: what such names are put together with.
+STRONG = frozenset(
+    "ad ads adslot adbox adunit adcontainer adwrapper adbanner adblock adspace advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion promotions banner banners sidebar sidebars nav navbar navlist topnav subnav mainnav sitenav sidenav navigation menu menus breadcrumb breadcrumbs footer masthead topbar comment comments commentlist disqus cookie cookies consent gdpr popup popups paywall modal overlay newsletter subscribe subscription signup share sharing widget widgets pagination pager toolbar login".split()
 )
-_HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header)(?:$|[\s_-])", re.IGNORECASE)
-_COMMENT_NAME = re.compile(r"(?:^|[\s_-])comments?(?:$|[\s_-])", re.IGNORECASE)
-#: A page that matches marks its article.
-MARKED = r"(?is)<(article|main)[\s/>]|role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articlebody"
-
-
-def _attributes(text: str) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for m in _ATTRIBUTE.finditer(text):
-        out.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
-    return out
-
-
-def _zone(tag: str, attributes: str, inside: bool) -> str:
-    """What an element begins: "main", "aside", or "" for neither; inside: within an article already."""
-    given = _attributes(attributes) if attributes.strip(" /\n\t") else {}
+WEAK = frozenset("social related recommended recommendations search notice notices alert alerts announcement announcements disclaimer disclaimers respond replies skip".split())
+NEUTRAL = frozenset("site page main top bottom left right side box bar block container wrapper wrap inner outer area section list item items unit slot space panel link links button buttons form content text body header head post article entry story media".split())
+_COMMENTS = frozenset("comment comments".split())
+_HEADERS = frozenset("header site-header page-header".split())
+#: Tokens that one unit of a host's suffix array takes, and rows of a host's shard.
+UNIT_TOKENS, SHARD_ROWS = 1 << 20, 512
+_END = "\x00"  # fills up short blocks of weak zones, so that they are compared as wholes
+
+
+def name_vote(names: str) -> str:
+    """What class and id names say: "strong", "weak" or ""."""
+    vote = ""
+    for token in names.lower().split():
+        parts = [p for p in re.split("[-_]+", token) if p and not re.fullmatch(r"\d+(x\d+)?", p)]
+        if token in ("side-bar", "side_bar"):
+            return "strong"
+        if parts and all(p in STRONG or p in WEAK or p in NEUTRAL for p in parts):
+            if any(p in STRONG for p in parts):
+                return "strong"
+            if any(p in WEAK for p in parts):
+                vote = "weak"
+    return vote
+
+
+def _zone(node, zone: str) -> str:
+    """The zone within an element, from the zone around it."""
+    if zone == "aside":
+        return zone
+    tag, given = node.name, {a.local: a.value for a in reversed(node.attrs)}
+    inside = zone in ("main", "weak")
     role = given.get("role", "").lower().split()
     names = f"{given.get('class', '')} {given.get('id', '')}"
     if tag in ("article", "main") or "main" in role or given.get("itemprop", "").lower() == "articlebody":
-        return "aside" if inside and _COMMENT_NAME.search(names) else "main"
-    if tag in ASIDE or _ROLES.intersection(role) or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", given.get("style", "")):
+        return "aside" if inside and not _COMMENTS.isdisjoint(names.lower().split()) else zone if inside else "main"
+    if tag in ASIDE or not _ROLES.isdisjoint(role) or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", given.get("style", "").lower()):
         return "aside"
-    if tag in ("html", "body"):
-        return ""
-    if names != " " and _ASIDE_NAME.search(names):
+    if tag in ("html", "body", "h1"):
+        return zone
+    if not inside and (tag == "header" or not _HEADERS.isdisjoint(names.lower().split())):
         return "aside"
-    if not inside and (tag == "header" or _HEADER_NAME.search(names)):
+    vote = name_vote(names) if names != " " else ""
+    if vote == "strong" or vote == "weak" and not inside:
         return "aside"
-    return ""
+    return "weak" if vote else zone
 
 
-def blocks(html: str) -> list[tuple[str, str]]:
-    """(zone, text) of a page's blocks in order; zone: "main", "aside" or ""."""
-    out: list[tuple[str, str]] = []
+def blocks(html: str) -> list[tuple[str, str, bool]]:
+    """(zone, text, mostly links) of a page's blocks in order; zone: "main", "weak", "aside" or ""."""
+    out: list[tuple[str, str, bool]] = []
     text: list[str] = []
-    stack: list[tuple[str, str]] = []  # open containers: tag, and the zone outside of it
-    zone, at, n = "", 0, len(html)
+    linked = 0
 
-    def flush():
+    def flush(zone):
+        nonlocal linked
         joined = "".join(text)
+        if words := joined.split():
+            out.append((zone, " ".join(words), 2 * linked >= len(joined)))
         text.clear()
-        if words := (unescape(joined) if "&" in joined else joined).split():
-            out.append((zone, " ".join(words)))
-
-    while at < n:
-        m = _TAG.search(html, at)
-        if m is None:
-            text.append(html[at:])
-            break
-        if m.start() > at:
-            text.append(html[at : m.start()])
-        at = m.end()
-        if (tag := m[2]) is None:
-            continue
-        tag = tag.lower()
-        if tag in RAW and not m[1]:
-            if not m[3].rstrip().endswith("/") or tag != "svg":
-                end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(html, at)
-                at = end.end() if end else n
-            text.append(" ")
-            continue
-        if tag in BLOCK:
-            flush()
-            if stack and not m[1] and stack[-1][0] in LEAVES and (stack[-1][0] in ("p", tag)):
-                zone = stack.pop()[1]
-        elif tag == "br":
-            text.append(" ")
-        if tag not in CONTAINERS and tag not in LEAVES:
-            continue
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag not in BLOCK and zone != stack[i][1]:
-                        flush()
-                    zone = stack[i][1]
-                    del stack[i:]
-                    break
-        else:
-            new = _zone(tag, m[3], zone == "main") if zone != "aside" else ""
-            if new and tag not in BLOCK:
-                flush()
-            if tag in CONTAINERS or new == "aside":
-                stack.append((tag, zone))
-                zone = new or zone
-    flush()
+        linked = 0
+
+    todo = [(parse_document(html).root, "", False, False)]
+    while todo:
+        node, zone, in_link, closing = todo.pop()
+        if closing:
+            flush(zone)
+        elif node.kind == "text":
+            text.append(node.data)
+            linked += len(node.data) * in_link
+        elif node.kind == "document":
+            todo += [(c, zone, False, False) for c in reversed(node.children)]
+        elif node.kind == "element":
+            tag = node.name
+            if tag in RAW or tag == "br":
+                text.append(" ")
+                continue
+            own = _zone(node, zone)
+            if tag in BLOCK or own != zone:
+                flush(zone)
+                todo.append((node, own, False, True))
+            in_link = in_link or tag == "a" and any(a.local == "href" for a in node.attrs)
+            todo += [(c, own, in_link, False) for c in reversed(node.children)]
+    flush("")
     return out
 
 
-def main_text(html: str | None, repeated: set[tuple[int, int]] | None = None) -> str:
-    """Blocks joined by blank lines; repeated: (block, token) places to leave out of an unmarked page."""
-    found = blocks(html or "")
-    kept = [text for zone, text in found if zone == "main"]
-    if not kept:
-        plain = [text for zone, text in found if zone == ""]
-        if not repeated:
-            kept = plain
-        else:
-            for i, text in enumerate(plain):
-                words = [w for j, w in enumerate(text.split(" ")) if (i, j) not in repeated]
-                if words:
-                    kept.append(" ".join(words))
-    return "\n\n".join(kept)
-
-
-def prefixes(words: list[str], depth: int) -> np.ndarray:
-    """Hashes of the first ``depth`` tokens of each suffix that has them, by doubling; a shorter stream is one prefix."""
-    h = np.array([hash_of(w) for w in words], np.uint64)
-    span = 1
-    wanted = min(depth, len(words))
-    out, used = None, 0
-    while True:  # depth as a sum of powers of two
-        if wanted & span:
-            size = len(words) - wanted + 1
-            piece = h[used : used + size]
-            out = piece.copy() if out is None else (out * np.uint64(0x9E3779B97F4A7C15)) ^ (piece + np.uint64(span))
-            used += span
-        span *= 2
-        if span > wanted:
-            break
-        h = (h[: len(h) - span // 2] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[span // 2 :] + np.uint64(0x165667B19E3779F9))
+def candidates(found: list[tuple[str, str, bool]]) -> list[tuple[str, str]]:
+    """(zone, text) of the blocks that structure leaves: those of the article where one is marked, else the plain ones."""
+    marked = any(zone in ("main", "weak") for zone, *_ in found)
+    return [(zone, text) for zone, text, links in found if (zone == "main" or zone == "weak" and not links if marked else zone == "")]
+
+
+def stream_of(kept: list[tuple[str, str]], depth: int) -> list[list[str]]:
+    """The tokens of each block; short weak blocks are filled up, other short blocks can't repeat."""
+    out = []
+    for zone, text in kept:
+        words = text.split(" ")
+        out.append(words + [_END] * (depth - len(words)) if zone == "weak" else words)
     return out
 
 
-def hash_of(word: str) -> int:
-    return xxhash.xxh64_intdigest(word)
+def _covered(words: list[str], runs: np.ndarray, depth: int) -> np.ndarray:
+    """Which tokens lie within one of the runs (sorted hashes of their first tokens)."""
+    marks = np.zeros(len(words) + 1, np.int64)
+    if len(words) >= depth and len(runs):
+        own = window_hashes(np.array([hash_of(w) for w in words], np.uint64), depth)
+        at = np.flatnonzero(runs[np.minimum(np.searchsorted(runs, own), len(runs) - 1)] == own)
+        np.add.at(marks, at, 1)
+        np.add.at(marks, at + depth, -1)
+    return np.cumsum(marks[:-1]) > 0
+
+
+def main_text(html: str | None, shared: np.ndarray | None = None, by_most: np.ndarray | None = None, depth: int = 12) -> str:
+    """Blocks joined by blank lines; shared, by_most: sorted hashes of runs that enough, and that most pages of the host have."""
+    kept = candidates(blocks(html or ""))
+    out = []
+    if shared is None or not len(shared):
+        return "\n\n".join(text for _, text in kept)
+    for (zone, text), words in zip(kept, stream_of(kept, depth), strict=True):
+        gone = _covered(words, by_most if zone == "main" else shared, depth)
+        if zone == "":
+            text = " ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
+        elif gone.all():
+            text = ""
+        if text:
+            out.append(text)
+    return "\n\n".join(out)
+
+
+def needed(pages: int, min_pages: int, enough: int) -> float:
+    """How many of a host's pages make a run boilerplate."""
+    return max(min_pages, min(pages / 2, max(pages / 5, enough)))
+
+
+def _streams(pages: DataFrame, depth: int) -> DataFrame:
+    """(host, content, stream) of the pages that have text: blocks in lines, and a hash of them."""
+    def task(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                hosts, contents, streams = [], [], []
+                for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+                    stream = "\n".join(" ".join(words) for words in stream_of(candidates(blocks(html or "")), depth))
+                    if stream:
+                        hosts.append(host)
+                        contents.append(hash_of(stream))
+                        streams.append(stream)
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(np.array(contents, np.uint64).view(np.int64)), pa.array(streams, pa.string())], ["host", "content", "stream"])
+
+    return map_arrow(pages.select("host", "html"), task, "host string, content long, stream string")
+
 
+_REPORT = "host string, run long, n long, pages long, whole boolean"
 
-def _suffixes(pages: DataFrame, depth: int) -> DataFrame:
-    """(key, content, host, prefix, block, place, size): the suffixes of unmarked blocks that have so many tokens; and a row without a prefix for each page with text."""
-    names = ["key", "content", "host", "prefix", "block", "place", "size"]
 
+def _reports(streams: DataFrame, depth: int, min_pages: int, enough: int) -> DataFrame:
+    """(host, run, n, pages, whole): runs that n pages of a unit share, of so many; without a run: each unit. whole: the unit is the host."""
+    def task(batches):
+        unit: list[list[list[str]]] = []
+        key, last, size, alone = None, None, 0, True
+
+        def report(host, is_whole):
+            n = len(unit)
+            least = needed(n, min_pages, enough) if is_whole else max(2, n / 10)
+            runs, counts = shared_prefixes(unit, depth, int(np.ceil(least))) if n >= least else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            k = len(runs) + 1
+            return pa.RecordBatch.from_arrays(
+                [pa.array([host] * k, pa.string()), pa.array([None, *runs.view(np.int64).tolist()], pa.int64()), pa.array([0, *counts.tolist()], pa.int64()), pa.array([n] * k, pa.int64()), pa.array([is_whole] * k)], ["host", "run", "n", "pages", "whole"]
+            )
+
+        for batch in batches:
+            for host, salts, content, stream in zip(*(batch.column(c).to_pylist() for c in ("host", "salts", "content", "stream")), strict=True):
+                if key is None or host != key[0]:
+                    if unit:
+                        yield report(key[0], alone and key[1] == 1)
+                    unit, key, last, size, alone = [], (host, salts), None, 0, True
+                elif size > UNIT_TOKENS:
+                    yield report(key[0], False)
+                    unit, size, alone = [], 0, False
+                if content != last:  # an exact copy counts once
+                    last = content
+                    unit.append([line.split(" ") for line in stream.split("\n")])
+                    size += sum(map(len, unit[-1]))
+        if unit:
+            yield report(key[0], alone and key[1] == 1)
+
+    return map_arrow(streams.select("host", "salts", "content", "stream"), task, _REPORT)
+
+
+def _counted(streams: DataFrame, open_runs: DataFrame, depth: int) -> DataFrame:
+    """(host, run, n): the pages with each of the runs that units leave open, over all pages."""
     def task(batches):
         for batch in batches:
-            out = [[] for _ in names]
-            for key, host, html in zip(*(batch.column(c).to_pylist() for c in ("key", "host", "html")), strict=True):
-                plain = [text for zone, text in blocks(html or "") if zone == ""]
-                content = hash_of("\n".join(plain)) >> 1
-                if plain:
-                    for column, value in zip(out, (key, content, host, None, 0, 0, 0), strict=True):
-                        column.append(value)
-                for i, text in enumerate(plain):
-                    words = text.split(" ")
-                    if len(words) < depth:
-                        continue
-                    for place, h in enumerate(prefixes(words, depth).view(np.int64).tolist()):
-                        for column, value in zip(out, (key, content, host, h, i, place, depth), strict=True):
-                            column.append(value)
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
-
-    return map_arrow(pages.select("key", "host", "html"), task, "key long, content long, host string, prefix long, block int, place int, size int")
+            for host, content, stream in zip(*(batch.column(c).to_pylist() for c in ("host", "content", "stream")), strict=True):
+                runs = [window_hashes(np.array([hash_of(w) for w in line.split(" ")], np.uint64), depth) for line in stream.split("\n")]
+                runs = np.unique(np.concatenate(runs)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(runs), pa.string()), pa.array([content] * len(runs), pa.int64()), pa.array(runs)], ["host", "content", "run"])
+
+    rows = streams.join(small_side(durable(open_runs.select("host").distinct())), "host", "left_semi")
+    rows = map_arrow(rows.select("host", "content", "stream"), task, "host string, content long, run long")
+    return rows.join(open_runs.select("host", "run"), ["host", "run"], "left_semi").groupBy("host", "run").agg(F.count_distinct("content").alias("n"))
+
+
+def repeats(pages: DataFrame, depth: int, min_pages: int, enough: int) -> DataFrame:
+    """(host, run, most): hashes of the runs of ``depth`` tokens that enough pages of a host (columns host, html) share; most: half of them do."""
+    hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > SHARD_ROWS)
+    hosts = hosts.select("host", F.ceil(F.col("rows") / SHARD_ROWS).cast("int").alias("salts"))
+    streams = _streams(pages, depth).join(small_side(durable(hosts)), "host", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    salt = F.pmod(F.xxhash64("content"), F.col("salts"))
+    dealt = streams.repartition("host", salt).sortWithinPartitions("host", salt, "content")
+    found = durable(_reports(dealt, depth, min_pages, enough))
+    half = F.greatest(F.lit(float(enough)), F.col("total") / 2)
+    least = F.greatest(F.lit(float(min_pages)), F.least(F.col("total") / 2, F.greatest(F.col("total") / 5, F.lit(float(enough)))))
+    totals = found.where("run IS NULL").groupBy("host").agg(F.sum("pages").alias("total"), F.count(F.lit(1)).alias("units"))
+    runs = found.where("run IS NOT NULL").groupBy("host", "run").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("reports"), F.max("whole").alias("whole"))
+    runs = runs.join(totals, "host").withColumns({"half": half, "least": least})
+    # a unit that does not report a run has it on fewer than a tenth of its pages, or on one
+    at_most = F.col("n") + (F.col("total") - F.col("pages")) / 10 + (F.col("units") - F.col("reports"))
+    runs = runs.withColumn("at_most", at_most).where("at_most >= least")
+    unclear = "NOT whole AND at_most > n AND (n < least OR n < half AND at_most >= half)"
+    runs = durable(runs.withColumn("open", F.expr(unclear)))
+    decided, unsure = runs.where("NOT open"), runs.where("open")
+    if not unsure.isEmpty():
+        exact = _counted(streams, unsure, depth)
+        decided = decided.unionByName(unsure.drop("n").join(exact, ["host", "run"]).select(decided.columns))
+    return decided.where("n >= least").select("host", "run", (F.col("n") >= F.col("half")).alias("most"))
 
 
 def _host(url: Column) -> Column:
@@ -212,28 +289,24 @@ def _host(url: Column) -> Column:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", depth: int = 12, min_pages: int = 3, enough: int = 10) -> DataFrame:
     """(id_col, url_col, text) for each page."""
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.coalesce(F.col(html_col).rlike(MARKED), F.lit(True)).alias("marked"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host"))
+    runs = durable(repeats(rows, depth, min_pages, enough))
+    grouped = runs.groupBy("host").agg(F.array_sort(F.collect_list("run")).alias("shared"), F.array_sort(F.collect_list(F.when(F.col("most"), F.col("run")))).alias("by_most"))
+    if runs.count() <= BROADCAST_ROWS:
+        grouped = F.broadcast(grouped)
 
     def texts(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                covers = part.column("covered").to_pylist() if "covered" in part.schema.names else [None] * part.num_rows
-                out = []
-                for html, covered in zip(part.column("html").to_pylist(), covers, strict=True):
-                    places = {(c["block"], c["place"] + i) for c in covered for i in range(c["size"])} if covered else None
-                    out.append(main_text(html, places))
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                out, host, shared, by_most = [], None, None, None
+                for name, html, own, most in zip(*(part.column(c).to_pylist() for c in ("host", "html", "shared", "by_most")), strict=True):
+                    if name != host:
+                        host, shared, by_most = name, *(np.sort(np.array(x or (), np.int64).view(np.uint64)) for x in (own, most))
+                    out.append(main_text(html, shared, by_most, depth))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(out, pa.string())], ["id", "url", "text"])
 
     kinds = rows.schema
     schema = f"id {kinds['id'].dataType.simpleString()}, url {kinds['url'].dataType.simpleString()}, text string"
-    marked = map_arrow(rows.where("marked").select("id", "url", "html"), texts, schema)
-
-    unmarked = rows.where("NOT marked").withColumns({"host": _host(F.col("url")), "key": F.xxhash64("id", "url", "html")})
-    suffixes = _suffixes(unmarked, depth)
-    counts = durable(suffixes.groupBy("host", "prefix").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= min_pages))
-    hosts = counts.where("prefix IS NULL").select("host", F.least(F.col("n") / 2, F.greatest(F.col("n") / 5, F.lit(enough))).alias("needed"))
-    shared = counts.where("prefix IS NOT NULL").join(small_side(hosts), "host").where("n >= needed").select("host", "prefix")
-    covered = suffixes.join(shared, ["host", "prefix"], "left_semi").groupBy("key").agg(F.collect_set(F.struct("block", "place", "size")).alias("covered"))
-    rest = map_arrow(unmarked.join(covered, "key", "left").select("id", "url", "html", "covered"), texts, schema)
-    return marked.unionByName(rest).withColumnsRenamed({"id": id_col, "url": url_col})
+    joined = rows.join(grouped, "host", "left").select("id", "url", "html", "host", "shared", "by_most")
+    return map_arrow(joined, texts, schema).withColumnsRenamed({"id": id_col, "url": url_col})

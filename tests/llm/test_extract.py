@@ -1,8 +1,11 @@
+import os
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.llm import extract, queries, sql
+from tagloom.llm import extract, queries, sql, suffixes
 from tests.conftest import SMALL
 
 ROW = "page_id long, url string, html string"
@@ -23,6 +26,12 @@ ROW = "page_id long, url string, html string"
         ("<article><h1 class=banner>T</h1><p class=advert>no<p>yes</p><ul><li>a<li class=share>b<li>c</ul><h2 id=comments>no</h2><p>end", "T\n\nyes\n\na\n\nc\n\nend"),
         ("<article><p>x <math><mi>y</mi></math> z</p><div class=widget><p>no</p></div></div><p>yes</p></article><p>no", "x y z\n\nyes"),
         ("no markup < at all", "no markup < at all"),
+        ('<article><p title=5">Text with "quote" here</p><p><a href=x" class=y>b</a>', 'Text with "quote" here\n\nb'),
+        ('<script>var s="<main>"</script><p>plain <em>text</em><article', "plain text"),
+        ('<div class="ad-free"><p>hello', "hello"),
+        ('<article><section class="social"><p>on society</p></section><p class="search results">found</p><p class="related">x</p><div class="story-comments-free note">y</div>', "on society\n\nfound\n\nx\n\ny"),
+        ('<article><p>x</p><div class="related"><a href=1>one more</a> <a href=2>another</a></div><div class="ad-box_2">no</div><div id="ad_300x250">no</div>', "x"),
+        ("<p>a<table><tr><td>b</table><svg><text>no</text></svg><noscript>no</noscript><select><option>no</select>", "a\n\nb"),
         ("", ""),
         (None, ""),
     ],
@@ -31,16 +40,36 @@ def test_main_text(html, text):
     assert extract.main_text(html) == text
 
 
-def test_prefixes_are_those_of_the_tokens():
-    words = "a b c d e f g h a b c d e f g h i".split()
-    for depth in (1, 2, 3, 5, 7, 8):
-        got = extract.prefixes(words, depth)
-        want = [tuple(words[i : i + depth]) for i in range(len(words) - depth + 1)]
-        assert len(got) == len(want)
-        for i in range(len(want)):
-            for j in range(len(want)):
-                assert (got[i] == got[j]) == (want[i] == want[j])
-    assert len(extract.prefixes(words[:3], 8)) == 1
+def brute_shared(streams, depth, least):
+    """The runs of depth tokens in so many streams, with their counts."""
+    count = Counter()
+    for blocks in streams:
+        count.update({tuple(w[i : i + depth]) for w in blocks for i in range(len(w) - depth + 1)})
+    return {run: n for run, n in count.items() if n >= least}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_suffix_array_like_sorting(seed):
+    rng = np.random.default_rng(seed)
+    ids = rng.integers(0, 1 + seed, int(rng.integers(0, 80)))
+    if seed == 5:
+        ids = np.tile(rng.integers(0, 9, 30), 3)
+    order, common = suffixes.suffix_array(ids)
+    want = sorted(range(len(ids)), key=lambda i: ids[i:].tolist())
+    assert order.tolist() == want
+    for k in range(1, len(want)):
+        a, b = ids[want[k - 1] :].tolist(), ids[want[k] :].tolist()
+        assert common[k] == len(os.path.commonprefix([a, b]))
+
+
+@pytest.mark.parametrize("depth", [1, 3, 5])
+def test_shared_prefixes_like_counting(depth):
+    rng = np.random.default_rng(depth)
+    streams = [[[f"w{x}" for x in rng.integers(0, 4, int(rng.integers(1, 12)))] for _ in range(int(rng.integers(1, 4)))] for _ in range(12)]
+    for least in (1, 2, 4):
+        got = dict(zip(*(x.tolist() for x in suffixes.shared_prefixes(streams, depth, least)), strict=True))
+        want = brute_shared(streams, depth, least)
+        assert got == {int(suffixes.window_hashes(np.array([suffixes.hash_of(w) for w in run], np.uint64), depth)[0]): n for run, n in want.items()}
 
 
 def test_shared_runs_go_where_no_article_is_marked(spark):
@@ -86,3 +115,56 @@ def test_what_few_pages_share_and_short_blocks_stay(spark):
     pages = [(i, u, h + f"<p>part {boiler[::-1]}</p>" if i % 4 == 0 else h, t) for i, u, h, t in pages]
     found = extract.extract(spark.createDataFrame([p[:3] for p in pages], ROW).repartition(3)).collect()
     assert {r["page_id"]: r["text"] for r in found} == {i: t for i, _, _, t in pages}
+
+
+def many_pages(n):
+    """Pages of two hosts with runs that 8, 11, 15, 25 and 55 % of them share, in unmarked and in marked pages."""
+    rng = np.random.default_rng(7)
+    boiler = {share: " ".join(f"b{share}x{j}" for j in range(15)) for share in (8, 11, 15, 25, 55)}
+    pages = []
+    for i in range(n):
+        own = " ".join(f"u{i}x{j}" for j in range(20))
+        found = [boiler[s] for s in boiler if rng.random() < s / 100]
+        body = "".join(f"<p>{t}</p>" for t in [own, *found])
+        pages.append((i, f"http://{'ab'[i % 3 == 0]}.example/{i}", f"<article>{body}</article>" if i % 4 == 0 else body, [own, *found]))
+    return pages
+
+
+def brute_texts(pages, depth=12, min_pages=3, enough=10):
+    """id -> text, by counting runs over whole hosts."""
+    out = {}
+    for host in {u.split("/")[2] for _, u, *_ in pages}:
+        own = [p for p in pages if p[1].split("/")[2] == host]
+        counts = brute_shared([[t.split(" ") for t in texts] for *_, texts in own], depth, 1)
+        least, half = extract.needed(len(own), min_pages, enough), max(enough, len(own) / 2)
+        for i, _, html, texts in own:
+            kept = []
+            for text in texts:
+                words, bound = text.split(" "), half if "<article>" in html else least
+                gone = {j + d for j in range(len(words) - depth + 1) if counts[tuple(words[j : j + depth])] >= bound for d in range(depth)}
+                if "<article>" in html:
+                    kept.append("" if len(gone) == len(words) else text)
+                else:
+                    kept.append(" ".join(w for j, w in enumerate(words) if j not in gone))
+            out[i] = "\n\n".join(t for t in kept if t)
+    return out
+
+
+@pytest.mark.parametrize(("unit", "shard"), [(1 << 20, 512), (1 << 20, 40), (1500, 40), (700, 1000)])
+def test_split_hosts_like_whole_ones(spark, monkeypatch, unit, shard):
+    monkeypatch.setattr(extract, "UNIT_TOKENS", unit)
+    monkeypatch.setattr(extract, "SHARD_ROWS", shard)
+    pages = many_pages(300)
+    given = spark.createDataFrame([p[:3] for p in [*pages, pages[0], pages[7]]], ROW).repartition(3)
+    found = extract.extract(given).collect()
+    assert len(found) == 302
+    want = brute_texts(pages)
+    assert {r["page_id"]: r["text"] for r in found} == want
+    assert any("b25x" in h and "b25x" not in want[i] for i, _, h, _ in pages) and any("b55x" in h and "b55x" not in want[i] for i, _, h, _ in pages if i % 4 == 0)
+    assert all(("b25x" in h) == ("b25x" in want[i]) for i, _, h, _ in pages if i % 4 == 0)
+
+
+def test_weak_blocks_take_the_vote_of_repeats(spark):
+    pages = [(i, f"http://h.example/{i}", f"<article><p>own {i}</p><p class=notice>the same for all</p><p class=notice>only here {i}</p></article>") for i in range(12)]
+    found = extract.extract(spark.createDataFrame(pages, ROW)).collect()
+    assert {r["page_id"]: r["text"] for r in found} == {i: f"own {i}\n\nonly here {i}" for i in range(12)}
