@@ -1,13 +1,15 @@
 """Benchmark decontamination with a hash set of normalised test n-grams.
 
 Method: benchmark items become windows of ``n`` words (a shorter item is one
-window). Their hashes are broadcast; documents are read in Arrow batches, words
-are numbered, rolling window hashes are looked up in the set, and each hit is
-verified word by word. Hit spans or documents can then be removed.
+window). Their hashes are sorted once, on the driver, and broadcast as arrays; each
+Python worker holds one copy for all of its tasks. Documents are read in Arrow
+batches, rolling window hashes are looked up in the set, and each hit is verified
+word by word. Hit spans or documents can then be removed.
 
 The hash set is broadcast only in blocks of at most ``block_items`` items and
-``block_words`` words; a larger benchmark takes one pass over the documents for
-each block, and passes are merged by document row.
+``block_words`` words (about 30 bytes a word); a larger benchmark takes one pass over
+the documents for each block, and an item of more words is cut into parts that overlap
+by n - 1 words. Each pass is written out before the next, so one block is held at a time.
 
 Defined cases: null and empty texts have no words, so no hits; items without
 words match nothing; repeated items and item_ids count once; items with a null
@@ -23,10 +25,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import durable, map_arrow
 
 _WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -38,32 +41,60 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORD_BYTES).split()
 
 
+class _Hashes(dict):
+    """Hashes of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
 class Windows:
-    """The windows of benchmark items, for lookup in numbered words."""
+    """The windows of benchmark items, in sorted arrays that can be broadcast."""
 
     def __init__(self, items: Iterable[tuple[str | None, str | None]], n: int = 10):
-        self.n, self.number, self.names = n, {}, []
+        self.n, self.names = n, []
         name_of: dict[str, int] = {}
-        self.by_size: dict[int, dict[tuple[int, ...], set[int]]] = {}
+        texts, at = [], 0
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = {}
+        known = []
         for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of((text or "").encode())]
-            if not ids:
+            words = words_of((text or "").encode())
+            if not words:
                 continue
             name = -1
             if item is not None:
                 name = name_of.setdefault(item, len(self.names))
                 if name == len(self.names):
                     self.names.append(item)
-            size = min(n, len(ids))
-            table = self.by_size.setdefault(size, {})
-            for i in range(len(ids) - size + 1):
-                table.setdefault(tuple(ids[i : i + size]), set()).add(name)
-        self.probes = {}
-        for size, table in self.by_size.items():
-            hashes = np.unique(self._hash(np.array(list(table), np.uint64).T))
-            seen = np.zeros(1 << 20, bool)
-            seen[(hashes >> np.uint64(44)).astype(np.int64)] = True
-            self.probes[size] = (hashes, seen)
+            hashes = self._hashed(words)
+            known.append(np.unique(hashes))
+            size = min(n, len(words))
+            ends = at + np.cumsum([len(w) + 1 for w in words])
+            begins = np.concatenate([[at], ends[:-1]])
+            count = len(words) - size + 1
+            parts.setdefault(size, []).append((self._hash(hashes[j : j + count] for j in range(size)), np.full(count, name, np.int32), begins[:count], ends[size - 1 :] - 1))
+            texts.append(b" ".join(words) + b" ")
+            at = int(ends[-1])
+        self.text = b"".join(texts)
+        self.known = self._bitmap(np.concatenate(known) if known else np.zeros(0, np.uint64))
+        self.tables = {}
+        for size, found in parts.items():
+            hashes, names, begins, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            self.tables[size] = (hashes[order], names[order], begins[order], ends[order], self._bitmap(hashes))
+
+    @staticmethod
+    def _bitmap(hashes: np.ndarray) -> np.ndarray:
+        """Which values of the upper bits occur: most lookups end here."""
+        seen = np.zeros(1 << 20, bool)
+        seen[(hashes >> np.uint64(44)).astype(np.int64)] = True
+        return seen
+
+    @staticmethod
+    def _hashed(words: list[bytes], hashes: _Hashes | None = None) -> np.ndarray:
+        hashes = _Hashes() if hashes is None else hashes
+        return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
     @staticmethod
     def _hash(columns) -> np.ndarray:
@@ -75,42 +106,51 @@ class Windows:
 
     def scan(self, texts: list[bytes | None]) -> Iterator[tuple[list[bytes], np.ndarray, set[int]]]:
         """For each text: its words, which of them are hit, and the names of items found."""
-        get = self.number.get
         split = [words_of(t) if t else [] for t in texts]
-        ids = np.array([get(w, 0) for words in split for w in words], np.uint64)
+        hashes = _Hashes()
+        own = np.concatenate([self._hashed(words, hashes) for words in split]) if split else np.zeros(0, np.uint64)
         ends = np.cumsum([len(words) for words in split])
-        hit, found = np.zeros(len(ids), bool), [set() for _ in texts]
-        for size, (hashes, seen) in self.probes.items():
-            if len(ids) < size:
+        hit, found = np.zeros(len(own), bool), [set() for _ in texts]
+        known = self.known[(own >> np.uint64(44)).astype(np.int64)]
+        for size, (sorted_hashes, names, begins, stops, seen) in self.tables.items():
+            if len(own) < size:
                 continue
-            count = len(ids) - size + 1
-            known = ids != 0
-            at = np.flatnonzero(known[:count] & known[size - 1 :])  # both ends are words of some item
-            h = self._hash(ids[at + j] for j in range(size))
+            count = len(own) - size + 1
+            at = np.flatnonzero(known[:count] & known[size - 1 :])  # both ends may be words of some item
+            h = self._hash(own[at + j] for j in range(size))
             maybe = seen[(h >> np.uint64(44)).astype(np.int64)]
             at, h = at[maybe], h[maybe]
-            at = at[hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h]
+            low, high = np.searchsorted(sorted_hashes, h), np.searchsorted(sorted_hashes, h, "right")
+            at, low, high = (x[low < high] for x in (at, low, high))
             doc = np.searchsorted(ends, at, side="right")
-            table = self.by_size[size]
-            for i, d in zip(at.tolist(), doc.tolist(), strict=True):
-                if i + size <= ends[d] and (names := table.get(tuple(ids[i : i + size].tolist()))) is not None:
+            for i, d, a, b in zip(at.tolist(), doc.tolist(), low.tolist(), high.tolist(), strict=True):
+                if i + size > ends[d]:
+                    continue
+                start = i - int(ends[d]) + len(split[d])
+                text = b" ".join(split[d][start : start + size])
+                same = [j for j in range(a, b) if self.text[begins[j] : stops[j]] == text]
+                if same:
                     hit[i : i + size] = True
-                    found[d] |= names
-        for words, end, names in zip(split, ends, found, strict=True):
-            yield words, hit[end - len(words) : end], names
+                    found[d].update(names[same].tolist())
+        for words, end, items in zip(split, ends, found, strict=True):
+            yield words, hit[end - len(words) : end], items
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_items: int, block_words: int) -> Iterator[list[tuple[str | None, str | None]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_items: int, block_words: int) -> Iterator[Windows]:
     """The items in blocks that are small enough to broadcast, streamed to the driver one partition at a time."""
-    block, size = [], 0
+    block, size, given = [], 0, False
     for row in benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).distinct().toLocalIterator():
-        words = len(words_of((row["text"] or "").encode()))
-        if block and (len(block) >= block_items or size + words > block_words):
-            yield block
-            block, size = [], 0
-        block.append((row["item"], row["text"]))
-        size += words
-    yield block
+        words = words_of((row["text"] or "").encode())
+        step = max(block_words - n + 1, 1)  # parts of a long item overlap, so that no window is cut
+        for start in range(0, max(len(words) - n + 1, 1), step):
+            part = words[start : start + step + n - 1]
+            if block and (len(block) >= block_items or size + len(part) > block_words):
+                yield Windows(block, n)
+                block, size, given = [], 0, True
+            block.append((row["item"], b" ".join(part).decode()))
+            size += len(part)
+    if block or not given:
+        yield Windows(block, n)
 
 
 RESULT = "text_hash long, n_words long, n_hit long, items array<string>, hits binary"
@@ -118,14 +158,18 @@ RESULT = "text_hash long, n_words long, n_hit long, items array<string>, hits bi
 
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, block_items: int = 100_000, block_words: int = 2_000_000) -> DataFrame:
     """Per document row: the id, n_words, n_hit, items (sorted ids found), hits (bit for each word, packed; null if none)."""
-    passes = []
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    for block in _blocks(benchmark, item_col, item_text_col, block_items, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast((block, n))
+    passes: list[DataFrame] = []
+    shared = None
+    for windows in _blocks(benchmark, item_col, item_text_col, n, block_items, block_words):
+        if shared is not None:  # there is another block: what this one finds is kept
+            passes[-1] = durable(passes[-1])
+            shared.destroy()
+        shared = docs.sparkSession.sparkContext.broadcast(windows)
 
         def task(batches, shared=shared):
-            windows = Windows(*shared.value)
+            windows = shared.value
             for batch in batches:
                 for start in range(0, batch.num_rows, 512):
                     part = batch.slice(start, 512)
@@ -142,10 +186,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col:
         passes.append(map_arrow(rows, task, f"id {kind}, {RESULT}"))
     if len(passes) == 1:
         return passes[0].drop("text_hash").withColumnRenamed("id", id_col)
-    return _merged(passes).withColumnRenamed("id", id_col)
+    return _merged(passes, kind).withColumnRenamed("id", id_col)
 
 
-def _merged(passes: list[DataFrame]) -> DataFrame:
+def _merged(passes: list[DataFrame], kind: str) -> DataFrame:
     """One row for each document from several blocks; rows that share an id keep a row each."""
     found = passes[0].withColumn("block", F.lit(0))
     for i, more in enumerate(passes[1:], 1):
@@ -153,31 +197,30 @@ def _merged(passes: list[DataFrame]) -> DataFrame:
     copies = F.row_number().over(Window.partitionBy("id", "text_hash", "block").orderBy("n_words"))
     found = found.withColumn("copy", copies).groupBy("id", "text_hash", "copy").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.collect_list("hits").alias("maps"))
 
-    @F.udf("binary")
-    def union(maps):
-        if not maps:
-            return None
-        total = np.frombuffer(maps[0], np.uint8).copy()
-        for more in maps[1:]:
-            total |= np.frombuffer(more, np.uint8)
-        return total.tobytes()
-
-    @F.udf("long")
-    def ones(bits):
-        return int(np.unpackbits(np.frombuffer(bits, np.uint8)).sum()) if bits else 0
+    def task(batches):
+        for batch in batches:
+            n_hit, hits = [], []
+            for maps in batch.column("maps").to_pylist():
+                total = np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in maps]) if maps else np.zeros(0, np.uint8)
+                n_hit.append(int(np.bitwise_count(total).sum()))
+                hits.append(total.tobytes() if maps else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), batch.column("items"), pa.array(hits, pa.binary())], ["id", "n_words", "n_hit", "items", "hits"])
 
-    found = found.withColumn("hits", union("maps"))
-    return found.select("id", "n_words", ones("hits").alias("n_hit"), "items", "hits")
+    return map_arrow(found.select("id", "n_words", "items", "maps"), task, f"id {kind}, {RESULT.removeprefix('text_hash long, ')}")
 
 
 def _passes(docs: DataFrame, benchmark: DataFrame, change, item_col: str, item_text_col: str, text_col: str, n: int, block_items: int, block_words: int) -> DataFrame:
     """docs after change(windows, batch, its texts) of each block of the benchmark, one after another."""
     at = docs.columns.index(text_col)
-    for block in _blocks(benchmark, item_col, item_text_col, block_items, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast((block, n))
+    shared = None
+    for windows in _blocks(benchmark, item_col, item_text_col, n, block_items, block_words):
+        if shared is not None:
+            docs = durable(docs)
+            shared.destroy()
+        shared = docs.sparkSession.sparkContext.broadcast(windows)
 
         def task(batches, shared=shared):
-            windows = Windows(*shared.value)
+            windows = shared.value
             for batch in batches:
                 for start in range(0, batch.num_rows, 512):
                     part = batch.slice(start, 512)

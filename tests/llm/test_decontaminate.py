@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import re
 
 import pytest
@@ -44,6 +45,25 @@ def test_like_brute_force(spark, n, block_items):
     assert [(r["n_words"], r["n_hit"], r["items"]) for r in found] == [brute(t, items, n) for t in texts]
 
 
+@pytest.mark.parametrize("block_words", [1, 13, 40])
+def test_items_larger_than_a_block(spark, block_words):
+    texts, items = cases()
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(decontaminate._blocks(benchmark, "item_id", "text", 10, 100, block_words))
+    assert len(blocks) > 1 and all(len(w.text.split()) <= block_words + 9 for w in blocks)
+    if block_words == 40:
+        found = decontaminate.scan(documents(spark, texts), benchmark, block_words=block_words).orderBy("doc_id").collect()
+        assert [(r["n_words"], r["n_hit"], r["items"]) for r in found] == [brute(t, items, 10) for t in texts]
+        clean = [i for i, t in enumerate(texts) if not brute(t, items, 10)[1]]
+        assert sorted(r["doc_id"] for r in decontaminate.remove_documents(documents(spark, texts), benchmark, block_words=block_words).collect()) == clean
+
+
+def test_a_large_benchmark_takes_little_memory():
+    texts = prose(9, 2000, words=100)
+    size = len(pickle.dumps(decontaminate.Windows(enumerate(texts))))
+    assert size < 40 * 200_000 + (2 << 20) + 200_000
+
+
 @pytest.mark.parametrize("block_items", [2, 100])
 def test_removal(spark, block_items):
     texts, items = cases()
