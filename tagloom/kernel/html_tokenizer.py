@@ -27,6 +27,9 @@ _UNQUOTED = re.compile(r"[^\t\n\f >]*")
 _COMMENT_END = re.compile(r"--!?>")
 _SCRIPT_MARK = re.compile(r"-->|<!--|<(/?)([A-Za-z]+)(?=[\t\n\f />])")
 _ODD_INPUT = re.compile("[\x01-\x08\x0b\x0e-\x1f\x7f-\x9f\ufdd0-\ufdef\ufffe\uffff" + "".join(chr(p * 0x10000 + o) for p in range(1, 17) for o in (0xFFFE, 0xFFFF)) + "]")
+#: A tag as most are: a name in lower case, attributes in double quotes without references.
+_PLAIN_TAG = re.compile(r"<(/?)([a-z][a-z0-9]*)((?: [a-z][a-z-]*=\"[^\"&\0]*\")*)>")
+_PLAIN_ATTRIBUTE = re.compile(r" ([a-z-]+)=\"([^\"]*)\"")
 _ODD_IN_NAME, _ODD_IN_VALUE = re.compile(r"[\"'<]"), re.compile(r"[\"'<=`]")
 
 
@@ -39,7 +42,7 @@ class Tokenizer:
         self.text, self.sink = normalise_newlines(text), sink
         self.state, self.last_start_tag, self.foreign = state, last_start_tag, False
         self.at, self.exact_errors = 0, exact_errors
-        self._line, self._counted = 1, 0
+        self._line, self._counted = 1, 0 if "\n" in self.text else len(self.text)
 
     def emit(self, token) -> None:
         if self.at > self._counted:
@@ -77,7 +80,19 @@ class Tokenizer:
             self.at, data = m.end(), m[0]
             self.emit(Characters(self._decoded(begin, self.at) if "&" in data else data))
         elif text[begin] == "<":
-            self._markup()
+            m = _PLAIN_TAG.match(text, begin)
+            if m is None:
+                self._markup()
+                return
+            end, name, given = m.groups()
+            attrs = _PLAIN_ATTRIBUTE.findall(given) if given else []
+            if attrs and (end or len(attrs) > 1 and len(dict(attrs)) < len(attrs)):
+                self._markup()  # there is something to report
+                return
+            self.at = m.end()
+            if not end:
+                self.last_start_tag = name
+            self.emit(Tag("end" if end else "start", name, attrs))
         else:
             self.at += 1
             self.error("NUL character")

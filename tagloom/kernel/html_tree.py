@@ -84,6 +84,13 @@ class TreeBuilder:
     def __call__(self, token, line: int) -> None:
         self.line = line
         kind = type(token)
+        if kind is Tag:
+            self.skip_newline = False
+            self._process(token)
+            if self.stack.foreign or self.context is not None or self.tokenizer.foreign:
+                node = self._adjusted()
+                self.tokenizer.foreign = node is not None and node.ns != HTML
+            return
         if kind is Error:
             self.doc.error(line, "tokenizer", token.message)
             return
@@ -100,16 +107,13 @@ class TreeBuilder:
         else:
             self.skip_newline = False
             self._process(token)
-        if kind is Tag:
-            node = self._adjusted()
-            self.tokenizer.foreign = node is not None and node.ns != HTML
 
     def _characters(self, text: str) -> None:
         """White space and other text apart, where the mode tells them apart."""
         at = 0
         while at < len(text):
-            whole = self.mode in (self.in_body, self.text, self.in_table_text, self.in_cell, self.in_caption) and not self._is_foreign(Characters(""))
-            data = text[at:] if whole else _RUNS.match(text, at)[0]
+            whole = self.mode.__func__ in WHOLE_TEXT and not ((self.stack.foreign or self.context is not None) and self._is_foreign(Characters("")))
+            data = (text[at:] if at else text) if whole else _RUNS.match(text, at)[0]
             at += len(data)
             self._process(Characters(data))
 
@@ -117,7 +121,8 @@ class TreeBuilder:
         self.acknowledged = False
         again = True
         while again:
-            again = self.in_foreign(token) if self._is_foreign(token) else self.mode(token)
+            foreign = (self.stack.foreign or self.context is not None) and self._is_foreign(token)
+            again = self.in_foreign(token) if foreign else self.mode(token)
         if type(token) is Tag and token.kind == "start" and token.self_closing and not self.acknowledged:
             self.error("unacknowledged self-closing tag")
 
@@ -160,7 +165,8 @@ class TreeBuilder:
 
     def pop(self) -> Node:
         node = self.stack.pop()
-        self.doc.note("pop", node)
+        if self.doc.actions is not None:
+            self.doc.note("pop", node)
         return node
 
     def pop_until(self, *names: str) -> None:
@@ -215,6 +221,10 @@ class TreeBuilder:
         return (target.content if target.content is not None else target), None
 
     def put(self, node: Node, target: Node | None = None) -> None:
+        if target is None and not self.fostering:
+            parent = self.stack[-1]
+            self.doc.append(parent if parent.content is None else parent.content, node)
+            return
         parent, before = self.place(target)
         if before is not None:
             self.doc.insert_before(before, node)
@@ -237,7 +247,7 @@ class TreeBuilder:
         return False
 
     def create(self, tag: Tag, ns: str = HTML) -> Node:
-        attrs = [a if isinstance(a, Attribute) else Attribute(None, "", *a) for a in tag.attrs]
+        attrs = [a if isinstance(a, Attribute) else Attribute(None, "", *a) for a in tag.attrs] if tag.attrs else ()
         node = self.doc.element(tag.name, ns, attrs, self.line, tag.had_duplicates)
         if ns == MATHML and tag.name == "annotation-xml":
             node.mathml_ip = ascii_lower(node.get("encoding") or "") in ("text/html", "application/xhtml+xml")
@@ -245,7 +255,8 @@ class TreeBuilder:
 
     def insert(self, tag: Tag, ns: str = HTML) -> Node:
         node = self.create(tag, ns)
-        self._own_form(tag, node)
+        if self.form is not None:
+            self._own_form(tag, node)
         self.put(node)
         self.stack.append(node)
         return node
@@ -260,7 +271,7 @@ class TreeBuilder:
         return self.insert(Tag("start", name))
 
     def _own_form(self, tag: Tag, node: Node) -> None:
-        if self.form is None or node.ns != HTML or tag.name not in FORM_OWNED or self.has_template():
+        if node.ns != HTML or tag.name not in FORM_OWNED or self.has_template():
             return
         if tag.name != "img" and any(a[-2] == "form" for a in tag.attrs):
             return
@@ -1303,6 +1314,10 @@ class TreeBuilder:
                 again = self.mode(t)
 
 
+#: Modes that take text whole, white space and all.
+WHOLE_TEXT = frozenset((TreeBuilder.in_body, TreeBuilder.text, TreeBuilder.in_table_text, TreeBuilder.in_cell, TreeBuilder.in_caption))
+
+
 def parse_document(text: str, scripting: bool = True, iframe_srcdoc: bool = False, drop_doctype: bool = False, log: bool = False, exact_errors: bool = False, discard_bom: bool = True) -> Document:
     doc = Document(log)
     builder = TreeBuilder(doc, scripting, iframe_srcdoc, drop_doctype)

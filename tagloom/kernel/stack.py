@@ -19,6 +19,8 @@ ITEM_BOUND = SPECIAL - {(HTML, name) for name in ("address", "div", "p")}
 #: What an insertion mode can be told from.
 MODAL = frozenset((HTML, name) for name in "td th tr tbody thead tfoot caption colgroup table template head body frameset html".split())
 BOUNDS = (SCOPE, LIST_SCOPE, BUTTON_SCOPE, TABLE_SCOPE, SPECIAL, ITEM_BOUND, MODAL)
+#: The sets that hold a key, for all keys that are in one.
+_WITHIN = {key: tuple(bound for bound in BOUNDS if key in bound) for key in frozenset().union(*BOUNDS)}
 
 
 class OpenElements(list):
@@ -26,14 +28,17 @@ class OpenElements(list):
 
     def __init__(self):
         super().__init__()
-        self._places: dict[tuple[str, str], list[int]] = {}
         self._lower: dict[str, list[int]] = {}  # places of elements that are not HTML, by lower-cased name
         self._bounds: dict[frozenset, list[int]] = {bound: [] for bound in BOUNDS}
         self._kept: dict[tuple[str, str], tuple[list[int], ...]] = {}
+        self._html: dict[str, list[int]] = {}
+        self.foreign = 0  # open elements that are not HTML
 
     def _lists(self, key: tuple[str, str]) -> tuple[list[int], ...]:
-        own = [self._places.setdefault(key, []), *(places for bound, places in self._bounds.items() if key in bound)]
-        if key[0] != HTML:
+        own = [[], *(self._bounds[bound] for bound in _WITHIN.get(key, ()))]
+        if key[0] == HTML:
+            self._html[key[1]] = own[0]
+        else:
             own.append(self._lower.setdefault(ascii_lower(key[1]), []))
         self._kept[key] = tuple(own)
         return self._kept[key]
@@ -42,9 +47,11 @@ class OpenElements(list):
         key, place = (node.ns, node.name), len(self)
         for places in self._kept.get(key) or self._lists(key):
             places.append(place)
-        if node.ns != HTML and place:
-            below = self[-1]
-            node.html_below = place - 1 if below.ns == HTML else below.html_below
+        if key[0] != HTML:
+            self.foreign += 1
+            if place:
+                below = self[-1]
+                node.html_below = place - 1 if below.ns == HTML else below.html_below
         node.at = place
         super().append(node)
 
@@ -52,6 +59,8 @@ class OpenElements(list):
         node = super().pop()
         for places in self._kept[node.ns, node.name]:
             places.pop()
+        if node.ns != HTML:
+            self.foreign -= 1
         node.at = -1
         return node
 
@@ -79,7 +88,12 @@ class OpenElements(list):
 
     def last(self, *names: str) -> int:
         """The highest place of an HTML element of these names; -1 if none is open."""
-        return max((places[-1] for name in names if (places := self._places.get((HTML, name)))), default=-1)
+        highest = -1
+        for name in names:
+            places = self._html.get(name)
+            if places and places[-1] > highest:
+                highest = places[-1]
+        return highest
 
     def last_of(self, bound: frozenset) -> int:
         places = self._bounds[bound]

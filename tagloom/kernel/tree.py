@@ -11,15 +11,15 @@ from .tokens import Attribute
 class Node:
     """kind: document, doctype, element, text, comment or instruction; data: text, or an instruction's content."""
 
-    __slots__ = ("kind", "name", "ns", "prefix", "attrs", "data", "public_id", "system_id", "parent", "children", "content", "line", "had_duplicates", "mathml_ip", "form", "number", "at", "html_below")
+    # what most nodes never change
+    prefix = public_id = system_id = parent = content = line = form = None
+    had_duplicates = mathml_ip = False
+    number = at = html_below = -1  # at, html_below: places among the open elements
 
     def __init__(self, kind: str, name: str | None = None, ns: str = "", attrs=(), data: str | None = None):
         self.kind, self.name, self.ns, self.data = kind, name, ns, data
-        self.prefix = self.public_id = self.system_id = self.parent = self.content = self.line = self.form = None
         self.attrs: list[Attribute] = list(attrs)
         self.children: list[Node] = []
-        self.had_duplicates = self.mathml_ip = False
-        self.number = self.at = self.html_below = -1  # at, html_below: places among the open elements
 
     def get(self, local: str) -> str | None:
         return next((a.value for a in self.attrs if a.local == local and not a.ns), None)
@@ -63,11 +63,15 @@ class Document:
         self.note("parse_error", text=message)
 
     def element(self, name: str, ns: str, attrs, line: int | None = None, had_duplicates: bool = False) -> Node:
-        node = self._number(Node("element", name, ns, attrs))
-        node.line, node.had_duplicates = line, had_duplicates
-        if ns == HTML and name == "template":
+        node = Node("element", name, ns, attrs)
+        node.number, node.line = self._numbers, line
+        self._numbers += 1
+        if had_duplicates:
+            node.had_duplicates = True
+        if name == "template" and ns == HTML:
             node.content = self._number(Node("document"))
-        self.note("create_element", node, name=name, text=ns)
+        if self.actions is not None:
+            self.note("create_element", node, name=name, text=ns)
         return node
 
     def comment(self, data: str) -> Node:
@@ -88,14 +92,17 @@ class Document:
         self.note("append_doctype_to_document", node, name=name)
 
     def append(self, parent: Node, child: Node) -> None:
-        self.detach(child)
+        if child.parent is not None:
+            self.detach(child)
         child.parent = parent
         parent.children.append(child)
-        self.note("append", parent, child)
+        if self.actions is not None:
+            self.note("append", parent, child)
 
     def append_text(self, parent: Node, text: str) -> None:
         """Text joins a text node that is there already."""
-        self.note("append", parent, text=text)
+        if self.actions is not None:
+            self.note("append", parent, text=text)
         if parent.children and parent.children[-1].kind == "text":
             parent.children[-1].data += text
         else:
