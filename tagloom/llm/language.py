@@ -12,8 +12,13 @@ runs over all blocks of a batch at once. A document's scores are the mean margin
 of its words, weighted by their letters.
 
 The model is fitted on the driver to a bounded sample: at most ``max_docs``
-labelled rows of ``max_chars`` characters together, those with the smallest hashes of
-their ids, and ``max_words`` words of them.
+labelled rows of ``max_chars`` characters together, an equal share of both for each
+language, those with the smallest hashes (a row too long for what is left of the share
+is passed over), and ``max_words`` words of them.
+
+A word is a letter (Unicode category L) and the letters and marks after it. A text of
+more than SEGMENT words is read in segments, twice: once for the forward messages at
+their borders, once backwards for the marginals; the result is that of one pass.
 
 Defined cases: text that is null or has no letter is ``und`` with score 0; ties go
 to the language that sorts first; no labelled row gives ``und`` for all; repeated
@@ -22,21 +27,27 @@ rows are judged each on its own; extra columns are not read.
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)
 BLOCK = 64
+#: Words of a text that are held at once; of all texts of a slice together, characters.
+SEGMENT, SLICE_CHARS = 100_000, 500_000
+#: Distinct words whose scores a task remembers.
+REMEMBERED = 100_000
 
 
 def words_of(text: str) -> list[str]:
@@ -74,6 +85,22 @@ class Field:
     grams: np.ndarray  # BUCKETS x languages
     lexicon: dict[str, np.ndarray]
     transitions: np.ndarray
+    known: dict[str, int] = field(default_factory=dict)  # words met lately, and the rows of their scores
+    scores: np.ndarray | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}, "scores": None}
+
+    def remembered(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word; each distinct word is scored once."""
+        if self.scores is None or len(self.known) > REMEMBERED:
+            self.known, self.scores = {}, np.zeros((0, len(self.langs)))
+        old = len(self.known)
+        setdefault, known = self.known.setdefault, self.known
+        ids = np.fromiter((setdefault(w, len(known)) for w in words), np.int64, len(words))
+        if len(known) > old:
+            self.scores = np.concatenate([self.scores, self.emissions(list(known)[old:])])
+        return self.scores[ids]
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """A row of scores for each word."""
@@ -90,45 +117,118 @@ class Field:
 
     def marginals(self, texts: list[list[str]]) -> list[np.ndarray]:
         """For each text, a row for each word: the probabilities of the languages there."""
-        number: dict[str, int] = {}
-        ids = np.array([number.setdefault(w, len(number)) for words in texts for w in words], np.int64)
-        if not len(ids):
+        words = [w for own in texts for w in own]
+        if not words:
             return [np.zeros((0, len(self.langs))) for _ in texts]
-        scores = self.emissions(list(number))[ids]
-        lengths = [len(words) for words in texts]
-        gamma, _ = forward_backward(scores, self.transitions, lengths)
+        lengths = [len(own) for own in texts]
+        gamma, _ = forward_backward(self.remembered(words), self.transitions, lengths)
         return np.split(gamma, np.cumsum(lengths)[:-1])
 
+    def mean(self, text: str) -> np.ndarray | None:
+        """The mean marginals of a long text's words, weighted by their letters, in segments."""
+        begins, alphas, alpha = [], [], None
+        for begin, words in _segments(text):
+            begins.append(begin)
+            alphas.append(alpha)
+            alpha = forward(self.remembered(words), self.transitions, alpha)
+        total, letters, beta = np.zeros(len(self.langs)), 0, None
+        for begin, end, alpha in zip(reversed(begins), [None, *reversed(begins[1:])], reversed(alphas), strict=True):
+            words = words_of(text[begin:end])
+            scores = self.remembered(words)
+            gamma, _ = forward_backward(scores, self.transitions, [len(words)], alpha, beta)
+            beta = backward(scores, self.transitions, beta)
+            weights = np.fromiter(map(len, words), float, len(words))
+            total += weights @ gamma
+            letters += weights.sum()
+        return total / letters if letters else None
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        split = [words_of(t) if t else [] for t in texts]
-        langs, best = [], []
+        long = [t is not None and len(t) > 2 * SEGMENT for t in texts]
+        split = [words_of(t) if t and not own else [] for t, own in zip(texts, long, strict=True)]
+        means: list[np.ndarray | None] = []
         for words, gamma in zip(split, self.marginals(split) if self.langs else [()] * len(split), strict=True):
-            if not words or not self.langs:
-                langs.append(UNDETERMINED)
-                best.append(0.0)
-                continue
             weights = np.fromiter(map(len, words), float, len(words))
-            mean = weights @ gamma / weights.sum()
-            langs.append(self.langs[int(mean.argmax())])
-            best.append(min(1.0, float(mean.max())))
+            means.append(weights @ gamma / weights.sum() if words and self.langs else None)
+        langs, best = [], []
+        for text, own, mean in zip(texts, long, means, strict=True):
+            mean = self.mean(text) if own and self.langs else mean
+            langs.append(UNDETERMINED if mean is None else self.langs[int(mean.argmax())])
+            best.append(0.0 if mean is None else min(1.0, float(mean.max())))
         return langs, best
 
 
-def forward_backward(scores: np.ndarray, transitions: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of each word, and summed pair marginals; sequences lie one after another in scores."""
+def _segments(text: str) -> Iterator[tuple[int, list[str]]]:
+    """Runs of at most SEGMENT words: where each begins in the text, and its words."""
+    begin, words = 0, []
+    for m in LETTERS.finditer(text):
+        if len(words) == SEGMENT:
+            yield begin, words
+            begin, words = m.start(), []
+        words.append(m[0].lower())
+    if words:
+        yield begin, words
+
+
+def _steps(scores: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.exp(scores - scores.max(axis=1, keepdims=True)), np.exp(transitions)
+
+
+def forward(scores: np.ndarray, transitions: np.ndarray, alpha: np.ndarray | None) -> np.ndarray:
+    """The forward message after these words, from that before them (None: they begin the text)."""
+    e, t = _steps(scores, transitions)
+    for product in _products(e, t, alpha is None):
+        alpha = (np.ones(len(t)) if alpha is None else alpha) @ product
+        alpha = alpha / alpha.sum()
+    return alpha
+
+
+def backward(scores: np.ndarray, transitions: np.ndarray, beta: np.ndarray | None) -> np.ndarray:
+    """The backward message before these words, from that after them (None: they end the text)."""
+    e, t = _steps(scores, transitions)
+    beta = np.full(len(t), 1 / len(t)) if beta is None else beta
+    for product in reversed(_products(e, t, False)):
+        beta = product @ beta
+        beta = beta / beta.sum()
+    return beta
+
+
+def _products(e: np.ndarray, t: np.ndarray, first: bool) -> list[np.ndarray]:
+    """The transfer matrices of blocks of words; no transition leads to the first word of a text."""
+    n, k = e.shape
+    blocks = -(-n // BLOCK)
+    padded = np.ones((blocks * BLOCK, k))
+    padded[:n] = e
+    steps = padded.reshape(blocks, BLOCK, k)
+    live = (np.arange(blocks * BLOCK) < n).reshape(blocks, BLOCK)
+    product = np.broadcast_to(np.eye(k), (blocks, k, k)).copy()
+    for i in range(min(BLOCK, n)):
+        on = live[:, i]
+        step = product[on] @ t
+        if first and i == 0:
+            step[0] = np.eye(k)
+        step = step * steps[on, i][:, None, :]
+        product[on] = step / step.sum(axis=(1, 2), keepdims=True)
+    return list(product)
+
+
+def forward_backward(scores: np.ndarray, transitions: np.ndarray, lengths: list[int], before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of each word, and summed pair marginals; sequences lie one after another in scores.
+
+    before, after: messages of what lies around a single sequence, if it is a segment.
+    """
     k = scores.shape[1]
-    e = np.exp(scores - scores.max(axis=1, keepdims=True))
-    t = np.exp(transitions)
+    e, t = _steps(scores, transitions)
     # blocks of at most BLOCK words, each within one sequence; short ones are padded with idle steps
     starts, first = [], []
     at = 0
     for n in lengths:
         for i in range(0, n, BLOCK):
             starts.append((at + i, min(BLOCK, n - i)))
-            first.append(i == 0)
+            first.append(i == 0 and before is None)
         at += n
     begin, size = np.array([s for s, _ in starts]), np.array([n for _, n in starts])
     first, blocks = np.array(first), len(starts)
+    new = np.isin(begin, np.cumsum([0, *lengths])[:-1])
     index = np.minimum(begin[:, None] + np.arange(BLOCK), len(scores) - 1)
     live = np.arange(BLOCK) < size[:, None]
     product = np.broadcast_to(np.eye(k), (blocks, k, k)).copy()
@@ -139,15 +239,15 @@ def forward_backward(scores: np.ndarray, transitions: np.ndarray, lengths: list[
         product[on] = step / step.sum(axis=(1, 2), keepdims=True)
     alpha, beta = np.empty((blocks, k)), np.empty((blocks, k))
     for b in range(blocks):  # no transition leads to a sequence's first word
-        alpha[b] = np.ones(k) if first[b] else after
-        after = alpha[b] @ product[b]
-        after = after / after.sum()
+        alpha[b] = (np.ones(k) if before is None else before) if new[b] else message
+        message = alpha[b] @ product[b]
+        message = message / message.sum()
     for b in range(blocks - 1, -1, -1):
-        if b == blocks - 1 or first[b + 1]:
-            beta[b] = 1 / k
+        if b == blocks - 1 or new[b + 1]:
+            beta[b] = 1 / k if after is None else after
         else:
-            before = product[b + 1] @ beta[b + 1]
-            beta[b] = before / before.sum()
+            message = product[b + 1] @ beta[b + 1]
+            beta[b] = message / message.sum()
     gamma, pairs = np.empty_like(scores), np.zeros((k, k))
     forward = np.empty((int(size.max()), blocks, k))
     state = alpha
@@ -243,35 +343,55 @@ def fit(rows: list[tuple[str, str]], max_words: int = 200_000, rounds: int = 6,
 
 
 def sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, max_docs: int, max_chars: int) -> list[tuple[str, str]]:
-    """Labelled rows in the order of a hash, in whole texts, until there are max_docs or max_chars of them."""
+    """Labelled rows, in whole texts: for each language an equal share of max_docs and of max_chars, in the order of a hash."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.xxhash64(F.col(id_col).cast("string"), F.lit(1)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    chosen, chars = [], 0
-    for r in rows.select("h", F.char_length("text").alias("n")).orderBy("h", "n").limit(max_docs).collect():
-        chars += r["n"]
-        if chosen and chars > max_chars:
-            break
-        chosen.append(r["h"])
-    if not chosen:
+    rows = rows.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(1)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    n_langs = rows.select("lang").distinct().count()
+    if not n_langs:
         return []
-    found = rows.where(F.col("h") <= chosen[-1]).orderBy("h", F.char_length("text")).limit(len(chosen))
-    return [(r["text"], r["lang"]) for r in found.collect()]
+    quota, chars = max(1, max_docs // n_langs), max_chars // n_langs
+    found = rows.select("h", "lang", F.char_length("text").alias("n"))
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= quota).orderBy("lang", "h").limit(max_docs).collect()
+    chosen, left, last = set(), 0, None
+    for r in found:
+        if r["lang"] != last:
+            last, left = r["lang"], chars
+            chosen.add((r["lang"], r["h"]))  # one at least, whatever its length
+            left -= r["n"]
+        elif r["n"] <= left:
+            chosen.add((r["lang"], r["h"]))
+            left -= r["n"]
+    texts = rows.where(F.col("h").isin([h for _, h in chosen])).dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect()
+    return [(r["text"], r["lang"]) for r in texts if (r["lang"], r["h"]) in chosen]
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 800, max_chars: int = 20_000_000, **options) -> Field:
     return fit(sample(docs, text_col, lang_col, id_col, max_docs, max_chars), **options)
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch: of so many rows, and of SLICE_CHARS unless one text is longer."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column("__text")), 0).to_numpy(zero_copy_only=False)
+    begin = chars = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > begin and (chars + n > SLICE_CHARS or i - begin == rows):
+            yield batch.slice(begin, i - begin)
+            begin, chars = i, 0
+        chars += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def identify(docs: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
     """All columns of docs, with lang_pred and lang_score (columns of these names are replaced)."""
     docs = docs.drop("lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches):
+        model = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                langs, scores = shared.value.predict(part.column("__text").to_pylist())
+            for part in _slices(batch):
+                langs, scores = model.predict(part.column("__text").to_pylist())
                 columns = [c for n, c in zip(part.schema.names, part.columns, strict=True) if n != "__text"]
                 names = [n for n in part.schema.names if n != "__text"]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "lang_score"])
