@@ -1,6 +1,8 @@
 """Main text of web pages, by the votes of structure and of a host suffix array.
 
-Structure: a page is parsed by the engine's own HTML parser, and its blocks get a zone.
+Structure: a page is read by the engine's own HTML tokenizer over a stack of open
+elements (whose end tags act within their scope, as in a tree; the whole tree builder
+takes twice the time), and its blocks get a zone.
 ``main`` is what article or main elements (or the equal roles) hold; ``aside`` is menus,
 adverts, notices, forms, comments and the like by element, role, class or id; ``weak``
 is a block within an article whose name is as often an ordinary word (social, search,
@@ -38,18 +40,26 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..kernel.html_tree import parse_document
+from ..kernel import html_tokenizer as lex
+from ..kernel.tokens import Characters, Tag
 from .common import BROADCAST_ROWS, durable, map_arrow, small_side
-from .suffixes import hash_of, shared_prefixes, window_hashes
+from .suffixes import BLOCK_END, FILL, TokenHashes, shared_prefixes, window_hashes
 
-#: Elements whose content is not shown as text.
-RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp svg select object canvas audio video datalist".split())
+#: Elements whose content is not shown: raw text to the tokenizer, and others.
+STATES = {"script": lex.SCRIPT, "title": lex.RCDATA, "textarea": lex.RCDATA} | dict.fromkeys("style noscript iframe noembed noframes xmp".split(), lex.RAWTEXT)
+HIDDEN = frozenset("template svg select object canvas audio video datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main menu nav ol option p plaintext pre section summary table tbody td tfoot th thead tr ul".split()
 )
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: End tags of other elements do not act beyond these.
+SCOPE = frozenset("table td th caption button object template svg".split())
+#: Start tags that end an open element, unless it is beyond one of a set.
+_ENDS = {"li": (("li",), frozenset("ul ol menu".split()))} | dict.fromkeys(("dt", "dd"), (("dt", "dd"), frozenset(("dl",)))) | dict.fromkeys(("td", "th"), (("td", "th"), frozenset(("table", "tr")))) | dict.fromkeys(("tr", "tbody", "thead", "tfoot"), (("tr", "caption"), frozenset(("table",))))
 ASIDE = frozenset("nav footer aside form head button dialog menu fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
 #: Words in class and id names. STRONG: what is not the article; WEAK: so only outside of it, or if more speaks for it; NEUTRAL: what such names are put together with.
@@ -62,7 +72,6 @@ _COMMENTS = frozenset("comment comments".split())
 _HEADERS = frozenset("header site-header page-header".split())
 #: Tokens that one unit of a host's suffix array takes, and rows of a host's shard.
 UNIT_TOKENS, SHARD_ROWS = 1 << 20, 512
-_END = "\x00"  # fills up short blocks of weak zones, so that they are compared as wholes
 
 
 def name_vote(names: str) -> str:
@@ -80,12 +89,14 @@ def name_vote(names: str) -> str:
     return vote
 
 
-def _zone(node, zone: str) -> str:
+def _zone(tag: str, attrs: list[tuple[str, str]], zone: str) -> str:
     """The zone within an element, from the zone around it."""
     if zone == "aside":
         return zone
-    tag, given = node.name, {a.local: a.value for a in reversed(node.attrs)}
     inside = zone in ("main", "weak")
+    if not attrs:
+        return zone if inside and tag in ("article", "main") else "main" if tag in ("article", "main") else "aside" if tag in ASIDE or tag == "header" and not inside else zone
+    given = dict(attrs)
     role = given.get("role", "").lower().split()
     names = f"{given.get('class', '')} {given.get('id', '')}"
     if tag in ("article", "main") or "main" in role or given.get("itemprop", "").lower() == "articlebody":
@@ -102,43 +113,110 @@ def _zone(node, zone: str) -> str:
     return "weak" if vote else zone
 
 
+class _Blocks:
+    """Takes tokens; the stack holds (name, zone around, within a link, within hidden content) of open elements."""
+
+    def __init__(self):
+        self.out: list[tuple[str, str, bool]] = []
+        self.text: list[str] = []
+        self.linked = 0
+        self.zone, self.in_link, self.hidden = "", False, False
+        self.stack: list[tuple[str, str, bool, bool]] = []
+        self.places: dict[str, list[int]] = {}  # of the open elements, by name
+        self.scopes: list[int] = []
+        self.tokenizer: lex.Tokenizer | None = None
+        self.raw = False
+
+    def __call__(self, token, line: int) -> None:
+        kind = type(token)
+        if kind is Characters:
+            if not (self.raw or self.hidden):
+                self.text.append(token.data)
+                if self.in_link:
+                    self.linked += len(token.data)
+        elif kind is Tag:
+            if self.raw:  # the end of raw text
+                self.raw = False
+                self.text.append(" ")
+            elif token.kind == "start":
+                self.start(token)
+            else:
+                self.end(token.name)
+
+    def flush(self) -> None:
+        if not self.text:
+            return
+        joined = "".join(self.text)
+        if words := joined.split():
+            self.out.append((self.zone, " ".join(words), 2 * self.linked >= len(joined)))
+        self.text.clear()
+        self.linked = 0
+
+    def start(self, token: Tag) -> None:
+        name = token.name
+        if name in STATES:
+            if not self.places.get("svg"):
+                self.tokenizer.state, self.raw = STATES[name], True
+            return
+        if name == "plaintext":
+            self.tokenizer.state = lex.PLAINTEXT
+        if name in BLOCK:
+            self.flush()
+            if self.places.get("p"):
+                self.close("p")
+        if name in _ENDS:
+            ends, bounds = _ENDS[name]
+            at = max((p[-1] for e in ends if (p := self.places.get(e))), default=-1)
+            if at > max((p[-1] for b in bounds if (p := self.places.get(b))), default=-1):
+                self.pop_to(at)
+        if name in VOID or token.self_closing and self.places.get("svg"):
+            if name == "br":
+                self.text.append(" ")
+            return
+        zone = _zone(name, token.attrs, self.zone)
+        hides = name in HIDDEN
+        link = name == "a" and any(k == "href" for k, _ in token.attrs)
+        if not (zone != self.zone or name in BLOCK or hides or link or name in SCOPE):
+            return  # such an element changes nothing, nor does its end
+        if hides:
+            self.text.append(" ")
+            if token.self_closing and name == "svg":
+                return
+        elif zone != self.zone:
+            self.flush()
+        if name in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, self.zone, self.in_link, self.hidden))
+        self.zone, self.in_link, self.hidden = zone, self.in_link or link, self.hidden or hides
+
+    def close(self, name: str) -> None:
+        places = self.places.get(name)
+        if places and (name in SCOPE or not self.scopes or places[-1] > self.scopes[-1]):
+            self.pop_to(places[-1])
+
+    def end(self, name: str) -> None:
+        if name in BLOCK:
+            self.flush()
+        self.close(name)
+
+    def pop_to(self, place: int) -> None:
+        if self.stack[place][1] != self.zone:
+            self.flush()
+        while len(self.stack) > place:
+            name, self.zone, self.in_link, self.hidden = self.stack.pop()
+            self.places[name].pop()
+            if name in SCOPE:
+                self.scopes.pop()
+
+
 def blocks(html: str) -> list[tuple[str, str, bool]]:
     """(zone, text, mostly links) of a page's blocks in order; zone: "main", "weak", "aside" or ""."""
-    out: list[tuple[str, str, bool]] = []
-    text: list[str] = []
-    linked = 0
-
-    def flush(zone):
-        nonlocal linked
-        joined = "".join(text)
-        if words := joined.split():
-            out.append((zone, " ".join(words), 2 * linked >= len(joined)))
-        text.clear()
-        linked = 0
-
-    todo = [(parse_document(html).root, "", False, False)]
-    while todo:
-        node, zone, in_link, closing = todo.pop()
-        if closing:
-            flush(zone)
-        elif node.kind == "text":
-            text.append(node.data)
-            linked += len(node.data) * in_link
-        elif node.kind == "document":
-            todo += [(c, zone, False, False) for c in reversed(node.children)]
-        elif node.kind == "element":
-            tag = node.name
-            if tag in RAW or tag == "br":
-                text.append(" ")
-                continue
-            own = _zone(node, zone)
-            if tag in BLOCK or own != zone:
-                flush(zone)
-                todo.append((node, own, False, True))
-            in_link = in_link or tag == "a" and any(a.local == "href" for a in node.attrs)
-            todo += [(c, own, in_link, False) for c in reversed(node.children)]
-    flush("")
-    return out
+    found = _Blocks()
+    found.tokenizer = lex.Tokenizer(html, found)
+    found.tokenizer.run()
+    found.flush()
+    return found.out
 
 
 def candidates(found: list[tuple[str, str, bool]]) -> list[tuple[str, str]]:
@@ -147,36 +225,43 @@ def candidates(found: list[tuple[str, str, bool]]) -> list[tuple[str, str]]:
     return [(zone, text) for zone, text, links in found if (zone == "main" or zone == "weak" and not links if marked else zone == "")]
 
 
-def stream_of(kept: list[tuple[str, str]], depth: int) -> list[list[str]]:
-    """The tokens of each block; short weak blocks are filled up, other short blocks can't repeat."""
-    out = []
+def _tokens(zone: str, text: str, depth: int, hashes: TokenHashes) -> np.ndarray:
+    """The token hashes of a block; short weak blocks are filled up, so that they are compared as wholes."""
+    own = hashes.of(text.split(" "))
+    return np.concatenate([own, np.full(depth - len(own), FILL, np.uint32)]) if zone == "weak" and len(own) < depth else own
+
+
+def stream_of(kept: list[tuple[str, str]], depth: int, hashes: TokenHashes) -> np.ndarray:
+    """The blocks' tokens one after another, with ends between; blocks of fewer than ``depth`` can't repeat."""
+    end, out = np.array([BLOCK_END], np.uint32), []
     for zone, text in kept:
-        words = text.split(" ")
-        out.append(words + [_END] * (depth - len(words)) if zone == "weak" else words)
-    return out
+        own = _tokens(zone, text, depth, hashes)
+        if len(own) >= depth:
+            out += [own, end]
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def _covered(words: list[str], runs: np.ndarray, depth: int) -> np.ndarray:
+def _covered(tokens: np.ndarray, runs: np.ndarray, depth: int) -> np.ndarray:
     """Which tokens lie within one of the runs (sorted hashes of their first tokens)."""
-    marks = np.zeros(len(words) + 1, np.int64)
-    if len(words) >= depth and len(runs):
-        own = window_hashes(np.array([hash_of(w) for w in words], np.uint64), depth)
+    marks = np.zeros(len(tokens) + 1, np.int64)
+    if len(tokens) >= depth and len(runs):
+        own = window_hashes(tokens, depth)
         at = np.flatnonzero(runs[np.minimum(np.searchsorted(runs, own), len(runs) - 1)] == own)
         np.add.at(marks, at, 1)
         np.add.at(marks, at + depth, -1)
     return np.cumsum(marks[:-1]) > 0
 
 
-def main_text(html: str | None, shared: np.ndarray | None = None, by_most: np.ndarray | None = None, depth: int = 12) -> str:
+def main_text(html: str | None, shared: np.ndarray | None = None, by_most: np.ndarray | None = None, depth: int = 12, hashes: TokenHashes | None = None) -> str:
     """Blocks joined by blank lines; shared, by_most: sorted hashes of runs that enough, and that most pages of the host have."""
     kept = candidates(blocks(html or ""))
-    out = []
+    out, hashes = [], TokenHashes() if hashes is None else hashes
     if shared is None or not len(shared):
         return "\n\n".join(text for _, text in kept)
-    for (zone, text), words in zip(kept, stream_of(kept, depth), strict=True):
-        gone = _covered(words, by_most if zone == "main" else shared, depth)
-        if zone == "":
-            text = " ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
+    for zone, text in kept:
+        gone = _covered(_tokens(zone, text, depth, hashes), by_most if zone == "main" else shared, depth)
+        if zone == "" and gone.any():
+            text = " ".join(w for w, g in zip(text.split(" "), gone.tolist(), strict=True) if not g)
         elif gone.all():
             text = ""
         if text:
@@ -190,21 +275,22 @@ def needed(pages: int, min_pages: int, enough: int) -> float:
 
 
 def _streams(pages: DataFrame, depth: int) -> DataFrame:
-    """(host, content, stream) of the pages that have text: blocks in lines, and a hash of them."""
+    """(host, content, stream) of the pages that have text: a hash of it, and its tokens' hashes."""
     def task(batches):
+        hashes = TokenHashes()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 hosts, contents, streams = [], [], []
                 for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                    stream = "\n".join(" ".join(words) for words in stream_of(candidates(blocks(html or "")), depth))
-                    if stream:
+                    kept = candidates(blocks(html or ""))
+                    if kept:
                         hosts.append(host)
-                        contents.append(hash_of(stream))
-                        streams.append(stream)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(np.array(contents, np.uint64).view(np.int64)), pa.array(streams, pa.string())], ["host", "content", "stream"])
+                        contents.append(xxhash.xxh64_intdigest("\n".join(text for _, text in kept)))
+                        streams.append(stream_of(kept, depth, hashes).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(np.array(contents, np.uint64).view(np.int64)), pa.array(streams, pa.binary())], ["host", "content", "stream"])
 
-    return map_arrow(pages.select("host", "html"), task, "host string, content long, stream string")
+    return map_arrow(pages.select("host", "html"), task, "host string, content long, stream binary")
 
 
 _REPORT = "host string, run long, n long, pages long, whole boolean"
@@ -213,7 +299,7 @@ _REPORT = "host string, run long, n long, pages long, whole boolean"
 def _reports(streams: DataFrame, depth: int, min_pages: int, enough: int) -> DataFrame:
     """(host, run, n, pages, whole): runs that n pages of a unit share, of so many; without a run: each unit. whole: the unit is the host."""
     def task(batches):
-        unit: list[list[list[str]]] = []
+        unit: list[np.ndarray] = []
         key, last, size, alone = None, None, 0, True
 
         def report(host, is_whole):
@@ -236,8 +322,8 @@ def _reports(streams: DataFrame, depth: int, min_pages: int, enough: int) -> Dat
                     unit, size, alone = [], 0, False
                 if content != last:  # an exact copy counts once
                     last = content
-                    unit.append([line.split(" ") for line in stream.split("\n")])
-                    size += sum(map(len, unit[-1]))
+                    unit.append(np.frombuffer(stream, np.uint32))
+                    size += len(unit[-1])
         if unit:
             yield report(key[0], alone and key[1] == 1)
 
@@ -249,8 +335,9 @@ def _counted(streams: DataFrame, open_runs: DataFrame, depth: int) -> DataFrame:
     def task(batches):
         for batch in batches:
             for host, content, stream in zip(*(batch.column(c).to_pylist() for c in ("host", "content", "stream")), strict=True):
-                runs = [window_hashes(np.array([hash_of(w) for w in line.split(" ")], np.uint64), depth) for line in stream.split("\n")]
-                runs = np.unique(np.concatenate(runs)).view(np.int64)
+                tokens = np.frombuffer(stream, np.uint32)
+                parts = np.split(tokens, np.flatnonzero(tokens == BLOCK_END) + 1)
+                runs = np.unique(np.concatenate([window_hashes(part[:-1], depth) for part in parts])).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([host] * len(runs), pa.string()), pa.array([content] * len(runs), pa.int64()), pa.array(runs)], ["host", "content", "run"])
 
     rows = streams.join(small_side(durable(open_runs.select("host").distinct())), "host", "left_semi")
@@ -296,6 +383,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         grouped = F.broadcast(grouped)
 
     def texts(batches):
+        hashes = TokenHashes()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
@@ -303,7 +391,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 for name, html, own, most in zip(*(part.column(c).to_pylist() for c in ("host", "html", "shared", "by_most")), strict=True):
                     if name != host:
                         host, shared, by_most = name, *(np.sort(np.array(x or (), np.int64).view(np.uint64)) for x in (own, most))
-                    out.append(main_text(html, shared, by_most, depth))
+                    out.append(main_text(html, shared, by_most, depth, hashes))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(out, pa.string())], ["id", "url", "text"])
 
     kinds = rows.schema

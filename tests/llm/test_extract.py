@@ -1,4 +1,5 @@
 import os
+import time
 from collections import Counter
 
 import numpy as np
@@ -31,6 +32,9 @@ ROW = "page_id long, url string, html string"
         ('<div class="ad-free"><p>hello', "hello"),
         ('<article><section class="social"><p>on society</p></section><p class="search results">found</p><p class="related">x</p><div class="story-comments-free note">y</div>', "on society\n\nfound\n\nx\n\ny"),
         ('<article><p>x</p><div class="related"><a href=1>one more</a> <a href=2>another</a></div><div class="ad-box_2">no</div><div id="ad_300x250">no</div>', "x"),
+        ("<div><article><p>x<table><tr><td></div>y</table></article></div><p>no", "x\n\ny"),
+        ("<ul><li>a<ul><li>b</ul>c<li>d</ul><dl><dt>e<dd>f<p>g</dl><select><option>no</select>h", "a\n\nb\n\nc\n\nd\n\ne\n\nf\n\ng\n\nh"),
+        ("<article><p>x<b></article>y</p>z", "x"),
         ("<p>a<table><tr><td>b</table><svg><text>no</text></svg><noscript>no</noscript><select><option>no</select>", "a\n\nb"),
         ("", ""),
         (None, ""),
@@ -67,9 +71,11 @@ def test_shared_prefixes_like_counting(depth):
     rng = np.random.default_rng(depth)
     streams = [[[f"w{x}" for x in rng.integers(0, 4, int(rng.integers(1, 12)))] for _ in range(int(rng.integers(1, 4)))] for _ in range(12)]
     for least in (1, 2, 4):
-        got = dict(zip(*(x.tolist() for x in suffixes.shared_prefixes(streams, depth, least)), strict=True))
+        hashes = suffixes.TokenHashes()
+        given = [extract.stream_of([("", " ".join(words)) for words in blocks], depth, hashes) for blocks in streams]
+        got = dict(zip(*(x.tolist() for x in suffixes.shared_prefixes(given, depth, least)), strict=True))
         want = brute_shared(streams, depth, least)
-        assert got == {int(suffixes.window_hashes(np.array([suffixes.hash_of(w) for w in run], np.uint64), depth)[0]): n for run, n in want.items()}
+        assert got == {int(suffixes.window_hashes(hashes.of(list(run)), depth)[0]): n for run, n in want.items()}
 
 
 def test_shared_runs_go_where_no_article_is_marked(spark):
@@ -83,6 +89,12 @@ def test_shared_runs_go_where_no_article_is_marked(spark):
     assert got[10] == got[11] == got[12] == boiler
 
 
+def test_deep_pages():
+    for text in ("<div>" * 60_000 + "t" + "</span>" * 60_000, "<div>" * 30_000 + "</p>" * 30_000 + "t", "<td>" * 30_000 + "</div>" * 30_000 + "t", "<ul><li>" * 20_000 + "t" + "</li>" * 20_000):
+        began = time.process_time()
+        assert extract.main_text(text) == "t" and time.process_time() - began < 6
+
+
 def test_exact_copies_of_a_page_do_not_count_as_repetition(spark):
     text = " ".join(f"word{j}" for j in range(40))
     rows = [(i, f"http://h.example/{i}", f"<p>{text}</p>") for i in range(5)]
