@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -68,6 +69,56 @@ def test_all_limits_hold(sizes, segments, loss_limit):
     assert dict(seen) == dict(enumerate(sizes))
 
 
+def plain_packing(pieces, limits, pool):
+    """Sequences of (doc, first id, length) by the dot-product rule, one piece at a time; a piece is (doc, start, [bears loss])."""
+    held, out = [], []
+
+    def demand(piece):
+        return len(piece[2]), 1, sum(piece[2])
+
+    def fill():
+        room, sequence = list(limits), []
+        while held and room[0] >= 1 and room[1] >= 1:
+            value = [sum(Fraction(d * r, m * m) for d, r, m in zip(demand(p), room, limits, strict=True)) for p in held]
+            fits = [i for i, p in enumerate(held) if all(d <= r for d, r in zip(demand(p), room, strict=True))]
+            i = max(fits or range(len(held)), key=lambda i: (value[i], -i))
+            doc, start, loss = held[i]
+            n = len(loss) if fits else max(k for k in range(min(len(loss), room[0]) + 1) if sum(loss[:k]) <= room[2])
+            if not n:
+                break
+            held.pop(i)
+            if n < len(loss):
+                held.append((doc, start + n, loss[n:]))
+            room = [r - d for r, d in zip(room, (n, 1, sum(loss[:n])), strict=True)]
+            sequence.append((doc, start, n))
+        out.append(sequence)
+
+    for piece in pieces:
+        held.append(piece)
+        while len(held) >= pool:
+            fill()
+    while held:
+        fill()
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_packer_like_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    limits, pool = ((64, 4, 32), (64, 8, 64), (128, 16, 16))[seed % 3], int(rng.integers(2, 12))
+    pieces = [(i, 0, (rng.random(int(rng.integers(1, limits[0]))) < rng.random()).tolist()) for i in range(40)]
+    packer = packing.Packer(*limits, pool=pool)
+    got = []
+    for doc, start, loss in pieces:
+        got += packer.add(packing.Piece(doc, start, np.zeros(len(loss), np.uint32), np.array(loss), len(loss)))
+    got += packer.finish()
+    got = [[(p.doc, p.start, len(p.ids)) for p in sequence] for sequence in got]
+    want = plain_packing(pieces, limits, pool)
+    last = len(want) - 1  # the last one is cut into powers of two
+    assert got[:last] == want[:last]
+    assert sum(n for sequence in got[last:] for *_, n in sequence) == sum(n for *_, n in want[last])
+
+
 @pytest.mark.parametrize("partitions", [1, 5])
 def test_query(spark, partitions):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")

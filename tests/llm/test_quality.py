@@ -1,4 +1,8 @@
+import bisect
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -65,3 +69,39 @@ def test_only_the_text_counts(spark):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     one, two = quality.score(docs, quality.train(docs, labels)).collect()
     assert one["score"] == two["score"]
+
+
+def plain_features(text):
+    """The features of a text, counted byte by byte."""
+    data = (text or "").encode()
+    if not data:
+        return [0.0] * len(quality.FEATURES)
+    n, words = len(data), re.findall(rb"[^ \t\n\r\x0b\x0c]+", data)
+    lines, sizes = data.split(b"\n"), [len(w) for w in words] or [0]
+    marks = b".,;:!?'\"()-"
+    symbols = {b for b in range(33, 127) if not chr(b).isalnum() and b not in marks}
+    mean, tally = sum(sizes) / len(sizes), Counter(words)
+    m = max(1, len(words))
+    share = lambda test: sum(map(test, data)) / n
+    return [
+        math.log1p(n), math.log1p(len(words)), mean, math.sqrt(sum((s - mean) ** 2 for s in sizes) / len(sizes)), sum(s > 12 for s in sizes) / len(sizes),
+        share(lambda b: chr(b).isascii() and chr(b).isalpha()), share(lambda b: 48 <= b <= 57), share(lambda b: b in b" \t\n\r\x0b\x0c"), share(lambda b: b in marks), share(lambda b: b in symbols), share(lambda b: b >= 128), share(lambda b: 65 <= b <= 90),
+        math.log1p(len(lines)), math.log1p(n / len(lines)), 1 - len(set(lines)) / len(lines), len(tally) / m, max(tally.values(), default=0) / m, 1 - len(set(zip(words, words[1:]))) / max(1, len(words) - 1),
+        -sum(c / n * math.log2(c / n) for c in Counter(data).values()), share(lambda b: b in b".!?"), sum(any(b in symbols for b in w) for w in tally) / max(1, len(tally)), sum(x[-1:] in (b".", b"!", b"?") for x in lines) / len(lines), sum(s <= 3 for s in sizes) / len(sizes), len(zlib.compress(data, 1)) / n,
+    ]
+
+
+def test_query_like_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels.where("crc32(CAST(doc_id AS STRING)) % 4 <> 2"))
+    found = {r["doc_id"]: r for r in queries.op1_quality(spark, SMALL).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(found) == len(rows)
+    for r in rows:
+        x = plain_features(r["text"])
+        assert np.allclose(x, quality.features((r["text"] or "").encode()), rtol=1e-9, atol=1e-9)
+        x = quality.features((r["text"] or "").encode())  # a value can lie on a cut, to the last bit
+        odds = model.base + sum(t[bisect.bisect_right(c.tolist(), v)] for c, t, v in zip(model.cuts, model.tables, x, strict=True))
+        odds += sum(t[bisect.bisect_right(model.pair_cuts[a].tolist(), x[a]), bisect.bisect_right(model.pair_cuts[b].tolist(), x[b])] for (a, b), t in zip(model.pairs, model.pair_tables, strict=True))
+        score = 1 / (1 + math.exp(-max(-30, min(30, odds))))
+        assert abs(found[r["doc_id"]]["score"] - score) < 1e-9 and found[r["doc_id"]]["predicted"] == (found[r["doc_id"]]["score"] >= 0.7)
