@@ -9,23 +9,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a batch sent to Python: texts are long, so the default of 10,000 would take too much memory.
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that a task handles at once: what it makes of them can be much larger than they are.
 BATCH_ROWS = 1000
 
 
 def map_arrow(rows: DataFrame, task, schema) -> DataFrame:
-    """mapInArrow over batches of at most BATCH_ROWS rows."""
-    conf = rows.sparkSession.conf
-    if not 0 < int(conf.get(BATCH)) <= BATCH_ROWS:
-        conf.set(BATCH, str(BATCH_ROWS))
-    return rows.mapInArrow(task, schema)
+    """mapInArrow over batches of at most BATCH_ROWS rows; the bytes of a batch are bounded by Spark's own setting."""
+    def parts(batches):
+        for batch in batches:
+            for start in range(0, max(batch.num_rows, 1), BATCH_ROWS):
+                yield batch.slice(start, BATCH_ROWS)
 
-
-def pin_splits(spark: SparkSession) -> None:
-    """From now on files are split alike however many executors are there, so that row numbers of a scan can be met again."""
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    return rows.mapInArrow(lambda batches: task(parts(batches)), schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -61,4 +56,11 @@ def durable(frame: DataFrame) -> DataFrame:
     """The frame as a table written once to the shared folder: computed once, and still there when executors go."""
     folder = shared_folder(frame.sparkSession)
     frame.write.parquet(folder)
-    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+    kept = frame.sparkSession.read.schema(frame.schema).parquet(folder)
+    kept.kept_in = folder
+    return kept
+
+
+def release(frame: DataFrame) -> None:
+    """Delete a durable table that nothing reads any more, before the session ends."""
+    _remove(frame.sparkSession, frame.kept_in)

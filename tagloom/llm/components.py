@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = durable(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     last = sign(edges)
     while last[0]:
-        edges = durable(_star(_star(edges, large=True), large=False))
+        before, edges = edges, durable(_star(_star(edges, large=True), large=False))
+        release(before)
         now = sign(edges)
         if now == last:
             break
