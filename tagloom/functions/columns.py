@@ -116,16 +116,27 @@ def charset_of(x: pd.Series) -> pd.Series:
     return x.map(html_tree.extract_charset, na_action="ignore")
 
 
-#: Web labels whose Python codec has another name or a wider range.
-WEB_CODECS = {"euc-kr": "cp949", "ks_c_5601-1987": "cp949", "windows-949": "cp949", "iso-8859-1": "cp1252", "latin1": "cp1252", "us-ascii": "cp1252", "ascii": "cp1252", "gb2312": "gb18030", "gbk": "gb18030", "shift_jis": "cp932", "sjis": "cp932", "x-sjis": "cp932", "big5": "big5hkscs", "iso-8859-9": "cp1254", "tis-620": "cp874", "iso-8859-11": "cp874", "utf8": "utf-8", "unicode-1-1-utf-8": "utf-8"}
+#: The encodings of the web, by Python's names.
+WEB_ENCODINGS = frozenset(
+    "utf-8 cp866 iso8859-2 iso8859-3 iso8859-4 iso8859-5 iso8859-6 iso8859-7 iso8859-8 iso8859-10 iso8859-13 iso8859-14 iso8859-15 iso8859-16 koi8-r koi8-u mac-roman cp874 cp1250 cp1251 cp1252 cp1253 cp1254 cp1255 cp1256 cp1257 cp1258 mac-cyrillic gb18030 big5hkscs euc_jp iso2022_jp cp932 cp949 utf-16-be utf-16-le".split()
+)
+#: What the web reads in a wider range than the label says.
+WIDER = {"ascii": "cp1252", "iso8859-1": "cp1252", "iso8859-9": "cp1254", "iso8859-11": "cp874", "tis-620": "cp874", "gb2312": "gb18030", "gbk": "gb18030", "big5": "big5hkscs", "shift_jis": "cp932", "euc_kr": "cp949", "utf-16": "utf-16-le"}
+#: Labels that Python does not know.
+LABELS = {"unicode-1-1-utf-8": "utf-8", "unicode11utf8": "utf-8", "unicode20utf8": "utf-8", "dos-874": "cp874", "mac-ukrainian": "mac-cyrillic", "windows-949": "cp949", "ks_c_5601-1989": "cp949", "windows-31j": "cp932", "sjis": "cp932", "unicode": "utf-16-le", "unicodefeff": "utf-16-le", "unicodefffe": "utf-16-be", "csunicode": "utf-16-le", "ucs-2": "utf-16-le", "iso-10646-ucs-2": "utf-16-le", "logical": "iso8859-8", "visual": "iso8859-8"}
 
 
 def codec_of(label: str) -> str | None:
+    """The Python codec for a web encoding's label; null for what is none."""
     label = label.strip(chars.WHITE).lower()
-    try:
-        return codecs.lookup(WEB_CODECS.get(label, label)).name
-    except LookupError:
-        return None
+    for name in (label, label.removeprefix("x-"), label.removesuffix("-i"), label.removesuffix("-e")):
+        try:
+            found = codecs.lookup(LABELS.get(name, name)).name
+        except LookupError:
+            continue
+        found = WIDER.get(found, found)
+        return found if found in WEB_ENCODINGS else None
+    return None
 
 
 def decode_as(label: str):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from html.entities import html5 as ENTITIES
 
+#: The namespaces of the standards.
 HTML = "http://www.w3.org/1999/xhtml"
 MATHML = "http://www.w3.org/1998/Math/MathML"
 SVG = "http://www.w3.org/2000/svg"

@@ -245,6 +245,15 @@ ENCODINGS = (
     ("windows-1251", "cff0e8", "При"),
     ("utf-16le", "61003d20", "a‽"),
     ("euc-kr", "b0a1ff", "가�"),
+    ("x-cp1251", "cff0e8", "При"),
+    ("csisolatin1", "80e9", "€é"),
+    ("iso-8859-8-i", "f9ece5ed", "שלום"),
+    ("windows-31j", "8740", "①"),
+    ("big5", "a741a66e", "你好"),
+    ("iso-8859-9", "f0fd", "ğı"),
+    ("x-mac-cyrillic", "8fe0e8", "Паи"),
+    ("unicodefffe", "203d", "‽"),
+    (" UTF8\n", "c3a9ff", "é�"),
 )
 
 def values_sql(rows, *columns: str) -> str:

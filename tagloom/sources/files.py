@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import decode_as, decode_utf8
+from ..functions.columns import decode_as, decode_utf8, replace_nul
 
 
 def read_markup(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
@@ -29,4 +29,5 @@ def join_chunks(chunks: DataFrame, id_col: str, seq_col: str, chunk_col: str) ->
 
 
 def write_text(df: DataFrame, text_col: str, path: str) -> None:
-    df.select(text_col).write.text(path, lineSep="\x00")
+    """Texts one after another, each ended by NUL; a NUL within a text becomes U+FFFD, as parsers read it."""
+    df.select(replace_nul(F.col(text_col)).alias(text_col)).write.text(path, lineSep="\x00")

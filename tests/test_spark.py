@@ -54,6 +54,17 @@ def test_lossy_utf8(spark, raw, text, errors):
     assert given.select(C.decode_utf8(F.col("b"))).first()[0] == text
 
 
+def test_labels_that_are_no_web_encoding():
+    assert [C.codec_of(x) for x in ("utf-7", "cp437", "rot13", "zlib", "nothing", "", "hz")] == [None] * 7
+
+
+def test_written_texts_can_hold_any_character(spark, tmp_path):
+    from tagloom.sources.files import write_text
+
+    write_text(spark.createDataFrame([("a\0b\nc",), ("é",)], "t string").coalesce(1), "t", str(tmp_path / "out"))
+    assert b"".join(p.read_bytes() for p in (tmp_path / "out").glob("part*")).decode() == "a�b\nc\0é\0"
+
+
 def test_units(spark):
     given = spark.createDataFrame([("aé€😀".encode(), i) for i in (0, 1, 2, 3, 6)] + [(b"\xed\xa0\x80", 0), (b"\xed\xb0\x80", 1), (b"\xe2\x82", 0), (b"\x82", 0)], "b binary, i int")
     assert [r[0] for r in given.select(C.classify_unit("b", "i")).collect()] == ["whole"] * 5 + ["lead surrogate", "trail surrogate", "prefix", "suffix"]
