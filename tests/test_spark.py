@@ -1,6 +1,7 @@
 import shutil
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -86,9 +87,20 @@ def test_table_functions(spark):
     assert spark.sql("SELECT count(*) FROM html_errors('<p')").first()[0] >= 1
 
 
-def test_stream(spark, tmp_path):
+@pytest.fixture
+def rocks(spark):
+    from tagloom.streaming.chunks import STATE_STORE
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    yield spark
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_stream(rocks, tmp_path):
     from tagloom.streaming.chunks import parse_chunks
 
+    spark = rocks
+
     schema = "doc_id long, seq int, chunk string, is_last boolean"
     parts = [[(1, 0, "<p>a", False), (2, 1, "</b>", True)], [(2, 0, "<b>x", False)], [(1, 1, "<p>b", True), (3, 0, "never", False)]]
     for i, part in enumerate(parts):
@@ -102,9 +114,34 @@ def test_stream(spark, tmp_path):
     assert found == {1: (True, 2, "<html><head></head><body><p>a</p><p>b</p></body></html>"), 2: (True, 2, "<html><head></head><body><b>x</b></body></html>")}
 
 
-def test_stream_of_bytes(spark, tmp_path):
+def test_idle_documents_are_parsed_as_they_are(rocks, tmp_path):
+    from tagloom.streaming.chunks import parse_chunks
+
+    schema = "doc_id long, seq int, chunk string, is_last boolean"
+    rocks.createDataFrame([(1, 2, "</p>c", False), (1, 0, "x", False), (1, 0, "<p>a", False)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = parse_chunks(rocks.readStream.schema(schema).parquet(str(tmp_path / "in")), timeout_ms=1000)
+    query = stream.writeStream.format("memory").queryName("idle").outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 90
+        while not rocks.table("idle").count() and time.time() < until:
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert [(r["complete"], r["n_chunks"], r["markup"]) for r in rocks.table("idle").collect()] == [(False, 2, "<html><head></head><body><p>a</p>c</body></html>")]
+
+
+def test_stream_needs_its_state_store(spark):
+    from tagloom.streaming.chunks import parse_chunks
+
+    with pytest.raises(ValueError, match="providerClass"):
+        parse_chunks(spark.createDataFrame([(1, 0, "x", True)], "doc_id long, seq int, chunk string, is_last boolean"))
+
+
+def test_stream_of_bytes(rocks, tmp_path):
     from tagloom.streaming.chunks import parse_chunks
 
+    spark = rocks
+
     given = spark.createDataFrame([(1, 0, b"<a>\xc3", False), (1, 1, b"\xa9</a>", True)], "doc_id long, seq int, chunk binary, is_last boolean")
     given.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(given.schema).parquet(str(tmp_path / "in"))
