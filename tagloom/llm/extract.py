@@ -45,6 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kernel import html_tokenizer as lex
+from ..kernel.names import BREAKOUT
 from ..kernel.tokens import Characters, Tag
 from .common import BROADCAST_ROWS, durable, map_arrow, small_side
 from .suffixes import BLOCK_END, FILL, TokenHashes, shared_prefixes, window_hashes
@@ -57,7 +58,7 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: End tags of other elements do not act beyond these.
-SCOPE = frozenset("table td th caption button object template svg".split())
+SCOPE = frozenset("table td th caption button object template svg foreignobject desc".split())
 #: Start tags that end an open element, unless it is beyond one of a set.
 _ENDS = {"li": (("li",), frozenset("ul ol menu".split()))} | dict.fromkeys(("dt", "dd"), (("dt", "dd"), frozenset(("dl",)))) | dict.fromkeys(("td", "th"), (("td", "th"), frozenset(("table", "tr")))) | dict.fromkeys(("tr", "tbody", "thead", "tfoot"), (("tr", "caption"), frozenset(("table",))))
 ASIDE = frozenset("nav footer aside form head button dialog menu fieldset".split())
@@ -144,7 +145,7 @@ class _Blocks:
                 self.end(token.name)
 
     def flush(self) -> None:
-        if not self.text:
+        if self.hidden or not self.text:
             return
         joined = "".join(self.text)
         if words := joined.split():
@@ -160,6 +161,8 @@ class _Blocks:
             return
         if name == "plaintext":
             self.tokenizer.state = lex.PLAINTEXT
+        if name in BREAKOUT and (svg := self.places.get("svg")) and svg[-1] > max((p[-1] for n in ("foreignobject", "desc") if (p := self.places.get(n))), default=-1):
+            self.pop_to(svg[-1])  # what an image can't hold ends it
         if name in BLOCK:
             self.flush()
             if self.places.get("p"):
@@ -201,10 +204,12 @@ class _Blocks:
         self.close(name)
 
     def pop_to(self, place: int) -> None:
-        if self.stack[place][1] != self.zone:
-            self.flush()
+        zone = self.zone
         while len(self.stack) > place:
-            name, self.zone, self.in_link, self.hidden = self.stack.pop()
+            name, around, self.in_link, self.hidden = self.stack.pop()
+            if around != zone:
+                self.flush()  # in the zone that it was read in
+            zone = self.zone = around
             self.places[name].pop()
             if name in SCOPE:
                 self.scopes.pop()
@@ -215,6 +220,7 @@ def blocks(html: str) -> list[tuple[str, str, bool]]:
     found = _Blocks()
     found.tokenizer = lex.Tokenizer(html, found)
     found.tokenizer.run()
+    found.hidden = False
     found.flush()
     return found.out
 

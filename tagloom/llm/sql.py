@@ -26,8 +26,8 @@ WITH article AS (
   SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '<br>', ' ', 'g') AS a FROM pages),
 cut AS (SELECT page_id, url, string_split(regexp_replace(a, '</?(p|h1)>', chr(1), 'g'), chr(1)) AS bs FROM article),
 plain AS (
-  SELECT page_id, url, list_transform(bs, lambda b: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', '', 'g'),
-    '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))) AS bs FROM cut),
+  SELECT page_id, url, list_transform(bs, lambda b: trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', '', 'g'),
+    '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS bs FROM cut),
 joined AS (SELECT page_id, url, array_to_string(list_filter(bs, lambda b: b <> ''), chr(10) || chr(10)) AS text FROM plain)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM joined
 """

@@ -35,6 +35,7 @@ ROW = "page_id long, url string, html string"
         ("<div><article><p>x<table><tr><td></div>y</table></article></div><p>no", "x\n\ny"),
         ("<ul><li>a<ul><li>b</ul>c<li>d</ul><dl><dt>e<dd>f<p>g</dl><select><option>no</select>h", "a\n\nb\n\nc\n\nd\n\ne\n\nf\n\ng\n\nh"),
         ("<article><p>x<b></article>y</p>z", "x"),
+        ("<p>a<svg><path><p>b<svg><foreignObject><p>no</p></foreignObject><g/></svg>c<svg/>d", "a\n\nb c d"),
         ("<p>a<table><tr><td>b</table><svg><text>no</text></svg><noscript>no</noscript><select><option>no</select>", "a\n\nb"),
         ("", ""),
         (None, ""),
