@@ -89,6 +89,26 @@ def html_links(spark, sf_dir):
     return found.select("page_id", _long(F.col("place"), "place"), R.attribute("href", F.col("node.attrs")).alias("href"))
 
 
+@query("""
+SELECT page_id, len(regexp_extract_all(html, '<p>'))::BIGINT AS n FROM pages ORDER BY n DESC, page_id LIMIT 10""")
+def html_longest_pages(spark, sf_dir):
+    """The ten pages with the most paragraphs."""
+    counted = _pages(spark, sf_dir).select("page_id", _long(F.size(_elements("p")), "n"))
+    return counted.orderBy(F.desc("n"), "page_id").limit(10)
+
+
+@query("""
+WITH h AS (SELECT page_id % 2 AS side, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
+e AS (SELECT href FROM h WHERE side = 0), o AS (SELECT href FROM h WHERE side = 1)
+SELECT 'both' AS kind, href FROM (SELECT href FROM e INTERSECT SELECT href FROM o) UNION ALL SELECT 'even only', href FROM (SELECT href FROM e EXCEPT SELECT href FROM o) UNION ALL SELECT 'odd only', href FROM (SELECT href FROM o EXCEPT SELECT href FROM e)""")
+def html_link_sets(spark, sf_dir):
+    """Links of even and odd pages as sets: in both, in one only."""
+    links = _pages(spark, sf_dir).select((F.col("page_id") % 2).alias("side"), F.explode(_elements("a")).alias("node")).select("side", R.attribute("href", F.col("node.attrs")).alias("href"))
+    even, odd = (links.where(F.col("side") == s).select("href") for s in (0, 1))
+    sets = (("both", even.intersect(odd)), ("even only", even.subtract(odd)), ("odd only", odd.subtract(even)))
+    return reduce(DataFrame.unionByName, [f.select(F.lit(kind).alias("kind"), "href") for kind, f in sets])
+
+
 @query("""
 WITH c AS (SELECT page_id, regexp_extract_all(html, '(?s)<!--(.*?)-->', 1) AS cs FROM pages)
 SELECT page_id, unnest(cs) AS comment FROM c""")
@@ -371,6 +391,14 @@ def dump_vectors(spark, sf_dir):
     return parse.dump_html(given, "name", "html", scripting=False)
 
 
+@query(V.values_sql([(n, scripts, encodings) for n, _, scripts, encodings in V.HINTS], "name", "scripts", "encodings"))
+def hint_vectors(spark, sf_dir):
+    """Where a browser would stop: scripts that ended, encodings that were named."""
+    given = _rows(spark, [h[:2] for h in V.HINTS], "name string, html string")
+    found = parse.facts(parse.parse_html(given, "name", "html", parts=("nodes",)), "name")
+    return found.select("name", F.array_join(F.transform("scripts", lambda i: i.cast("string")), ",").alias("scripts"), F.array_join("encodings", ",").alias("encodings"))
+
+
 @query(V.values_sql([(label, text) for label, _, text in V.ENCODINGS], "label", "text"))
 def encoding_vectors(spark, sf_dir):
     """Bytes in web encodings."""

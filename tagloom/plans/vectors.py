@@ -149,6 +149,9 @@ TOKENS = (
     ("bogus comments", "data", None, False, "<?php x?></ x></3><4>", "!?php x? ! x !3 '<4>'", 4),
     ("bad characters", "data", None, True, "a\x01﷐b", "'a\x01﷐b'", 2),
     ("bad characters unreported", "data", None, False, "a\x01﷐b", "'a\x01﷐b'", 0),
+    ("cut name of a reference", "data", None, False, "&am", "'&am'", 0),
+    ("cut reference by number", "data", None, False, "&#x", "'&#x'", 1),
+    ("reference at the end", "data", None, False, "&notit", "'\xacit'", 1),
     ("cut tag", "data", None, False, "x<q\ncite=&lt\rid='", "'x'", 2),
 )
 
@@ -177,6 +180,9 @@ ERRORS = (
     ("stray end", "\n</p><b><p></b>", ((2, "tree", "no doctype"), (2, "tree", "unexpected end tag p in mode before html"), (2, "tree", "formatting element not current"))),
     ("end without start", "<!doctype html><p>a</div>", ((1, "tree", "unexpected end tag div in mode in body"),)),
     ("table text", "<!doctype html><table>x</table>", ((1, "tree", "text inside of a table"),)),
+    ("open at the body's end", "<!doctype html><div></body>", ((1, "tree", "open elements at the end of the body"),)),
+    ("after the body", "<!doctype html><p></body><p>", ((1, "tree", "unexpected start tag p in mode after body"),)),
+    ("open template", "<!doctype html><template>", ((1, "tree", "end of file in template"),)),
     ("control in select", "<!doctype html><select><input>", ((1, "tree", "input inside of a select"),)),
 )
 
@@ -225,6 +231,8 @@ XML_NODES = (
     ("namespaces", "<a xmlns='u' xmlns:p='v' p:x='1' y='2'><p:b/><q:c/></a>", ((0, None, "document", None, None, None, "", None), (1, 0, "element", None, "u", "a", "{v}x=1 {}y=2", None), (2, 1, "element", "p", "v", "b", "", None), (3, 1, "element", "q", "", "c", "", None))),
     ("after the root", "<a><b></a>x</b>", ((0, None, "document", None, None, None, "", None), (1, 0, "element", None, "", "a", "", None), (2, 1, "element", None, "", "b", "", None))),
     ("prolog", "<?xml version='1.0'?><!--c--><!DOCTYPE r PUBLIC 'p' 's'><r><![cdata[<]]></r><!--d-->", ((0, None, "document", None, None, None, "", None), (1, 0, "instruction", None, None, "xml", "", "version='1.0'"), (2, 0, "comment", None, None, None, "", "c"), (3, 0, "doctype", None, None, "r", "", None), (4, 0, "element", None, "", "r", "", None), (5, 4, "text", None, None, None, "", "<"), (6, 0, "comment", None, None, None, "", "d"))),
+    ("references", "<r>&#65;&lt;&bogus;</r>", ((0, None, "document", None, None, None, "", None), (1, 0, "element", None, "", "r", "", None), (2, 1, "text", None, None, None, "", "A<&bogus;"))),
+    ("cut", "<a><b>x", ((0, None, "document", None, None, None, "", None), (1, 0, "element", None, "", "a", "", None), (2, 1, "element", None, "", "b", "", None), (3, 2, "text", None, None, None, "", "x"))),
     ("NUL", "<a>\0b</a>", ((0, None, "document", None, None, None, "", None), (1, 0, "element", None, "", "a", "", None), (2, 1, "text", None, None, None, "", "�b"))),
 )
 
@@ -233,9 +241,20 @@ XML_TOKENS = (
     ("kinds", "<a b='1'><c/>x</></a>", "<a b=1> <c/> 'x' short_tag </a>", 0),
     ("instruction and section", "<?t d?><!--c--><![CDATA[<&]]>", "instruction:t:d !c '<&'", 0),
     ("duplicates", "<r a='1' a='2'/>", "<r a=1/>", 1),
+    ("cut tag", "<a>b</a", "<a> 'b' </a>", 1),
+    ("cut attribute", "<a b", "<a b=>", 1),
+    ("cut comment", "<!--x", "!x", 1),
+    ("cut section", "<![CDATA[x", "'x'", 1),
+    ("cut instruction", "<?t d", "instruction:t:d", 1),
     ("doctype", "<!DOCTYPE r PUBLIC 'p' 's'>", "D(r,p,s,false)", 0),
 )
 
+#: (name, document, numbers of its ended scripts, encodings that it names)
+HINTS = (
+    ("scripts", "<script>1</script><p><script src=x></script><script>never", "3,7", ""),
+    ("encodings", "<meta charset=a><meta http-equiv=content-type content='x; charset=b'><meta content=charset=c>", "", "a,b"),
+)
+
 #: (encoding label, bytes in hex, text)
 ENCODINGS = (
     ("koi8-r", "f0d2c9d7c5d4", "Привет"),
