@@ -258,11 +258,15 @@ def _covered(tokens: np.ndarray, runs: np.ndarray, depth: int) -> np.ndarray:
     return np.cumsum(marks[:-1]) > 0
 
 
-def main_text(html: str | None, shared: np.ndarray | None = None, by_most: np.ndarray | None = None, depth: int = 12, hashes: TokenHashes | None = None) -> str:
+def main_text(html: str | None) -> str:
+    """The text of a page that has no host: by its structure alone."""
+    return cut_text(candidates(blocks(html or "")), np.zeros(0, np.uint64), np.zeros(0, np.uint64), 1, TokenHashes())
+
+
+def cut_text(kept: list[tuple[str, str]], shared: np.ndarray, by_most: np.ndarray, depth: int, hashes: TokenHashes) -> str:
     """Blocks joined by blank lines; shared, by_most: sorted hashes of runs that enough, and that most pages of the host have."""
-    kept = candidates(blocks(html or ""))
-    out, hashes = [], TokenHashes() if hashes is None else hashes
-    if shared is None or not len(shared):
+    out = []
+    if not len(shared):
         return "\n\n".join(text for _, text in kept)
     for zone, text in kept:
         gone = _covered(_tokens(zone, text, depth, hashes), by_most if zone == "main" else shared, depth)
@@ -385,8 +389,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host"))
     runs = durable(repeats(rows, depth, min_pages, enough))
     grouped = runs.groupBy("host").agg(F.array_sort(F.collect_list("run")).alias("shared"), F.array_sort(F.collect_list(F.when(F.col("most"), F.col("run")))).alias("by_most"))
+    ids = f"id {rows.schema['id'].dataType.simpleString()}, url {rows.schema['url'].dataType.simpleString()}"
     if runs.count() <= BROADCAST_ROWS:
-        grouped = F.broadcast(grouped)
+        joined = rows.join(F.broadcast(grouped), "host", "left")
+    else:  # both sides are shuffled: the blocks, since markup is larger
+        joined = map_arrow(rows, _kept, f"{ids}, host string, kept {_BLOCKS}").join(grouped, "host", "left")
+
+    given_col = "kept" if "kept" in joined.columns else "html"
 
     def texts(batches):
         hashes = TokenHashes()
@@ -394,13 +403,24 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 out, host, shared, by_most = [], None, None, None
-                for name, html, own, most in zip(*(part.column(c).to_pylist() for c in ("host", "html", "shared", "by_most")), strict=True):
+                for name, given, own, most in zip(*(part.column(c).to_pylist() for c in ("host", given_col, "shared", "by_most")), strict=True):
                     if name != host:
                         host, shared, by_most = name, *(np.sort(np.array(x or (), np.int64).view(np.uint64)) for x in (own, most))
-                    out.append(main_text(html, shared, by_most, depth, hashes))
+                    kept = [(b["zone"], b["text"]) for b in given] if isinstance(given, list) else candidates(blocks(given or ""))
+                    out.append(cut_text(kept, shared, by_most, depth, hashes))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(out, pa.string())], ["id", "url", "text"])
 
-    kinds = rows.schema
-    schema = f"id {kinds['id'].dataType.simpleString()}, url {kinds['url'].dataType.simpleString()}, text string"
-    joined = rows.join(grouped, "host", "left").select("id", "url", "html", "host", "shared", "by_most")
-    return map_arrow(joined, texts, schema).withColumnsRenamed({"id": id_col, "url": url_col})
+    return map_arrow(joined, texts, f"{ids}, text string").withColumnsRenamed({"id": id_col, "url": url_col})
+
+
+_BLOCKS = "array<struct<zone: string, text: string>>"
+
+
+def _kept(batches):
+    """(id, url, host, kept): the blocks that structure leaves."""
+    kind = pa.list_(pa.struct([("zone", pa.string()), ("text", pa.string())]))
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            found = [[{"zone": zone, "text": text} for zone, text in candidates(blocks(html or ""))] for html in part.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), part.column("host"), pa.array(found, kind)], ["id", "url", "host", "kept"])

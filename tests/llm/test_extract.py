@@ -163,8 +163,9 @@ def brute_texts(pages, depth=12, min_pages=3, enough=10):
     return out
 
 
-@pytest.mark.parametrize(("unit", "shard"), [(1 << 20, 512), (1 << 20, 40), (1500, 40), (700, 1000)])
-def test_split_hosts_like_whole_ones(spark, monkeypatch, unit, shard):
+@pytest.mark.parametrize(("unit", "shard", "broadcast"), [(1 << 20, 512, 10_000), (1 << 20, 40, 0), (1500, 40, 10_000), (700, 1000, 10_000)])
+def test_split_hosts_like_whole_ones(spark, monkeypatch, unit, shard, broadcast):
+    monkeypatch.setattr(extract, "BROADCAST_ROWS", broadcast)
     monkeypatch.setattr(extract, "UNIT_TOKENS", unit)
     monkeypatch.setattr(extract, "SHARD_ROWS", shard)
     pages = many_pages(300)
