@@ -2,8 +2,9 @@
 
 The state of a document is its chunks so far, an entry of its own for each, so a chunk
 is written once whatever came before. They are joined by number: chunks may come in any
-order, in several micro-batches and repeatedly (the last one counts). A document that
-stays idle longer than the timeout is parsed as it is.
+order, in several micro-batches and repeatedly (the last one counts). With a timeout, a
+document that stays idle longer is parsed as it is; such a query looks for its timers
+again and again, so it has to be stopped, also with an availableNow trigger.
 
 The state lies in RocksDB: the session needs ``spark.sql.streaming.stateStore.providerClass``
 set to STATE_STORE.
@@ -25,7 +26,7 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 class _Documents(StatefulProcessor):
-    def __init__(self, kind: str, binary: bool, timeout_ms: int):
+    def __init__(self, kind: str, binary: bool, timeout_ms: int | None):
         self.kind, self.binary, self.timeout_ms = kind, binary, timeout_ms
 
     def init(self, handle) -> None:
@@ -50,8 +51,9 @@ class _Documents(StatefulProcessor):
         if last >= 0 and n == last + 1:
             yield self._finished(key[0], True)
             return
-        timer = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
-        self.handle.registerTimer(timer)
+        if self.timeout_ms is not None:
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
+            self.handle.registerTimer(timer)
         self.facts.update((n, last, timer))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -67,7 +69,7 @@ class _Documents(StatefulProcessor):
         return pd.DataFrame([(doc_id, complete, len(parts), len(doc.errors), doc.quirks_mode, markup)], columns=["doc_id", "complete", "n_chunks", "n_errors", "quirks_mode", "markup"])
 
 
-def parse_chunks(chunks: DataFrame, kind: str = "html", timeout_ms: int = 600_000) -> DataFrame:
+def parse_chunks(chunks: DataFrame, kind: str = "html", timeout_ms: int | None = None) -> DataFrame:
     """Chunks (doc_id long, seq int, chunk string or binary, is_last boolean) to a row for each document, with the tree written out.
 
     Bytes are joined before they are decoded, so a character may be cut between chunks.
@@ -76,4 +78,4 @@ def parse_chunks(chunks: DataFrame, kind: str = "html", timeout_ms: int = 600_00
         raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {STATE_STORE}")
     binary = chunks.schema["chunk"].dataType.simpleString() == "binary"
     grouped = chunks.select("doc_id", "seq", "chunk", "is_last").groupBy("doc_id")
-    return grouped.transformWithStateInPandas(_Documents(kind, binary, timeout_ms), OUTPUT, "Append", "ProcessingTime")
+    return grouped.transformWithStateInPandas(_Documents(kind, binary, timeout_ms), OUTPUT, "Append", "None" if timeout_ms is None else "ProcessingTime")
