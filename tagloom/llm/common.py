@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,19 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, each computed once; bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 #: Rows of a join's side up to which it is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 

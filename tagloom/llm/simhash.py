@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_arrow, small_side
+from .common import WordHashes, durable, map_arrow, small_side
 from .components import components
 
 BITS = 64
@@ -195,28 +195,46 @@ VIEWS = ((1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (3, 1))
 BLOCK_BYTES = 16 << 20
 
 
-def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
-    """As good as hashes of another seed, without reading the shingles again."""
-    z = hashes + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+def _mixed(hashes: np.ndarray, salts: list[int]) -> np.ndarray:
+    """For each salt, hashes as good as those of another seed, without reading the shingles again."""
+    z = hashes + np.array([salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for salt in salts], np.uint64)[:, None]
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
 
 
-def _views(text: bytes | None, views) -> tuple[bytes, list[int]]:
-    """A digest of the word sequence, and a fingerprint for each view."""
-    words = text.lower().split() if text else []
-    exact = xxhash.xxh128_digest(b" ".join(words))
-    if not words:
-        return exact, [0] * len(views)
-    hashes = {size: _hashes(set(shingles(words, size)), 42) for size in {size for size, _ in views}}
-    return exact, [_bits(_mixed(hashes[size], salt)) for size, salt in views]
+def run_set(words: np.ndarray, size: int) -> np.ndarray:
+    """The set of hashes of all runs of ``size`` words, ascending, from the words' hashes; fewer words are one run."""
+    size = min(size, len(words))
+    total = np.zeros(len(words) - size + 1 if size else 0, np.uint64)
+    for j in range(size):
+        total = (total ^ words[j : j + len(total)]) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(29)
+    return np.unique(total)
 
 
-def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+def _views(text: bytes | None, views, hashes: WordHashes) -> tuple[bytes, list[int]]:
+    """A digest of the word sequence, and a fingerprint for each view."""
+    split = text.lower().split() if text else []
+    exact, words = xxhash.xxh128_digest(b" ".join(split)), hashes.of(split)
+    if not split:
+        return exact, [0] * len(views)
+    found: list[int] = [0] * len(views)
+    for size in {size for size, _ in views}:
+        own = [i for i, (n, _) in enumerate(views) if n == size]
+        mixed = _mixed(run_set(words, size), [views[i][1] for i in own])
+        ones = np.zeros((len(own), BITS), np.int64)
+        for at in range(0, mixed.shape[1], 8192):
+            part = np.ascontiguousarray(mixed[:, at : at + 8192])
+            ones += np.unpackbits(part.view(np.uint8).reshape(len(own), -1, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
+        for i, fp in zip(own, np.packbits(2 * ones > mixed.shape[1], axis=1, bitorder="little").view("<u8")[:, 0].tolist(), strict=True):
+            found[i] = fp
+    return exact, found
+
+
+def shingle_set(text: bytes | None, shingle: int, hashes: WordHashes | None = None) -> np.ndarray:
     """The hashes of the set of shingles, ascending."""
-    words = text.lower().split() if text else []
-    return np.unique(_hashes(set(shingles(words, shingle)), 0)) if words else np.zeros(0, "<u8")
+    return run_set((WordHashes() if hashes is None else hashes).of(text.lower().split() if text else []), shingle)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -236,8 +254,9 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
 
     def view_task(batches):
+        hashes = WordHashes()
         for batch in batches:
-            found = [_views(t, views) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            found = [_views(t, views, hashes) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             fps = np.array([f for _, f in found], np.uint64).reshape(len(found), len(views)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([e for e, _ in found], pa.binary()), *(pa.array(fps[:, i]) for i in range(len(views)))], ["id", "exact", *names])
 
@@ -298,8 +317,9 @@ def _verified(rows: DataFrame, groups: DataFrame, kind: str, shingle: int, min_s
     into blocks, and each two blocks meet in a place of their own.
     """
     def set_task(batches):
+        hashes = WordHashes()
         for batch in batches:
-            found = [shingle_set(t, shingle).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            found = [shingle_set(t, shingle, hashes).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), pa.array(found, pa.binary())], ["id", "root", "shingles"])
 
     def forest_task(batches):
