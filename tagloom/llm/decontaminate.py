@@ -7,7 +7,7 @@ batches, rolling window hashes are looked up in the set, and each hit is verifie
 word by word. Hit spans or documents can then be removed.
 
 The hash set is broadcast only in blocks of at most ``block_items`` items and
-``block_words`` words (about 30 bytes a word); a larger benchmark takes one pass over
+``block_words`` words (about 30 bytes a word, and 150 for each different word); a larger benchmark takes one pass over
 the documents for each block, and an item of more words is cut into parts that overlap
 by n - 1 words. Each pass is written out before the next, so one block is held at a time.
 
@@ -25,7 +25,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,23 +40,15 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORD_BYTES).split()
 
 
-class _Hashes(dict):
-    """Hashes of words, each computed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
 class Windows:
     """The windows of benchmark items, in sorted arrays that can be broadcast."""
 
     def __init__(self, items: Iterable[tuple[str | None, str | None]], n: int = 10):
         self.n, self.names = n, []
+        self.number: dict[bytes, int] | None = {}  # the words, in the order of the text
         name_of: dict[str, int] = {}
         texts, at = [], 0
         parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = {}
-        known = []
         for item, text in items:
             words = words_of((text or "").encode())
             if not words:
@@ -67,17 +58,15 @@ class Windows:
                 name = name_of.setdefault(item, len(self.names))
                 if name == len(self.names):
                     self.names.append(item)
-            hashes = self._hashed(words)
-            known.append(np.unique(hashes))
+            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.uint64)
             size = min(n, len(words))
             ends = at + np.cumsum([len(w) + 1 for w in words])
             begins = np.concatenate([[at], ends[:-1]])
             count = len(words) - size + 1
-            parts.setdefault(size, []).append((self._hash(hashes[j : j + count] for j in range(size)), np.full(count, name, np.int32), begins[:count], ends[size - 1 :] - 1))
+            parts.setdefault(size, []).append((self._hash(ids[j : j + count] for j in range(size)), np.full(count, name, np.int32), begins[:count], ends[size - 1 :] - 1))
             texts.append(b" ".join(words) + b" ")
             at = int(ends[-1])
         self.text = b"".join(texts)
-        self.known = self._bitmap(np.concatenate(known) if known else np.zeros(0, np.uint64))
         self.tables = {}
         for size, found in parts.items():
             hashes, names, begins, ends = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -91,10 +80,15 @@ class Windows:
         seen[(hashes >> np.uint64(44)).astype(np.int64)] = True
         return seen
 
-    @staticmethod
-    def _hashed(words: list[bytes], hashes: _Hashes | None = None) -> np.ndarray:
-        hashes = _Hashes() if hashes is None else hashes
-        return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    def __getstate__(self):
+        return self.__dict__ | {"number": None}  # each worker numbers the words again
+
+    def _numbers(self) -> dict[bytes, int]:
+        if self.number is None:
+            self.number = {}
+            for m in _WORD.finditer(self.text):
+                self.number.setdefault(m[0], len(self.number) + 1)
+        return self.number
 
     @staticmethod
     def _hash(columns) -> np.ndarray:
@@ -107,16 +101,16 @@ class Windows:
     def scan(self, texts: list[bytes | None]) -> Iterator[tuple[list[bytes], np.ndarray, set[int]]]:
         """For each text: its words, which of them are hit, and the names of items found."""
         split = [words_of(t) if t else [] for t in texts]
-        hashes = _Hashes()
-        own = np.concatenate([self._hashed(words, hashes) for words in split]) if split else np.zeros(0, np.uint64)
+        get = self._numbers().get
+        own = np.array([get(w, 0) for words in split for w in words], np.uint64)
         ends = np.cumsum([len(words) for words in split])
         hit, found = np.zeros(len(own), bool), [set() for _ in texts]
-        known = self.known[(own >> np.uint64(44)).astype(np.int64)]
+        known = own != 0
         for size, (sorted_hashes, names, begins, stops, seen) in self.tables.items():
             if len(own) < size:
                 continue
             count = len(own) - size + 1
-            at = np.flatnonzero(known[:count] & known[size - 1 :])  # both ends may be words of some item
+            at = np.flatnonzero(known[:count] & known[size - 1 :])  # both ends are words of some item
             h = self._hash(own[at + j] for j in range(size))
             maybe = seen[(h >> np.uint64(44)).astype(np.int64)]
             at, h = at[maybe], h[maybe]
