@@ -7,7 +7,8 @@ the same way. Whole texts are joined to licence texts and notices; single lines
 are joined to notices, since a document often has its licence in a line. Short texts
 are kept here as such, long ones as digests.
 
-Only DataFrame functions are used. The table of known licences is joined without a
+A line can only be a notice if its canonical length is that of one: only such lines
+are hashed and joined. Only DataFrame functions are used. The table of known licences is joined without a
 hint, so Spark broadcasts it only under its size threshold.
 
 Defined cases: null text counts as empty and has no licence; ties (several names
@@ -136,10 +137,10 @@ def _digest(x: Column) -> Column:
 
 
 def known(spark: SparkSession, texts=TEXTS + NOTICES) -> DataFrame:
-    """(digest, license) of known texts, one name for each digest."""
+    """(digest, license, n) of known texts, one name for each digest; n: characters of the canonical text."""
     rows = spark.createDataFrame(list(texts), "license string, text string")
-    rows = rows.where(canonical(F.col("text")) != "").select(_digest(canonical(F.col("text"))).alias("digest"), "license")
-    return rows.groupBy("digest").agg(F.min("license").alias("license"))
+    rows = rows.select(canonical(F.col("text")).alias("text"), "license").where("text <> ''").select(_digest(F.col("text")).alias("digest"), "license", F.char_length("text").alias("n"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"), F.min("n").alias("n"))
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
@@ -150,18 +151,22 @@ def known_digests(spark: SparkSession) -> DataFrame:
 def catalogue(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """All known texts and notices, and the notices alone, for scan."""
     notices = known(spark, NOTICES + MORE_NOTICES)
-    texts = known(spark, TEXTS + MORE_TEXTS).unionByName(known_digests(spark)).unionByName(notices)
+    texts = known(spark, TEXTS + MORE_TEXTS).unionByName(notices).drop("n").unionByName(known_digests(spark))
     return texts.groupBy("digest").agg(F.min("license").alias("license")), notices
 
 
 def scan(docs: DataFrame, texts: DataFrame, notices: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id_col, text_digest, license, notices): the licence that the whole text is, and the licences of its notice lines."""
+    """(id_col, text_digest, license, notices): the licence that the whole text is, and the licences of its notice lines.
+
+    texts and notices have columns digest and license; notices also have n, the canonical lengths.
+    """
+    lengths = sorted(r["n"] for r in notices.select("n").distinct().collect())  # no more than characters of the longest notice
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("th"), _plain(docs[text_col]).alias("plain"))
-    lines = F.array_distinct(F.transform(F.split("plain", "\n", -1), _finish))
+    lines = F.filter(F.array_distinct(F.transform(F.split("plain", "\n", -1), _finish)), lambda x: F.char_length(x).isin(*lengths))
     # normalised once, and kept: digests of the whole text and of each different line
     digests = durable(rows.select("id", "th", _digest(_whole(F.col("plain"))).alias("digest"), F.transform(lines, _digest).alias("lines")))
-    whole = digests.select("id", "th", "digest").join(texts, "digest", "left")
-    found = digests.select("id", "th", F.explode("lines").alias("digest")).join(notices, "digest")
+    whole = digests.select("id", "th", "digest").join(texts.select("digest", "license"), "digest", "left")
+    found = digests.select("id", "th", F.explode("lines").alias("digest")).join(notices.select("digest", "license"), "digest")
     found = found.groupBy("id", "th").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
     same = whole["id"].eqNullSafe(found["id"]) & (whole["th"] == found["th"])
     return whole.join(found, same, "left").select(whole["id"].alias(id_col), F.lower(F.hex(whole["digest"])).alias("text_digest"), whole["license"], F.coalesce(found["notices"], F.lit("")).alias("notices"))
