@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,14 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (grams >> np.uint32(16)).astype(np.int64), starts
 
 
+class _Numbers(dict):
+    """Words in the order of their coming."""
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = len(self)
+        return found
+
+
 @dataclass
 class Field:
     """A fitted model; scores are natural logarithms."""
@@ -85,21 +94,20 @@ class Field:
     grams: np.ndarray  # BUCKETS x languages
     lexicon: dict[str, np.ndarray]
     transitions: np.ndarray
-    known: dict[str, int] = field(default_factory=dict)  # words met lately, and the rows of their scores
+    known: _Numbers = field(default_factory=_Numbers)  # words met lately, by the rows of their scores
     scores: np.ndarray | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "scores": None}
+        return self.__dict__ | {"known": _Numbers(), "scores": None}
 
     def remembered(self, words: list[str]) -> np.ndarray:
         """A row of scores for each word; each distinct word is scored once."""
         if self.scores is None or len(self.known) > REMEMBERED:
-            self.known, self.scores = {}, np.zeros((0, len(self.langs)))
+            self.known, self.scores = _Numbers(), np.zeros((0, len(self.langs)))
         old = len(self.known)
-        setdefault, known = self.known.setdefault, self.known
-        ids = np.fromiter((setdefault(w, len(known)) for w in words), np.int64, len(words))
-        if len(known) > old:
-            self.scores = np.concatenate([self.scores, self.emissions(list(known)[old:])])
+        ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if len(self.known) > old:
+            self.scores = np.concatenate([self.scores, self.emissions(list(islice(self.known, old, None)))])
         return self.scores[ids]
 
     def emissions(self, words: list[str]) -> np.ndarray:
